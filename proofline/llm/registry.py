@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "toxicity")
+MODULES = ("exact_dedup", "toxicity", "quality")
 
 
 def _modules():
