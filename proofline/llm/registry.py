@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "toxicity", "quality", "license_scan", "bpe")
+MODULES = ("exact_dedup", "toxicity", "quality", "license_scan", "bpe", "packing")
 
 
 def _modules():
