@@ -117,3 +117,36 @@ def row_slices(table_: pa.RecordBatch, column: str, most_bytes: int = 8_000_000)
 
 def local(path: str) -> str:
     return path.removeprefix("file://") if path.startswith("file://") else os.fspath(path)
+
+
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """doc_id and text, for operators that speak of documents by id: rows without an id are left out, and of rows that
+    repeat an id the greatest text counts. Texts are shuffled only if ids do repeat."""
+    named = docs.where(docs["doc_id"].isNotNull()).select("doc_id", text_of(docs).alias("text"))
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return named
+    return named.groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and class_id (the component's smallest node) of every node of the edges a, b, by alternating large and small stars.
+
+    Every round is a few joins over the edges, written in the shared folder; nothing is collected.
+    """
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = written(small.where("u <> v").distinct(), "edges")
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if state == before:
+            break
+        before = state
+    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("class_id"))
+    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("class_id")).distinct())
