@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "toxicity", "quality", "license_scan", "bpe", "packing", "ngram_join", "substring_dedup")
+MODULES = ("substring_dedup", "token_order", "license_scan", "packing", "bpe", "ngram_join", "exact_dedup", "toxicity", "quality")
 
 
 def _modules():
