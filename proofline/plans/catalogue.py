@@ -4,12 +4,361 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from proofline import constants as K
+from proofline.functions import numbers as N
+from proofline.functions import text as T
+from proofline.operators import layout, reconcile, rollup, rules
+from proofline.plans import report, synthetic
+from proofline.sources import images, registry
+
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        _Q[f.__name__] = (f, sql)
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _Q.items() if sql}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.long_form(rules.evaluated(synthetic.labels(spark, sf_dir)), "label_id", "filename")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.rolled_up(_checks(spark, sf_dir), "label_id", "filename")
+
+
+# ---- flagship ----
+
+_ROLLED = f"""{synthetic.CHECKED},
+labels_rolled AS (
+  SELECT label_id, filename, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'REVIEW') THEN 'REVIEW' WHEN bool_or(status = 'PASS') THEN 'PASS' ELSE 'NOT_EVALUATED' END AS overall,
+    count(*) FILTER (status = 'NOT_EVALUATED') AS n_not_run
+  FROM checks GROUP BY ALL
+)
+"""
+
+
+@_query(f"{_ROLLED} SELECT label_id, filename, overall, overall AS status, CAST(CASE overall WHEN 'FAIL' THEN 0 WHEN 'REVIEW' THEN 1 WHEN 'NOT_EVALUATED' THEN 2 ELSE 3 END AS INTEGER) AS rank, CAST(n_not_run AS INTEGER) AS n_not_run FROM labels_rolled")
+def triage_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _verdicts(spark, sf_dir).withColumn("n_not_run", F.size(F.filter("statuses", lambda s: s == K.NOT_EVALUATED)))
+    return rollup.triaged(found, "label_id").select("label_id", "filename", "overall", "status", "rank", "n_not_run")
+
+
+@_query(f'{synthetic.CHECKED} SELECT label_id, "check", status FROM checks')
+def check_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checks(spark, sf_dir).select("label_id", "check", "status")
+
+
+@_query()
+def check_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checks(spark, sf_dir)
+
+
+@_query(f"{_ROLLED} SELECT overall AS verdict, count(*) AS n_labels FROM labels_rolled GROUP BY ALL")
+def verdict_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.histogram(_verdicts(spark, sf_dir))
+
+
+@_query(f"""{synthetic.CHECKED} SELECT label_id % 3 AS variant, "check", count(*) FILTER (status = 'PASS') AS n_correct, count(*) AS n_samples
+FROM checks WHERE "check" IN {K.APPLICATION_FIELDS} GROUP BY ALL""")
+def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.field_accuracy(_checks(spark, sf_dir).withColumn("variant", F.col("label_id") % 3), "variant")
+
+
+_NAMES = ", ".join(f"('{c}', {i}, '{label}')" for i, (c, label) in enumerate(K.CHECKS.items()))
+
+
+@_query(f"""{synthetic.CHECKED}, names(c, i, label) AS (VALUES {_NAMES})
+SELECT label_id, concat(count(*), CASE count(*) WHEN 1 THEN ' check' ELSE ' checks' END, ' could not be run — ', string_agg(label, '; ' ORDER BY i)) AS disclosure
+FROM checks JOIN names ON c = "check" WHERE status = 'NOT_EVALUATED' GROUP BY label_id""")
+def disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).select("label_id", "disclosure")
+
+
+@_query()
+def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = _checks(spark, sf_dir)
+    verdicts = rollup.rolled_up(checks, "filename", "label_id").withColumn("order", F.col("label_id"))
+    return report.wide(checks, verdicts)
+
+
+@_query(f"""{synthetic.CHECKED}, names(c, i, label) AS (VALUES {_NAMES})
+SELECT label AS "Check", CASE status WHEN 'NOT_EVALUATED' THEN 'NOT CHECKED' ELSE status END AS "Result" FROM checks JOIN names ON c = "check" WHERE label_id = 17""")
+def report_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = synthetic.labels(spark, sf_dir).where("label_id = 17")
+    return report.single(rules.long_form(rules.evaluated(one), "label_id")).select("Check", "Result")
+
+
+# ---- scalar functions ----
+
+
+@_query(r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS n, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM documents")
+def normalize_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = T.collapse_whitespace(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n"), F.md5(text).alias("digest"))
+
+
+@_query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '''', ''), '[^\pL\pN]', ' ', 'g'), ' +', ' ', 'g')) AS identity FROM benchmark""")
+def normalize_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.identity(F.col("text")).alias("identity"))
+
+
+_SUFFIXED = "SELECT c_custkey, concat(c_name, CASE c_custkey % 6 WHEN 0 THEN ', Inc.' WHEN 1 THEN ' Co., L.L.C.' WHEN 2 THEN ' Limited Liability Company' WHEN 3 THEN ' Brewing Company Ltd' WHEN 4 THEN ' incorporated plc' ELSE '' END) AS said FROM customer"
+
+
+@_query(f"SELECT c_custkey, regexp_replace({synthetic.NORMAL.format('said')}, '^(.+?)(?: (?:{'|'.join(K.LEGAL_SUFFIXES)}))+$', '\\1') AS fuzzy, replace(fuzzy, ' ', '') AS compact FROM ({_SUFFIXED})")
+def legal_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "customer")
+    made = spark.sql(_SUFFIXED).withColumn("fuzzy", T.fuzzy(F.col("said")))
+    return made.select("c_custkey", "fuzzy", T.compact(F.col("fuzzy")).alias("compact"))
+
+
+_PREFIXED = "SELECT s_suppkey, concat(CASE s_suppkey % 5 WHEN 0 THEN 'Produced & Bottled by: ' WHEN 1 THEN 'Brewed and Bottled By ' WHEN 2 THEN 'IMPORTED BY ' WHEN 3 THEN 'made by made by ' ELSE '' END, s_name) AS b, concat(CASE s_suppkey % 4 WHEN 0 THEN 'Product of the ' WHEN 1 THEN 'Country of Origin: ' WHEN 2 THEN 'Origin ' ELSE '' END, 'Nation ', s_nationkey) AS o, CASE s_suppkey % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN 'Domestic' WHEN 2 THEN '--' WHEN 3 THEN NULL ELSE 'France' END AS p FROM supplier"
+
+
+@_query(f"SELECT s_suppkey, regexp_replace({synthetic.NORMAL.format('b')}, '^(?:{'|'.join(K.BOTTLER_PREFIXES)})(?: |$)', '') AS bottler, regexp_replace({synthetic.NORMAL.format('o')}, '^(?:{'|'.join(K.ORIGIN_PREFIXES)})(?: |$)', '') AS origin, coalesce(trim(p) = 'France', false) AS has_origin FROM ({_PREFIXED})")
+def prefix_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "supplier")
+    return spark.sql(_PREFIXED).select("s_suppkey", T.bottler(F.col("b")).alias("bottler"), T.origin(F.col("o")).alias("origin"), T.has_origin_value(F.col("p")).alias("has_origin"))
+
+
+_SAID = "SELECT p_partkey, concat(CASE p_partkey % 8 WHEN 0 THEN 'x' WHEN 1 THEN '-' ELSE 'Contents ' END, p_size, CASE p_partkey % 4 WHEN 0 THEN '.5' WHEN 1 THEN '' ELSE ',000' END, CASE p_partkey % 5 WHEN 0 THEN '% ABV' WHEN 1 THEN '% alc/vol' WHEN 2 THEN ' proof' WHEN 3 THEN '% by volume' ELSE '% Alc/Volcano' END) AS said FROM part"
+
+
+@_query(f"""SELECT p_partkey, CAST(CASE WHEN n IS NOT NULL AND n BETWEEN 0 AND 100 THEN n END AS DOUBLE) AS abv,
+  CASE WHEN said ~ '(?i)^-[0-9.,]+% (abv|alc/vol$)' THEN 'invalid' WHEN n IS NULL AND said ~ '(?i)\\b(alc|alcohol|abv)\\b' THEN 'signal' WHEN n > 100 THEN 'range' END AS problem
+FROM (SELECT *, TRY_CAST(replace(regexp_extract(said, '(?:^|[^0-9A-Za-z.,+-])([0-9][0-9.,]*)\\s*%\\s*(?:\\balc/vol\\b|\\babv)', 1, 'i'), ',', '') AS DECIMAL(18,2)) AS n FROM ({_SAID}))""")
+def parse_abv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    parsed = N.parse_abv(F.col("said"))
+    problem = F.when(parsed["error"].startswith("ABV marker"), "signal").when(parsed["error"].startswith("ABV must"), "range").when(parsed["error"].startswith("invalid"), "invalid")
+    return spark.sql(_SAID).select("p_partkey", parsed["value"].cast("double").alias("abv"), problem.alias("problem"))
+
+
+@_query(f"""SELECT p_partkey, CAST(CASE WHEN n <= 200 THEN n END AS DOUBLE) AS proof
+FROM (SELECT *, TRY_CAST(replace(regexp_extract(said, '(?:^|[^0-9A-Za-z.,+-])([0-9][0-9.,]*)\\s*proof\\b', 1), ',', '') AS DECIMAL(18,2)) AS n FROM ({_SAID}))""")
+def parse_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    return spark.sql(_SAID).select("p_partkey", N.parse_proof(F.col("said"))["value"].cast("double").alias("proof"))
+
+
+_VOLUME = "SELECT p_partkey, concat(CASE p_partkey % 3 WHEN 0 THEN '1,' WHEN 1 THEN '0' ELSE '' END, 100 + p_size, CASE p_partkey % 2 WHEN 0 THEN '.5' ELSE '' END, CASE p_partkey % 6 WHEN 0 THEN ' mL' WHEN 1 THEN ' fl. oz.' WHEN 2 THEN ' Liters' WHEN 3 THEN 'l' WHEN 4 THEN ' floz' ELSE ' cups' END) AS said FROM part"
+
+
+@_query(f"""SELECT p_partkey, CAST(CAST(replace(regexp_extract(said, '^([0-9.,]+)', 1), ',', '') AS DECIMAL(20,2)) * CAST(CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 29.5735295625 WHEN 2 THEN 1000 WHEN 3 THEN 1000 END AS DECIMAL(14,10)) AS DOUBLE) AS ml,
+  CASE p_partkey % 6 WHEN 0 THEN 'ml' WHEN 1 THEN 'fl oz' WHEN 2 THEN 'liters' WHEN 3 THEN 'l' END AS unit FROM ({_VOLUME})""")
+def parse_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    parsed = N.parse_net_contents(F.col("said"))
+    return spark.sql(_VOLUME).select("p_partkey", parsed["ml"].cast("double").alias("ml"), parsed["unit"].alias("unit"))
+
+
+_STRENGTH = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'wine' WHEN 1 THEN 'beer' WHEN 2 THEN 'distilled_spirits' ELSE 'cider' END AS cls, CAST(p_size / 3.0 AS DECIMAL(12,3)) AS abv FROM part"
+
+
+@_query(f"SELECT p_partkey, CAST(CASE cls WHEN 'wine' THEN CASE WHEN abv > 14 THEN 1.0 ELSE 1.5 END WHEN 'beer' THEN CASE WHEN abv < 0.5 THEN 0 ELSE 0.3 END WHEN 'distilled_spirits' THEN 0.3 END AS DOUBLE) AS tolerance FROM ({_STRENGTH})")
+def abv_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    return spark.sql(_STRENGTH).select("p_partkey", N.abv_tolerance(F.col("cls"), F.col("abv")).cast("double").alias("tolerance"))
+
+
+_FILL = "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'wine' ELSE 'distilled_spirits' END AS cls, CAST(p_size * 137 + p_partkey % 900 AS DECIMAL(12,3)) AS ml FROM part"
+
+
+@_query(f"""WITH sizes(cls, size) AS (VALUES {synthetic.SIZES}), asked AS ({_FILL}),
+near AS (SELECT p_partkey, asked.cls, ml, size FROM asked JOIN sizes USING (cls)
+  UNION ALL SELECT p_partkey, cls, ml, 4000 + 1000 * greatest(0, k) FROM (SELECT *, unnest([CAST(floor((ml - 4000) / 1000) AS INTEGER), CAST(floor((ml - 4000) / 1000) AS INTEGER) + 1]) AS k FROM asked WHERE cls = 'wine'))
+SELECT p_partkey, CAST(arg_min(size, abs(ml - size) * 100000 + size) AS DOUBLE) AS nearest, bool_or(ml = size) AS authorized FROM near GROUP BY p_partkey""")
+def nearest_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    ml, cls = F.col("ml"), F.col("cls")
+    return spark.sql(_FILL).select("p_partkey", N.nearest_size(ml, cls).cast("double").alias("nearest"), N.authorized_size(ml.cast(N.DECIMAL), F.lit("ml"), cls).isNotNull().alias("authorized"))
+
+
+_PHRASE = "SELECT p_partkey, concat(p_name, CASE p_partkey % 9 WHEN 0 THEN ' Port Finished Bourbon' WHEN 1 THEN ' BARLEY-WINE style ale' WHEN 2 THEN ' Table Wine' WHEN 3 THEN ' hard seltzer' WHEN 4 THEN ' Single Malt Scotch' WHEN 5 THEN ' gin' WHEN 6 THEN ' ginger' WHEN 7 THEN ' Crème de Menthe' ELSE ' flavored malt beverage with wine' END) AS said FROM part"
+
+
+@_query(f"""WITH k(cls, word, n, i) AS (VALUES {synthetic.KEYWORDS}), asked AS (SELECT p_partkey, ' ' || trim(regexp_replace(regexp_replace(lower(said), '[^\\pL\\pN]', ' ', 'g'), ' +', ' ', 'g')) || ' ' AS said FROM ({_PHRASE}))
+SELECT p_partkey, arg_max(cls, n * 10 - i) FILTER (cls IS NOT NULL) AS beverage_class FROM asked LEFT JOIN k ON contains(said, ' ' || word || ' ') GROUP BY p_partkey""")
+def beverage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    return spark.sql(_PHRASE).select("p_partkey", T.beverage_class(F.col("said")).alias("beverage_class"))
+
+
+@_query()
+def brand_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    other = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    return parts.join(other, "p_partkey").select("p_partkey", F.round(T.token_sort_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"))
+
+
+@_query()
+def warning_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.warning(F.col("text")).alias("t"))
+    return said.select("conv_id", "turn", T.word_level_diff(F.lit(K.WARNING_PREFIX), T.warning_prefix(F.col("t"))).alias("difference"))
+
+
+_DONE = "SELECT event_id, CAST(event_id % 40 AS INTEGER) AS done, 40 AS total, CAST(value AS DOUBLE) AS seconds FROM events"
+
+
+@_query(f"""SELECT event_id, 'Completed ' || done || ' of ' || total || ' labels' || CASE WHEN done <= 0 OR done >= total OR seconds <= 0 THEN '' WHEN seconds / done * (total - done) < 90 THEN ' — under 2 minutes left'
+  ELSE ' — about ' || CAST(round_even(seconds / done * (total - done) / 60, 0) AS INTEGER) || CASE CAST(round_even(seconds / done * (total - done) / 60, 0) AS INTEGER) WHEN 1 THEN ' minute left' ELSE ' minutes left' END END AS said FROM ({_DONE})""")
+def progress_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "events")
+    return spark.sql(_DONE).select("event_id", N.progress_text(F.col("done"), F.col("total"), F.col("seconds")).alias("said"))
+
+
+# ---- joins, sets, aggregates ----
+
+_FILES = "SELECT concat('Doc', doc_id, '.png') AS filename, doc_id AS ord FROM documents WHERE doc_id % 3 <> 0"
+_LISTED = "SELECT concat('DOC', doc_id + 7, '.PNG') AS filename, doc_id AS ord FROM labels"
+
+
+@_query(f"""SELECT coalesce(m.filename, u.filename) AS filename, CASE WHEN u.filename IS NULL THEN 'image' WHEN m.filename IS NULL THEN 'manifest' END AS missing,
+  CAST(m.filename IS NULL AS INTEGER) AS part, coalesce(m.ord, u.ord) AS place FROM ({_LISTED}) m FULL JOIN ({_FILES}) u ON lower(m.filename) = lower(u.filename)""")
+def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "documents", "labels")
+    files, listed = (spark.sql(q).withColumnRenamed("ord", "order") for q in (_FILES, _LISTED))
+    missing = F.when(F.col("error") == K.MISSING_IMAGE, "image").when(F.col("error") == K.MISSING_MANIFEST, "manifest")
+    return reconcile.reconciled(listed, files).select("filename", missing.alias("missing"), "order.part", "order.place")
+
+
+@_query(f"SELECT m.filename FROM ({_LISTED}) m WHERE ord NOT IN (SELECT ord FROM ({_FILES}))")
+def cancelled_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "documents", "labels")
+    done = spark.sql(f"SELECT m.filename FROM ({_LISTED}) m JOIN ({_FILES}) f ON m.ord = f.ord")
+    return reconcile.cancelled(spark.sql(_LISTED), done).select("filename")
+
+
+_TWICE = "SELECT concat(CASE doc_id % 2 WHEN 0 THEN 'IMG' ELSE 'img' END, doc_id % 90, '.png') AS filename, doc_id AS ord FROM documents"
+
+
+@_query(f'SELECT filename, ord AS "order" FROM (SELECT *, row_number() OVER (PARTITION BY lower(filename) ORDER BY ord) AS n FROM ({_TWICE})) WHERE n = 2')
+def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "documents")
+    return reconcile.duplicates(spark.sql(_TWICE).withColumnRenamed("ord", "order"))
+
+
+@_query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY ALL")
+def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.timing(_table(spark, sf_dir, "events"), "value", "event_type").drop("mean")
+
+
+@_query("""SELECT event_type, min(value) AS weighted_median FROM (SELECT event_type, value, sum(w) OVER (PARTITION BY event_type ORDER BY value ROWS UNBOUNDED PRECEDING) AS r, sum(w) OVER (PARTITION BY event_type) AS t
+FROM (SELECT event_type, value, 1 + user_id % 5 AS w FROM events)) WHERE r >= t / 2 GROUP BY ALL""")
+def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").withColumn("w", 1 + F.col("user_id") % 5)
+    return rollup.weighted_median(events, "value", "w", "event_type")
+
+
+_KEYWORD_LINES = "SELECT DISTINCT l_orderkey AS label_id, l_linenumber AS line, CASE l_partkey % 5 WHEN 0 THEN 'table wine' WHEN 1 THEN 'single malt scotch whisky' WHEN 2 THEN 'gin' WHEN 3 THEN 'rye whiskey bourbon' ELSE 'proof' END AS said FROM lineitem"
+
+
+@_query(f"""WITH k(cls, word, n, i) AS (VALUES {synthetic.KEYWORDS}), scored AS (SELECT label_id, line, said, max(n) AS words, count(*) AS hits FROM ({_KEYWORD_LINES}) JOIN k ON contains(' ' || said || ' ', ' ' || word || ' ') GROUP BY ALL)
+SELECT label_id, line, said FROM scored QUALIFY rank() OVER (PARTITION BY label_id ORDER BY words DESC, hits DESC) = 1""")
+def class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "lineitem")
+    scored = spark.sql(_KEYWORD_LINES).withColumn("s", T.keyword_score(F.col("said"))).where("s IS NOT NULL")
+    w = Window.partitionBy("label_id").orderBy(F.desc("s.words"), F.desc("s.hits"))
+    return scored.withColumn("k", F.rank().over(w)).where("k = 1").select("label_id", "line", "said")
+
+
+_BOXES = "SELECT l_orderkey AS label_id, l_linenumber AS line, CAST(l_linenumber * 40 + min(l_suppkey) % 30 AS DOUBLE) AS t, CAST(l_linenumber * 40 + min(l_suppkey) % 30 + 20 AS DOUBLE) AS b FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@_query(f"""SELECT label_id, min(line) AS first_line, count(*) AS n_lines FROM (SELECT *, sum(new) OVER (PARTITION BY label_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN line = lag(line) OVER w + 1 AND t - lag(b) OVER w BETWEEN 0 AND 10 THEN 0 ELSE 1 END AS new FROM ({_BOXES}) WINDOW w AS (PARTITION BY label_id ORDER BY line))) GROUP BY label_id, island""")
+def brand_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("label_id").orderBy("line")
+    joined = (F.col("line") == F.lag("line").over(w) + 1) & (F.col("t") - F.lag("b").over(w)).between(0, 20 * layout.BRAND_GAP)
+    marked = spark.sql(_BOXES).withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("label_id", "island").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines")).drop("island")
+
+
+# ---- sources and layout ----
+
+
+@_query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s[^>]*href="[^"]')) AS INTEGER) AS n_links FROM pages""")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _table(spark, sf_dir, "pages").withColumn("p", registry.parsed("html"))
+    return read.select("page_id", F.size("p.hrefs").alias("n_links"))
+
+
+@_query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = _table(spark, sf_dir, "pages").withColumn("p", registry.parsed("html"))
+    return read.select("page_id", F.size("p.lines").alias("n_lines"), F.md5(F.array_join("p.lines", "\n")).alias("digest"))
+
+
+_DETAIL = """SELECT p_partkey AS page_id, 'https://registry.example/detail' AS url, concat('<html><script>x</script><table><tr><td>Brand Name:</td><td>', CASE p_partkey % 5 WHEN 0 THEN '' ELSE p_name END,
+  '</td></tr><tr><td>Class/Type Code: ', p_type, '</td></tr><tr><td>Origin Code:</td><td>', CASE p_partkey % 3 WHEN 0 THEN 'OREGON' ELSE 'ITALY' END,
+  '</td></tr><tr><td>Plant Registry/Basic Permit/Brewers No (Principal Place of Business):</td></tr><tr><td>DSP-KY-', p_size, '</td></tr><tr><td>Maker ', p_brand, '</td></tr><tr><td>Town</td></tr><tr><td>Contact Information:</td></tr></table></html>') AS html FROM part"""
+
+
+@_query("""SELECT p_partkey AS page_id, CASE p_partkey % 5 WHEN 0 THEN '' ELSE p_name END AS brand_name, p_type AS class_type, CASE p_partkey % 3 WHEN 0 THEN '' ELSE 'ITALY' END AS origin_country,
+  concat('Maker ', p_brand, ' / Town') AS bottler, p_partkey % 5 = 0 AS refused FROM part""")
+def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    return registry.records(spark.sql(_DETAIL)).select("page_id", "brand_name", "class_type", "origin_country", "bottler", F.col("error").isNotNull().alias("refused"))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels laid out as text blocks, one below the other, the brand tallest and in two blocks."""
+    made = synthetic.labels(spark, sf_dir)
+    rows = F.array(
+        F.struct(F.split("brand_name", " ")[0].alias("text"), F.lit(20.0).alias("x"), F.lit(20.0).alias("y"), F.lit(60.0).alias("h")),
+        F.struct(F.split("brand_name", " ")[1].alias("text"), F.lit(220.0).alias("x"), F.lit(22.0).alias("y"), F.lit(60.0).alias("h")),
+        *(F.struct(F.col(c).alias("text"), F.lit(20.0).alias("x"), F.lit(100.0 + 60 * i).alias("y"), F.lit(20.0).alias("h")) for i, c in enumerate(("class_type", "alcohol_content", "net_contents", "bottler"))),
+        F.struct(F.concat(F.lit("Product of "), F.col("origin_country")).alias("text"), F.lit(20.0).alias("x"), F.lit(400.0).alias("y"), F.lit(20.0).alias("h")),
+        F.struct(F.lit(K.WARNING).alias("text"), F.lit(20.0).alias("x"), F.lit(460.0).alias("y"), F.lit(20.0).alias("h")),
+    )
+    corner = lambda dx, dy: F.struct((F.col("e.x") + dx).alias("x"), (F.col("e.y") + dy).alias("y"))
+    placed = made.select("label_id", F.posexplode(rows).alias("position", "e"))
+    box = F.array(corner(0, 0), corner(180, 0), corner(180, F.col("e.h")), corner(0, F.col("e.h")))
+    return placed.select("label_id", "position", "e.text", box.alias("bbox"), F.lit(0.9).alias("confidence"), F.lit(500.0).alias("width"), F.lit(600.0).alias("height"))
+
+
+@_query("SELECT p_partkey AS label_id, CASE WHEN p_partkey % 4 = 0 THEN 7 ELSE 8 END - 1 AS n_lines FROM part")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.text_lines(_blocks(spark, sf_dir))
+    return found.groupBy("label_id").agg(F.count("*").cast("int").alias("n_lines"))
+
+
+@_query(f"""WITH labels AS ({synthetic.LABELS}) SELECT label_id, unnest(['brand_name', 'alcohol_content', 'net_contents', 'bottler']) AS field, 'FOUND' AS state, unnest([brand_name, alcohol_content, net_contents, bottler]) AS value FROM labels""")
+def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.field_candidates(_blocks(spark, sf_dir))
+    return found.where(F.col("field").isin("brand_name", "alcohol_content", "net_contents", "bottler")).select("label_id", "field", "state", "value")
+
+
+@_query()
+def extracted_labels_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From blocks to verdicts: layout, candidates, rules, roll-up."""
+    found = layout.evidence(layout.field_candidates(_blocks(spark, sf_dir)))
+    applied = synthetic.labels(spark, sf_dir).select("label_id", *K.APPLICATION_FIELDS).join(found, "label_id")
+    return rollup.rolled_up(rules.long_form(rules.evaluated(applied), "label_id"), "label_id").select("label_id", "overall", "disclosure")
+
+
+@_query()
+def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey test images made from orders, with the gates that they pass."""
+    made = _table(spark, sf_dir, "orders").where("o_orderkey < 64").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.concat(*(F.sha2(F.concat("o_orderkey", F.lit(i)), 256) for i in range(8)))).alias("data"))
+    return images.quality(made)
