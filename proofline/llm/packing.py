@@ -35,6 +35,8 @@ END = 2
 BLOCK = 256 * LENGTH
 #: Relative costs of a token and of a pair of tokens of one document, as of a layer of width 1024.
 LINEAR, QUADRATIC = 1.0, 1.0 / (12 * 1024)
+#: Distinct pieces remembered by a Python worker.
+PIECES = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
 
@@ -48,10 +50,13 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered = Remembered(lambda new: [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        self.remembered = Remembered(lambda new: [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)], PIECES)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        offsets, pieces = list_parts(pc.split_pattern(pc.replace_substring(strings(texts), "\n", " "), " "))
+        plain = pc.replace_substring(strings(texts), "\n", " ")
+        # A pre-token ends between a letter or digit and a mark, so a space there changes nothing, except within a special token.
+        parted = pc.replace_substring_regex(plain, "([A-Za-z0-9])([.,!?;:#$%&*])", r"\1 \2")
+        offsets, pieces = list_parts(pc.split_pattern(pc.if_else(pc.match_substring(plain, "<|"), plain, parted), " "))
         size, ids = self.remembered(pieces)
         return np.concatenate([[0], np.cumsum(size)])[offsets], ids
 
