@@ -1,6 +1,6 @@
 """BPE encoding and decoding.
 
-Encoder: the longest vocabulary entries at each place come from an Aho-Corasick automaton; a backtracking walk takes them from
+Encoder: the longest vocabulary entry at a place comes from an Aho-Corasick automaton; a backtracking walk takes such entries from
 left to right, checking each neighbour pair against a compatibility table (two tokens may stand together if merging
 their bytes anew gives the same two), and so finds the exact merge result in time linear in the word. Decoder: all
 tokens' bytes lie in one buffer with an offset table.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Callable
 
@@ -35,7 +36,9 @@ PRE_TOKENS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}
 IRREGULAR = r"[\p{Z}\t-\r\x{85}][\p{Z}\t-\r\x{85}]|^[\p{Z}\t-\r\x{85}]|[\p{Z}\t-\r\x{85}]$|[\t\x0b-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\||\x00"
 MARK = "\x00"
 #: Pieces remembered by a Python worker.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
+#: Entries of the compatibility table that a worker holds at once; they are found anew when needed.
+PAIRS = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -74,14 +77,13 @@ class ByteBpe:
             self.joined.setdefault(pair, len(single) + k)
             self.parts.append(pair)
         self.pairs: dict[tuple[int, int], bool] = {}
-        reached = {t: k for t, k in self.rank.items() if k < len(single) or self._together(*self.parts[k], limit=k)}
+        self.reached = reached = {t: k for t, k in self.rank.items() if k < len(single) or self._together(*self.parts[k], limit=k)}
         self.prefix = [next((reached[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in reached), -1) for t in self.rank]
         self.automaton = ahocorasick.Automaton()
         for t, k in reached.items():
-            self.automaton.add_word(t, (k, len(t)))
+            self.automaton.add_word(t, k)
         self.automaton.make_automaton()
         self.cut = regex.compile(PRE_TOKENS).findall
-        self.words: dict[str, list[int]] = {}
         # Decoding: the bytes of all ids, one after the other.
         of_id = {vocabulary[t]: s.encode("latin-1") for t, s in plain.items()} | {i: t.encode() for t, i in self.special.items()}
         every = [of_id.get(i, b"") for i in range(max(of_id) + 1)]
@@ -108,49 +110,48 @@ class ByteBpe:
                         return True
 
     def _compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            found = self.pairs[a, b] = self._together(a, b)
+        """An entry of the compatibility table, made when first asked for."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[a, b] = self._together(a, b)
         return found
 
     def word(self, word: str) -> list[int]:
         """Ranks of one pre-token's merge result."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
         data = word.encode("utf-8", "surrogatepass").decode("latin-1")
-        n = len(data)
-        longest = [0] * n
-        for end, (token, size) in self.automaton.iter(data):
-            longest[end - size + 1] = token  # later ends are longer
-        out: list[int] = []
-        open_, at, token = bytearray(b"\1") * (n + 1), 0, longest[0]
-        length, prefix, compatible = self.length, self.prefix, self._compatible
+        reached = self.reached.get
+        whole = reached(data)
+        if whole is not None:
+            return [whole]
+        n, out = len(data), []
+        open_, at, token, last = bytearray(b"\1") * (n + 1), 0, -1, -1
+        length, prefix, known, compatible, reach = self.length, self.prefix, self.pairs.get, self._compatible, self.automaton.longest_prefix
         while at < n:
-            last = out[-1] if out else -1
+            if token < 0:  # the longest token here: as far as the automaton goes, then back to a token's end
+                rest = data[at:]
+                size = reach(rest)
+                token = reached(rest[:size])
+                while token is None:
+                    size -= 1
+                    token = reached(rest[:size])
             while True:
                 end = at + length[token]
-                if open_[end] and (last < 0 or compatible(last, token)):
+                if open_[end] and (last < 0 or (fits if (fits := known((last, token))) is not None else compatible(last, token))):
                     out.append(token)
-                    at = end
-                    token = longest[at] if at < n else 0
+                    at, last, token = end, token, -1
+                    break
+                token = prefix[token]
+                if token < 0:
+                    open_[at] = 0
+                    token = out.pop()
+                    at -= length[token]
+                    last = out[-1] if out else -1
                     break
-                if prefix[token] >= 0:
-                    token = prefix[token]
-                    continue
-                open_[at] = 0
-                token = out.pop()
-                at -= length[token]
-                break
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-            self.pairs.clear()
-        self.words[word] = out
         return out
 
     def pieces(self, pieces: list[str]) -> list[list[int]]:
         word, cut = self.word, self.cut
-        return [[i for w in cut(p) for i in word(w)] for p in pieces]
+        return [word(p) if p[p[:1] == " " :].isalpha() else [i for w in cut(p) for i in word(w)] for p in pieces]
 
     def irregular(self, text: str) -> np.ndarray:
         """Ids of any text at all: special tokens first, then pre-tokens."""
@@ -193,8 +194,9 @@ def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class Remembered:
     """Ids of pieces: each distinct piece is encoded once as long as it is remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = REMEMBERED):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray | None = None, most: int = REMEMBERED):
+        """table: what turns encode's numbers into ids, if they aren't ids."""
+        self.encode, self.table, self.most = encode, table, most
         self._forget()
 
     def _forget(self) -> None:
@@ -211,7 +213,8 @@ class Remembered:
         if new:
             ids = self.encode(new)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+            flat = flat if self.table is None else self.table[flat]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
@@ -225,13 +228,15 @@ class ByteEncoder:
 
     def __init__(self, name: str):
         self.bpe = ByteBpe(tokenizer_path(name))
-        self.remembered = Remembered(lambda new: [self.bpe.ids[x].tolist() for x in self.bpe.pieces(new)])
+        self.remembered = Remembered(self.bpe.pieces, self.bpe.ids)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts."""
         texts = strings(texts)
         odd = pc.match_substring_regex(texts, IRREGULAR)
-        marked = pc.if_else(odd, "", pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK))
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n" + MARK)
+        # Pre-tokens also end between a letter or digit and such a mark.
+        marked = pc.if_else(odd, "", pc.replace_substring_regex(marked, "([A-Za-z0-9])([.,!?;:#$%&*])", rf"\1{MARK}\2"))
         offsets, pieces = list_parts(pc.split_pattern(marked, MARK))
         size, ids = self.remembered(pieces)
         ends = np.concatenate([[0], np.cumsum(size)])[offsets]
