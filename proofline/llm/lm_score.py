@@ -16,6 +16,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd  # noqa: F401  (Arrow groups need it installed)
 import pyarrow as pa
@@ -69,9 +71,35 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts, most of which are small, as deflated 64-bit numbers."""
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
+def _squeezed(batches):
+    """Texts travel compressed: they cross the network twice."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        z = pa.array([squeeze(t.as_buffer()) for t in batch.column("text").cast(pa.large_binary())], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), z, batch.column("slice")], ["doc_id", "z", "slice"])
+
+
+def _texts(column: pa.ChunkedArray) -> pa.Array:
+    import zstandard
+
+    open_ = zstandard.ZstdDecompressor().decompress
+    return pa.array([open_(z.as_buffer()).decode("utf-8") for z in column], pa.large_string())
+
+
 def _sent(parts: int):
     def per_slice(part: pa.Table) -> pa.Table:
-        offsets, one, two = grams(part.column("text"))
+        offsets, one, two = grams(_texts(part.column("z")))
         keys, _, counts = distinct(one, two)
         cut = borders(keys, parts)
         some = np.flatnonzero(np.diff(cut))
@@ -81,7 +109,7 @@ def _sent(parts: int):
                 "slice": pa.array(np.full(len(some), number, np.int64)),
                 "part": pa.array(some.astype(np.int64)),
                 "grams": pa.array([packed(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
-                "counts": pa.array([counts[cut[p] : cut[p + 1]].astype("<u4").tobytes() for p in some], pa.binary()),
+                "counts": pa.array([_small(counts[cut[p] : cut[p + 1]]) for p in some], pa.binary()),
             }
         )
 
@@ -91,12 +119,12 @@ def _sent(parts: int):
 def _totals(part: pa.Table) -> pa.Table:
     """The partition's count table, joined back to what each slice has sent."""
     keys = [unpacked(x) for x in part.column("grams").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in part.column("counts").to_pylist()]
+    counts = [_large(x) for x in part.column("counts").to_pylist()]
     _, back = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(back, np.concatenate(counts)).astype("<i8")
     ends = np.cumsum([len(k) for k in keys])
-    back = [total[x].astype("<u8") for x in np.split(back, ends[:-1])]
-    return pa.table({"slice": part.column("slice"), "part": part.column("part"), "totals": pa.array([x.tobytes() for x in back], pa.binary())})
+    back = [_small(total[x]) for x in np.split(back, ends[:-1])]
+    return pa.table({"slice": part.column("slice"), "part": part.column("part"), "totals": pa.array(back, pa.binary())})
 
 
 def mean_logs(offsets: np.ndarray, one: np.ndarray, two: np.ndarray, totals: np.ndarray, words: int) -> np.ndarray:
@@ -128,9 +156,9 @@ def _scored(words: int):
     def per_slice(docs: pa.Table, totals: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        offsets, one, two = grams(docs.column("text"))
+        offsets, one, two = grams(_texts(docs.column("z")))
         ordered = totals.sort_by("part").column("totals").to_pylist()
-        scores = mean_logs(offsets, one, two, np.frombuffer(b"".join(ordered), "<u8").astype(np.int64), words)
+        scores = mean_logs(offsets, one, two, np.concatenate([np.zeros(0, np.int64), *map(_large, ordered)]), words)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(np.diff(offsets)), "score": pa.array(scores, pa.float64(), from_pandas=True)})
 
     return per_slice
@@ -149,6 +177,7 @@ def lm_score(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     slices = max(1, -(-size // slice_bytes))
     # Distinct n-grams of a hash partition are about as many as a slice's, so there are as many partitions as slices.
     dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(slices)).alias("slice"))
+    dealt = dealt.mapInArrow(_squeezed, "doc_id long, z binary, slice long")
     words = docs.select(text.alias("text")).mapInArrow(_words_in, "n long").agg(F.sum("n")).first()[0] or 0
     sent = dealt.groupBy("slice").applyInArrow(_sent(slices), "slice long, part long, grams binary, counts binary")
     back = written(sent.groupBy("part").applyInArrow(_totals, "slice long, part long, totals binary"), "totals", compression="zstd")
