@@ -197,9 +197,10 @@ class Remembered:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], table: np.ndarray | None = None, most: int = REMEMBERED):
         """table: what turns encode's numbers into ids, if they aren't ids."""
         self.encode, self.table, self.most = encode, table, most
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Also for a task's end: the worker lives on, and its memory is needed by other operators."""
         self.place: dict[str, int] = {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -208,7 +209,7 @@ class Remembered:
         encoded = pieces.dictionary_encode()
         names = encoded.dictionary.to_pylist()
         if len(self.place) > self.most:
-            self._forget()
+            self.forget()
         new = [p for p in names if p not in self.place]
         if new:
             ids = self.encode(new)
@@ -278,6 +279,7 @@ def digests(docs: DataFrame, name: str = FILE) -> DataFrame:
                 of_ids = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 decoded = [hashlib.sha256(t.encode()).hexdigest() for t in own.bpe.decode(offsets, ids)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(of_ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder(name).remembered.forget()
 
     return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

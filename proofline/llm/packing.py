@@ -160,6 +160,7 @@ def pack(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int = END
                     packer.add(doc_id, len(own), 0, own)
                     if packer.total >= block:
                         yield packer.packed(last=False)
+        encoder(name).remembered.forget()
         yield packer.packed(last=True)
 
     return docs.select("doc_id", "text").mapInArrow(batches, SCHEMA)

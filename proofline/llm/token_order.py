@@ -63,6 +63,7 @@ def sequences(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int
                 rest = stream[out.num_rows * length :]
                 number += out.num_rows
                 yield out
+        encoder(name).remembered.forget()
         if len(rest):
             data = np.concatenate([rest, np.full(length - len(rest), end, "<u2")]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([number]), pa.array([len(rest)]), pa.array([data], pa.binary())], names)
