@@ -25,7 +25,7 @@ ORACLE_SQL = None
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: What may follow a family's name, as words of a signature.
-VERSION = "(?: version| v)?"
+VERSION = "(?: version)?(?: v)?"
 
 #: Fixed values. Families of signatures: keyword, then label prefix, name expression and versions (words). One rule is built for each
 #: version, of priority 2 and weight 0.95, and one for the bare name, of priority 1 and weight 0.8.
@@ -120,7 +120,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """(keyword, label, expression over words, priority, weight) in order: base phrases, families by version and bare, sentences."""
     out = [(phrase, label, phrase, 0, 0.7) for phrase, label in BASE.items()]
     for keyword, label, name, versions in FAMILIES:
-        out += [(keyword, f"{label}-{v.replace(' ', '.')}", f"{name}{VERSION} {v}", 2, 0.95) for v in versions]
+        out += [(keyword, f"{label}-{v.replace(' ', '.')}", f"{name}{VERSION} v?{v}", 2, 0.95) for v in versions]
         out.append((keyword, label, name, 1, 0.8))
     return out + [(keyword, label, text, 3, 1.0) for keyword, label, text in TEXTS]
 
