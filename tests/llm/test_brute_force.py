@@ -58,6 +58,25 @@ def test_large_buckets_still_make_one_class(spark):
     assert all(r["class_id"] == r["doc_id"] and r["n_links"] == 0 for r in found if r["doc_id"] >= 100)
 
 
+def test_copies_that_resemble_only_their_base(spark):
+    random.seed(8)
+    base = [f"word{i}" for i in range(300)]
+    texts = {50: " ".join(base)}
+    for i in [*range(50), *range(51, 101)]:
+        w = list(base)
+        for k in range(4):
+            w[random.randrange(70) + 75 * k] = f"new{i}x{k}"
+        texts[i] = " ".join(w)
+    rows = [*texts.items(), (200, texts[50]), (201, texts[3].upper())]
+    found = {r["doc_id"]: r for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    pairs = near_pairs(dict(rows))
+    assert all((i, 50) in pairs or (50, i) in pairs for i in texts if i != 50) and len(pairs) < 1000
+    assert {r["class_id"] for r in found.values()} == {0}
+    # Banding finds a pair of 0.87 almost surely.
+    links = collections.Counter(x for p in pairs for x in p)
+    assert {i: r["n_links"] for i, r in found.items()} == links
+
+
 def test_bands_reach_the_recall():
     b = ngram_join.bands_for(0.8, 0.999, 6)
     assert 1 - (1 - 0.8**6) ** b >= 0.999 > 1 - (1 - 0.8**6) ** (b - 1)
