@@ -77,6 +77,20 @@ def test_copies_that_resemble_only_their_base(spark):
     assert {i: r["n_links"] for i, r in found.items()} == links
 
 
+def test_links_of_a_large_group_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    random.seed(9)
+    base = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        w[random.randrange(300)] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[7][1]), (101, rows[7][1].upper())]
+    found = {r["doc_id"]: r for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    assert {r["n_links"] for r in found.values()} == {81} and {r["class_id"] for r in found.values()} == {0}
+
+
 def test_bands_reach_the_recall():
     b = ngram_join.bands_for(0.8, 0.999, 6)
     assert 1 - (1 - 0.8**6) ** b >= 0.999 > 1 - (1 - 0.8**6) ** (b - 1)
