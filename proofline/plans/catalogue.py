@@ -359,6 +359,6 @@ def extracted_labels_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grey test images made from orders, with the gates that they pass."""
-    made = _table(spark, sf_dir, "orders").where("o_orderkey < 64").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.concat(*(F.sha2(F.concat("o_orderkey", F.lit(i)), 256) for i in range(8)))).alias("data"))
+    """Grey test images made from all orders, with the gates that they pass."""
+    made = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.concat(*(F.sha2(F.concat("o_orderkey", F.lit(i)), 256) for i in range(8)))).alias("data"))
     return images.quality(made)

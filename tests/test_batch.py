@@ -2,6 +2,8 @@ import pytest
 
 from proofline import constants as K
 from proofline.operators import layout, reconcile
+from proofline.plans import catalogue
+from proofline.shipping import ship
 from proofline.sources import images, manifest, registry
 
 HEAD = ",".join(K.MANIFEST_COLUMNS)
@@ -82,3 +84,10 @@ def test_image_statistics():
     blur, contrast, glare, spread = images.statistics(np.full((32, 32), 255, np.uint8))
     assert (blur, contrast, glare, spread) == (0, 0, 1, 0)
     assert images.statistics((np.indices((32, 32)).sum(0) % 2 * 255).astype(np.uint8))[0] > images.BLUR
+
+
+def test_image_quality_measures_every_order(spark):
+    folder = "/root/testdata/sf0.001"
+    found = catalogue.image_quality(ship(spark), folder)
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey")
+    assert found.count() == orders.count() and found.join(orders, found["path"] == orders["o_orderkey"].cast("string"), "left_anti").isEmpty()
