@@ -122,8 +122,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def passages(x: np.ndarray, y: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
-    """Passages of x (from, to), their places in y (from, to) and similarity: runs of shared shingles, joined over the gaps
-    that single changed words leave, as long as the joined passages stay similar enough."""
+    """Passages of x (from, to), their places in y (from, to) and similarity: all longest spans of runs of shared shingles that are
+    similar enough as wholes, however wide the gaps between the runs are."""
     keys, first = np.unique(y, return_index=True)
     at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
     shared = keys[at] == x if len(keys) else np.zeros(len(x), bool)
@@ -131,6 +131,20 @@ def passages(x: np.ndarray, y: np.ndarray, least: int, threshold: float) -> list
     runs = edges.reshape(-1, 2)
     out: list[tuple[int, int, int, int, float]] = []
 
+    only = np.zeros(len(y), bool)
+    only[first] = ~np.isin(keys, x)
+    also = np.concatenate([[0], np.cumsum(np.isin(y, keys[~only[first]]))])
+    only = np.concatenate([[0], np.cumsum(only)])
+    lone = np.zeros(len(x), bool)
+    lone[np.unique(x, return_index=True)[1]] = True
+    lone = np.concatenate([[0], np.cumsum(lone & ~shared)])
+    common = np.concatenate([[0], np.cumsum(shared)])
+
+    def at_most(a, b, c, d):
+        """What the similarity of two spans can be at most, from prefix counts: shared places and distinct ones of one side only."""
+        both = np.minimum(common[b] - common[a], also[d] - also[c])
+        return both / np.maximum(both + lone[b] - lone[a] + only[d] - only[c], 1)
+
     def judged(a: int, b: int):
         places = first[at[a:b][shared[a:b]]]
         # The middle of the places guards against shingles that y repeats elsewhere.
@@ -141,27 +155,32 @@ def passages(x: np.ndarray, y: np.ndarray, least: int, threshold: float) -> list
         if d - c < least:  # few distinct shingles: they repeat further on in y, or it has no such passage
             d = min(c + (b - a), len(y))
             c = max(d - (b - a), 0)
-        if d - c < least:
+        if d - c < least or at_most(a, b, c, d) < threshold - 1e-9:
             return c, d, 0.0
         own, other = np.unique(x[a:b]), np.unique(y[c:d])
-        common = len(own) + len(other) - len(np.unique(np.concatenate([own, other])))
-        return c, d, common / max(len(own) + len(other) - common, 1)
-
-    # Chains of runs with small gaps are judged as wholes; what isn't similar enough is parted at its widest gap.
-    gaps = runs[1:, 0] - runs[:-1, 1]
-    ends = np.concatenate([np.flatnonzero(gaps > 2 * SHINGLE), [len(runs) - 1]])
-    todo = list(zip(np.concatenate([[0], ends[:-1] + 1]).tolist(), ends.tolist(), strict=True))[::-1] if len(runs) else []
-    while todo:
-        i, j = todo.pop()
-        a, b = int(runs[i][0]), int(runs[j][1])
-        if b - a < least:
+        all_ = len(own) + len(other)
+        shared_ = all_ - len(np.unique(np.concatenate([own, other])))
+        return c, d, shared_ / max(all_ - shared_, 1)
+
+    # Only spans that can reach the threshold are judged, the longest first.
+    starts, ends = runs[:, 0], runs[:, 1]
+    spots = [first[at[a:b]] for a, b in runs.tolist()]
+    lowest, highest = np.array([p.min() for p in spots], np.int64), np.array([p.max() + 1 for p in spots], np.int64)
+    done = -1
+    for i in range(len(runs)):
+        a, b = starts[i], ends[i:]
+        both, alone = common[b] - common[a], lone[b] - lone[a]
+        fit = (np.arange(i, len(runs)) > done) & (b - a >= least) & (both >= threshold * (both + alone) - 1e-9)
+        if not fit.any():
             continue
-        c, d, similar = judged(a, b)
-        if similar >= threshold:
-            out.append((a, b, c, d, similar))
-        elif i < j:
-            k = i + int(np.argmax(gaps[i:j]))
-            todo += [(k + 1, j), (i, k)]
+        c, d = np.minimum.accumulate(lowest[i:]), np.maximum.accumulate(highest[i:])
+        fit &= (d - c > 1.5 * (b - a) + 2 * SHINGLE) | (d - c < least) | (at_most(a, b, c, d) >= threshold - 1e-9)
+        for j in (i + np.flatnonzero(fit)[::-1]).tolist():
+            c, d, similar = judged(int(a), int(ends[j]))
+            if similar >= threshold:
+                out.append((int(a), int(ends[j]), c, d, similar))
+                done = j
+                break
     return out
 
 

@@ -135,6 +135,23 @@ def test_repeated_passages(docs, texts):
                 assert covered[i].issuperset(range(k, k + 50))
 
 
+def test_insertions_leave_passages_whole():
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    ids: dict = {}
+    shingles = lambda w: np.array([ids.setdefault(tuple(w[k : k + 5]), len(ids)) for k in range(len(w) - 4)], "<u4")
+    for n in range(6, 21):
+        for length, at in ((90, 45), (150, 75), (150, 50)):
+            base = words("w", length)
+            copy = base[:at] + words(f"new{n}x", n) + base[at:]
+            own, other = set(shingles(base).tolist()), set(shingles(copy).tolist())
+            wanted = len(own & other) / len(own | other)
+            for x, y in ((copy, base), (base, copy)):
+                x, y = words("left", 20) + x + words("ahead", 20), words("early", 30) + y + words("late", 10)
+                found = substring_dedup.passages(shingles(x), shingles(y), 46, 0.8)
+                whole = [(a, b, s) for a, b, _, _, s in found if a == 20 and b == len(x) - 24]
+                assert bool(whole) == (wanted >= 0.8) and all(abs(s - wanted) < 1e-9 for *_, s in whole)
+
+
 def test_cutting_leaves_the_rest(spark):
     passage = " ".join(f"shared{i}" for i in range(60))
     rows = [(1, f"start one\n{passage}\nend one"), (2, f"begin  two {passage} stop two"), (3, passage), (4, "clean text")]
