@@ -8,7 +8,9 @@ documents; aligned intervals of one pair of documents are joined, and where at l
 passages' shingles are compared: kept are passages of at least WORDS words with a Jaccard similarity >= THRESHOLD.
 
 Groups are reduced to their first and last document before the shuffle, so a passage in a third of all documents costs one
-row for each. An exact repeat of WORDS words has all hash functions agree; one of similarity 0.8 is a candidate with
+row for each. Windows that no verified passage of their document covers then are aligned with other documents of their group, random
+ones for ROUNDS rounds; what is left is compared with all earlier documents of the group, in blocks inside tasks, where a
+pair is a candidate if windows of AGREE hash functions agree around the places. An exact repeat of WORDS words has all hash functions agree; one of similarity 0.8 is a candidate with
 probability 0.97, one of 0.9 with 0.996.
 
 A repeat within one document doesn't count. Null, empty and shorter texts have no passages. Rows without an id are left out;
@@ -31,6 +33,8 @@ ORACLE_SQL = None
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
 HASHES, AGREE = 4, 2
+#: Rounds with random anchors, and windows in a block of what is left.
+ROUNDS, BLOCK = 2, 512
 WINDOWS = "key long, doc_id long, f int, l int, c int, r int"
 
 
@@ -100,25 +104,92 @@ def _shingles(source):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([data[4 * a : 4 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """a, b (ids, a <> b) and intervals of shingles (a_from, a_to, b_from, b_to) where enough hash functions agree."""
-    windows = docs.mapInArrow(_windows, WINDOWS)
-    ends = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    ends = written(ends, "ends")
-    members = written(windows.join(ends, "key"), "windows")
-    # Of an end document's windows with one key, the widest is aligned with.
-    anchors = members.where("doc_id = lo OR doc_id = hi").groupBy("key", F.col("doc_id").alias("b")).agg(F.max_by(F.struct(F.col("l").alias("bl"), F.col("c").alias("bc"), F.col("r").alias("br")), F.col("r") - F.col("l")).alias("w")).select("key", "b", "w.*")
+def _aligned(members: DataFrame, anchors: DataFrame) -> DataFrame:
+    """a, b, f and intervals of shingles where windows (members) and those of their keys' anchors (key, b, bl, bc, br) overlap."""
     met = members.select("key", F.col("doc_id").alias("a"), "f", "l", "c", "r").join(anchors, "key").where("a <> b")
     before, after = F.least(F.col("c") - F.col("l"), F.col("bc") - F.col("bl")), F.least(F.col("r") - F.col("c"), F.col("br") - F.col("bc"))
     aligned = met.select("a", "b", "f", (F.col("c") - before).alias("a_from"), (F.col("c") + after).alias("a_to"), (F.col("bc") - before).alias("b_from"), (F.col("bc") + after).alias("b_to"))
-    aligned = aligned.where(F.col("a_to") - F.col("a_from") + 1 >= WORDS - SHINGLE + 1)
-    # The interval join: within a pair of documents, intervals that overlap form an island.
+    return aligned.where(F.col("a_to") - F.col("a_from") + 1 >= WORDS - SHINGLE + 1)
+
+
+def _islands(aligned: DataFrame, agree: int) -> DataFrame:
+    """The interval join: within a pair of documents, intervals that overlap form an island; those of at least `agree` hash functions."""
     ordered = Window.partitionBy("a", "b").orderBy("a_from", "a_to")
     reach = F.max("a_to").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     marked = aligned.withColumn("new", F.when(reach >= F.col("a_from"), 0).otherwise(1))
     islands = marked.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     found = islands.groupBy("a", "b", "island").agg(F.min("a_from").alias("a_from"), F.max("a_to").alias("a_to"), F.min("b_from").alias("b_from"), F.max("b_to").alias("b_to"), F.expr("bit_or(shiftleft(1, f))").alias("fs"))
-    return found.where(F.bit_count("fs") >= AGREE).drop("island", "fs")
+    return found.where(F.bit_count("fs") >= agree).drop("island", "fs")
+
+
+def _widest(members: DataFrame) -> DataFrame:
+    """Of a document's windows with one key, the widest is aligned with."""
+    return members.groupBy("key", F.col("doc_id").alias("b")).agg(F.max_by(F.struct(F.col("l").alias("bl"), F.col("c").alias("bc"), F.col("r").alias("br")), F.col("r") - F.col("l")).alias("w")).select("key", "b", "w.*")
+
+
+def shared_windows(docs: DataFrame) -> DataFrame:
+    """Windows (key, doc_id, f, l, c, r) whose key several documents have, with the first and last of these (lo, hi)."""
+    windows = docs.mapInArrow(_windows, WINDOWS)
+    ends = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    ends = written(ends, "ends")
+    return written(windows.join(ends, "key"), "windows")
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """a, b (ids, a <> b) and intervals of shingles (a_from, a_to, b_from, b_to) where enough hash functions agree."""
+    return _islands(_aligned(members, _widest(members.where("doc_id = lo OR doc_id = hi"))), AGREE)
+
+
+def _uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """Windows whose place lies in none of the passages found in their document as the later one."""
+    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("words")).alias("e"))).alias("_spans"))
+    joined = windows.join(spans, windows["doc_id"] == spans["_id"], "left")
+    covered = F.exists("_spans", lambda p: (p["s"] <= F.col("c")) & (F.col("c") + SHINGLE <= p["e"]))
+    return joined.where(~F.coalesce(covered, F.lit(False))).drop("_id", "_spans")
+
+
+def _blocks_met(rows):
+    """Aligned intervals of the windows left (rest) with those of earlier documents, of two blocks of one key, where windows of another hash function agree too."""
+    column = {n: rows.column(n).to_numpy() for n in ("doc_id", "f", "l", "c", "r", "block", "i", "j")}
+    rest = np.array(rows.column("rest").to_pylist(), bool)
+    mine = np.flatnonzero(rest & (column["block"] == column["i"]))
+    all_ = np.flatnonzero(column["block"] == column["j"])
+    side = lambda n: (column[n][mine][:, None].astype(np.int64), column[n][all_][None, :].astype(np.int64))
+    (a, b), (al, bl), (ac, bc), (ar, br) = side("doc_id"), side("l"), side("c"), side("r")
+    before, after = np.minimum(ac - al, bc - bl), np.minimum(ar - ac, br - bc)
+    met = (a > b) & (before + after + 1 >= WORDS - SHINGLE + 1)
+    if met.any():
+        # Keys of other hash functions whose windows overlap: one in common makes AGREE.
+        lists = rows.column("others").combine_chunks() if isinstance(rows.column("others"), pa.ChunkedArray) else rows.column("others")
+        offsets, flat = list_parts(lists)
+        codes = np.unique(flat.to_numpy(), return_inverse=True)[1]
+        where = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        dense = np.zeros((rows.num_rows, int(codes.max(initial=-1)) + 1), np.float32)
+        dense[where, codes] = 1
+        met &= dense[mine] @ dense[all_].T >= AGREE - 1
+    x, y = np.nonzero(met)
+    out = {"a": a[x, 0], "b": b[0, y], "f": np.repeat(column["f"][:1], len(x)).astype(np.int32)}
+    for n, v in (("a_from", ac[x, 0] - before[x, y]), ("a_to", ac[x, 0] + after[x, y]), ("b_from", bc[0, y] - before[x, y]), ("b_to", bc[0, y] + after[x, y])):
+        out[n] = v.astype(np.int32)
+    return pa.table(out)
+
+
+def _left_over(members: DataFrame, rest: DataFrame) -> DataFrame:
+    """Candidates of the windows left over and all windows of earlier documents with their keys."""
+    keys = checked(written(rest.select("key").distinct(), "keys"))
+    marked = members.join(keys, "key", "left_semi").join(rest.select("key", "doc_id", "c", F.lit(True).alias("rest")), ["key", "doc_id", "c"], "left")
+    marked = written(marked.select("key", "doc_id", "f", "l", "c", "r", F.coalesce("rest", F.lit(False)).alias("rest")), "groups")
+    around = members.select("doc_id", F.col("key").alias("k"), F.col("f").alias("g"), F.col("l").alias("gl"), F.col("r").alias("gr"))
+    near = marked.join(around, "doc_id").where("f <> g AND gl <= r AND l <= gr")
+    others = near.groupBy("key", "doc_id", "f", "l", "c", "r", "rest").agg(F.collect_set("k").alias("others"))
+    about = written(marked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    placed = others.join(checked(about), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    both = F.array_distinct(F.concat(F.when(F.col("rest"), F.transform(every, lambda k: pair(F.col("block"), k))).otherwise(F.array().cast("array<struct<i:int,j:int>>")), F.transform(every, lambda k: pair(k, F.col("block")))))
+    each = placed.withColumn("p", F.explode(both)).select("key", "p.i", "p.j", "doc_id", "f", "l", "c", "r", "rest", "block", "others")
+    aligned = each.groupBy("key", "i", "j").applyInArrow(_blocks_met, "a long, b long, f int, a_from int, a_to int, b_from int, b_to int")
+    return _islands(aligned, 1)
 
 
 def passages(x: np.ndarray, y: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
@@ -196,11 +267,8 @@ def _verified(source):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Verified passages: doc_id (the later document), start, words; kept_id (the earlier), kept_start, kept_words; similarity.
-    Starts and lengths are in words."""
-    texts = one_text_per_id(docs)
-    found = written(candidates(texts), "islands")
+def _compared(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Verified passages of candidates (written)."""
     ids = written(found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id"), "involved")
     sets = written(texts.join(checked(ids), "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles binary"), "shingles")
     cut = lambda s: F.expr(f"substring(shingles, 4 * {s}_from + 1, 4 * ({s}_to - {s}_from + 1))")
@@ -211,7 +279,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     later = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
     out = [("doc_id", "a", "b"), ("start", "a_start", "b_start"), ("words", "a_words", "b_words"), ("kept_id", "b", "a"), ("kept_start", "b_start", "a_start"), ("kept_words", "b_words", "a_words")]
-    return links.select(*(pick(x, y).alias(n) for n, x, y in out), "similarity").distinct()
+    return written(links.select(*(pick(x, y).alias(n) for n, x, y in out), "similarity").distinct(), "passages")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Verified passages: doc_id (the later document), start, words; kept_id (the earlier), kept_start, kept_words; similarity.
+    Starts and lengths are in words."""
+    texts = one_text_per_id(docs)
+    members = shared_windows(texts)
+    every = _compared(texts, written(candidates(members), "islands"))
+    # With two documents all is compared; a group's first document has no earlier one.
+    several = members.groupBy("key").agg(F.count_distinct("doc_id").alias("n")).where("n > 2").select("key")
+    rest = written(_uncovered(members.where("doc_id <> lo").join(several, "key", "left_semi"), every), "rest")
+    for step in range(ROUNDS):
+        if rest.isEmpty():
+            return every
+        picked = members.join(rest.select("key").distinct(), "key", "left_semi")
+        picked = picked.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(step))).alias("doc_id"))
+        anchors = _widest(members.join(picked, ["key", "doc_id"]))
+        more = _compared(texts, written(_islands(_aligned(rest, anchors), AGREE), "islands"))
+        every = every.unionByName(more)
+        rest = written(_uncovered(rest, more), "rest")
+    if not rest.isEmpty():
+        every = every.unionByName(_compared(texts, written(_left_over(members, rest), "islands")))
+    return every.distinct()
 
 
 def _cut(source):

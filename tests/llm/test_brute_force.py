@@ -152,6 +152,20 @@ def test_insertions_leave_passages_whole():
                 assert bool(whole) == (wanted >= 0.8) and all(abs(s - wanted) < 1e-9 for *_, s in whole)
 
 
+def test_a_base_in_the_middle_of_its_variants(spark):
+    random.seed(12)
+    base = [f"word{i}" for i in range(60)]
+    variant = lambda i: [*base[: (k := 10 + i % 40)], f"new{i}", *base[k + 1 :]]
+    around = lambda i, w: " ".join([*(f"own{i}x{k}" for k in range(30)), *w, *(f"end{i}x{k}" for k in range(30))])
+    rows = [(i, around(i, base if i == 20 else variant(i))) for i in range(41)]
+    line = [f"line{k}" for k in range(8)]
+    passage = [*(f"say{k}" for k in range(22)), *line, *(f"tell{k}" for k in range(22))]
+    rows += [(100 + i, around(100 + i, passage if i in (20, 21) else line)) for i in range(42)]
+    found = {r["doc_id"]: r for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 121 in found and found[121]["kept_id"] == 120 and found[121]["words"] >= 52
+    assert sum(i in found for i in range(21, 41)) >= 19 and found.keys() <= {*range(1, 41), 121}
+
+
 def test_cutting_leaves_the_rest(spark):
     passage = " ".join(f"shared{i}" for i in range(60))
     rows = [(1, f"start one\n{passage}\nend one"), (2, f"begin  two {passage} stop two"), (3, passage), (4, "clean text")]
