@@ -2,7 +2,7 @@
 
 Documents are tokenised (the BPE encoder of this subpackage), end with an end id and, task by task, form a stream that is cut into
 sequences of LENGTH ids of two bytes; a task's last sequence is filled up with the end id. Sequences are numbered without gaps by
-their task and place; a Feistel network over the next power of four, walked until it falls below their number, permutes
+their task and place (so which texts share a sequence follows the split of the input into tasks); a Feistel network over the next power of four, walked until it falls below their number, permutes
 the numbers. Slot s lies in shard s // SLOTS at byte (s % SLOTS) * 2 * LENGTH, so a reader resumes at any slot by
 seeking, and another key gives another epoch's order.
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofline.llm.bpe import FILE, encoder
-from proofline.llm.shared import mix, row_slices, table, written
+from proofline.llm.shared import BROADCAST_ROWS, mix, row_slices, table, tidy, written
 
 NAME = "op2_token_order"
 ORACLE_SQL = None
@@ -52,23 +52,26 @@ def sequences(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int
 
         def cut(stream: np.ndarray):
             n = len(stream) // length
-            data = stream[: n * length].tobytes()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task)), pa.array(np.arange(number, number + n)), pa.array(np.full(n, length)), pa.array([data[k : k + 2 * length] for k in range(0, len(data), 2 * length)], pa.binary())], names)
+            ends = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * np.int32(2 * length)).tobytes())
+            each = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(stream[: n * length].tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task)), pa.array(np.arange(number, number + n)), pa.array(np.full(n, length)), each], names)
 
         for batch in source:
             for part in row_slices(batch, "text"):
                 offsets, ids = encoder(name)(part.column("text"))
-                stream = np.concatenate([rest, np.insert(ids.astype("<u2"), offsets[1:], end)])
+                # Behind the last ids and a gap for each text's end id.
+                stream = np.full(len(rest) + len(ids) + len(offsets) - 1, end, "<u2")
+                stream[: len(rest)] = rest
+                stream[len(rest) + np.arange(len(ids)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))] = ids
                 out = cut(stream)
                 rest = stream[out.num_rows * length :]
                 number += out.num_rows
                 yield out
-        encoder(name).remembered.forget()
         if len(rest):
             data = np.concatenate([rest, np.full(length - len(rest), end, "<u2")]).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([number]), pa.array([len(rest)]), pa.array([data], pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "task long, number long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), "task long, number long, n_tokens long, ids binary")
 
 
 def in_training_order(docs: DataFrame, key: int = KEY, slots: int = SLOTS, **options) -> DataFrame:
@@ -82,13 +85,13 @@ def in_training_order(docs: DataFrame, key: int = KEY, slots: int = SLOTS, **opt
     before = np.concatenate([[0], np.cumsum([r["count"] for r in counts])]).astype(np.int64)
     n = int(before[-1])
     first = spark.createDataFrame([(r["task"], int(b)) for r, b in zip(counts, before, strict=False)], "task long, first long")
+    first = F.broadcast(first) if len(counts) <= BROADCAST_ROWS else first
 
     @F.pandas_udf("long")
     def slot(numbers: pd.Series) -> pd.Series:
         return pd.Series(permuted(numbers.to_numpy(), n, key))
 
-    # One row for each task of the scan, bounded by its number of partitions.
-    placed = made.join(F.broadcast(first), "task").withColumn("slot", slot(F.col("first") + F.col("number")))
+    placed = made.join(first, "task").withColumn("slot", slot(F.col("first") + F.col("number")))
     shard = F.floor(F.col("slot") / slots)
     dealt = placed.repartitionById(max(1, -(-n // slots)), shard.cast("int")).sortWithinPartitions("slot")
     return dealt.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(slots)) * F.length("ids")).alias("offset"), "n_tokens", "ids")
