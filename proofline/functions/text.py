@@ -33,10 +33,15 @@ def case_folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else t.casefold())
 
 
+def identified(folded_text: Column) -> Column:
+    """Punctuation of a folded text set aside; every word kept."""
+    plain = F.translate(folded_text, K.APOSTROPHES, "")
+    return collapse_whitespace(F.regexp_replace(plain, r"[^\p{L}\p{N}]", " "))
+
+
 def identity(text: Column) -> Column:
     """Case, compatibility forms and punctuation set aside; every word kept."""
-    plain = F.translate(folded(text), K.APOSTROPHES, "")
-    return collapse_whitespace(F.regexp_replace(plain, r"[^\p{L}\p{N}]", " "))
+    return identified(folded(text))
 
 
 def without_suffixes(identified: Column) -> Column:
@@ -56,8 +61,12 @@ def bottler(text: Column) -> Column:
     return _without_prefix(identity(text), K.BOTTLER_PREFIXES)
 
 
+def without_origin_prefix(identified_text: Column) -> Column:
+    return _without_prefix(identified_text, K.ORIGIN_PREFIXES)
+
+
 def origin(text: Column) -> Column:
-    return _without_prefix(identity(text), K.ORIGIN_PREFIXES)
+    return without_origin_prefix(identity(text))
 
 
 def compact(text: Column) -> Column:
@@ -154,7 +163,7 @@ def field_label(name: Column) -> Column:
     """A check's label; an unknown check's name with spaces and a capital."""
     known = F.create_map(*(F.lit(x) for pair in K.CHECKS.items() for x in pair))
     words = F.lower(F.replace(name, F.lit("_"), F.lit(" ")))
-    return F.coalesce(known[name], F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1_000)))
+    return F.coalesce(known[name], F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words))))
 
 
 def filename_key(name: Column) -> Column:
