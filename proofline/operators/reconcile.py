@@ -16,14 +16,16 @@ class BatchInputError(ValueError):
 def reconciled(manifest: DataFrame, uploads: DataFrame) -> DataFrame:
     """Full outer join of manifest (filename, order, ...) and uploads (filename, order, ...): file's name, error or null, and order.
 
-    Uploads without a manifest row follow all manifest rows, in upload order.
+    Uploads without a manifest row follow all manifest rows, in upload order: a number, or a path.
     """
     m = manifest.withColumn("_key", case_folded("filename")).withColumnRenamed("filename", "_m_name").withColumnRenamed("order", "_m_order")
     u = uploads.withColumn("_key", case_folded("filename")).withColumnRenamed("filename", "_u_name").withColumnRenamed("order", "_u_order")
     joined = m.join(u, "_key", "full_outer")
     error = F.when(F.col("_u_name").isNull(), K.MISSING_IMAGE).when(F.col("_m_name").isNull(), K.MISSING_MANIFEST)
     # Two-part order: matched rows need no number of manifest rows, so nothing is counted first.
-    order = F.struct(F.col("_m_order").isNull().cast("int").alias("part"), F.coalesce("_m_order", "_u_order").cast("long").alias("place"))
+    named = uploads.schema["order"].dataType.typeName() == "string"
+    place, path = (F.col("_m_order"), F.when(F.col("_m_order").isNull(), F.col("_u_order"))) if named else (F.coalesce("_m_order", "_u_order"), F.lit(None))
+    order = F.struct(F.col("_m_order").isNull().cast("int").alias("part"), place.cast("long").alias("place"), path.cast("string").alias("path"))
     return joined.withColumns({"filename": F.coalesce("_m_name", "_u_name"), "error": error, "order": order}).drop("_key", "_m_name", "_u_name", "_m_order", "_u_order")
 
 

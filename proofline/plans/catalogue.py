@@ -101,10 +101,9 @@ def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(f"""{synthetic.CHECKED}, names(c, i, label) AS (VALUES {_NAMES})
-SELECT label AS "Check", CASE status WHEN 'NOT_EVALUATED' THEN 'NOT CHECKED' ELSE status END AS "Result" FROM checks JOIN names ON c = "check" WHERE label_id = 17""")
+SELECT label_id, label AS "Check", CASE status WHEN 'NOT_EVALUATED' THEN 'NOT CHECKED' ELSE status END AS "Result" FROM checks JOIN names ON c = "check" """)
 def report_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = synthetic.labels(spark, sf_dir).where("label_id = 17")
-    return report.single(rules.long_form(rules.evaluated(one), "label_id")).select("Check", "Result")
+    return report.single(_checks(spark, sf_dir), "label_id").select("label_id", "Check", "Result")
 
 
 # ---- scalar functions ----
@@ -213,7 +212,7 @@ def brand_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def warning_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.warning(F.col("text")).alias("t"))
-    return said.select("conv_id", "turn", T.word_level_diff(F.lit(K.WARNING_PREFIX), T.warning_prefix(F.col("t"))).alias("difference"))
+    return said.select("conv_id", "turn", T.word_level_diff(F.lit(K.WARNING), F.col("t")).alias("difference"))
 
 
 _DONE = "SELECT event_id, CAST(event_id % 40 AS INTEGER) AS done, 40 AS total, CAST(value AS DOUBLE) AS seconds FROM events"
@@ -299,14 +298,40 @@ def brand_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(r"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a\s[^>]*href="[^"]')) AS INTEGER) AS n_links FROM pages""")
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _table(spark, sf_dir, "pages").withColumn("p", registry.parsed("html"))
-    return read.select("page_id", F.size("p.hrefs").alias("n_links"))
+    return registry.links_of(_table(spark, sf_dir, "pages")).select("page_id", F.size("hrefs").alias("n_links"))
 
 
-@_query()
+@_query(r"""WITH seen AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>|<script.*?</script>|<style.*?</style>', '', 'gs'), '\s+', ' ', 'g') AS t FROM pages),
+broken AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '</?(br|dd|div|dl|dt|h[1-6]|li|p|section|table|tr)(\s[^>]*)?>', chr(10), 'g'), '</?(td|th)(\s[^>]*)?>', ' ', 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS t FROM seen),
+lines AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> '') AS ls FROM broken)
+SELECT page_id, CAST(len(ls) AS INTEGER) AS n_lines, md5(array_to_string(ls, chr(10))) AS digest FROM lines""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _table(spark, sf_dir, "pages").withColumn("p", registry.parsed("html"))
-    return read.select("page_id", F.size("p.lines").alias("n_lines"), F.md5(F.array_join("p.lines", "\n")).alias("digest"))
+    read = registry.lines_of(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+_FORM = """SELECT p_partkey AS page_id, concat('<form><input type=hidden name="t" value="', p_size, '"><INPUT NAME=box TYPE=checkbox', CASE p_partkey % 2 WHEN 0 THEN ' checked' ELSE '' END,
+  '><input type="submit" name="go"><select name="s"><option>', p_type, '</option><option value="v&amp;w"', CASE p_partkey % 3 WHEN 0 THEN ' selected' ELSE '' END,
+  '>x</option></select><textarea name="a">', p_brand, '</textarea><input name=off disabled><select name=open><option>y</form>') AS html FROM part"""
+
+
+@_query("""SELECT * FROM (SELECT p_partkey AS page_id, unnest(['t', 'box', 's', 'a']) AS name, unnest([CAST(p_size AS VARCHAR), CASE p_partkey % 2 WHEN 0 THEN 'on' END, CASE p_partkey % 3 WHEN 0 THEN 'v&w' ELSE p_type END, p_brand]) AS value,
+  unnest(['hidden', 'checkbox', 'select', 'textarea']) AS kind FROM part) WHERE value IS NOT NULL""")
+def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    return registry.controls_of(spark.sql(_FORM)).select("page_id", "name", "value", "kind")
+
+
+_LINKED = """SELECT p_partkey AS page_id, concat('<a href="viewColaDetails.do?ttbid=', lpad(p_partkey, 14, '1'), '&amp;x=1">d</a><a href=other.do>o</a><a href="viewColaDetails.do?ttbid=', lpad(p_partkey, 14, '1'), '">again</a><img src="',
+  CASE p_partkey % 4 WHEN 0 THEN '../pub/' WHEN 1 THEN '/colas/pub/' WHEN 2 THEN '//registry.example/colas/pub/' ELSE 'https://other.example/colas/pub/' END, 'publicViewAttachment.do?filename=f', p_size, '&amp;filetype=l">') AS html FROM part"""
+
+
+@_query("""SELECT p_partkey AS page_id, lpad(p_partkey, 14, '1') AS ids, CASE WHEN p_partkey % 4 < 3 THEN concat('https://registry.example/colas/pub/publicViewAttachment.do?filename=f', p_size, '&filetype=l') ELSE '' END AS urls FROM part""".replace("lpad(p_partkey", "lpad(CAST(p_partkey AS VARCHAR)"))
+def registry_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    read = registry.links_of(spark.sql(_LINKED))
+    urls = registry.attachment_urls(F.col("images"), "https://registry.example/colas/search/detail.do")
+    return read.select("page_id", F.array_join(registry.ids(F.col("hrefs"), F.col("html")), ",").alias("ids"), F.array_join(urls, ",").alias("urls"))
 
 
 _DETAIL = """SELECT p_partkey AS page_id, 'https://registry.example/detail' AS url, concat('<html><script>x</script><table><tr><td>Brand Name:</td><td>', CASE p_partkey % 5 WHEN 0 THEN '' ELSE p_name END,
@@ -321,32 +346,46 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.records(spark.sql(_DETAIL)).select("page_id", "brand_name", "class_type", "origin_country", "bottler", F.col("error").isNotNull().alias("refused"))
 
 
+_FIRST, _SECOND = K.WARNING[: K.WARNING.index(" (2)")], K.WARNING[K.WARNING.index("(2)") :]
+
+#: Labels laid out as text blocks: the brand, tallest, in two blocks side by side, a second volume on some, the warning on two lines.
+_PLACED = f"""
+SELECT label_id, 0 AS position, split_part(brand_name, ' ', 1) AS text, 20 AS x, 20 AS y, 60 AS h FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 1, split_part(brand_name, ' ', 2), 220, 22 + label_id % 5, 60 FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 2, class_type, 20, 100, 20 FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 3, alcohol_content, 20, 160, 20 FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 4, concat(CASE label_id % 5 WHEN 0 THEN 'Net Contents: ' ELSE '' END, net_contents), 20, 220, 20 FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 5, '99 mL', 20, 260, 20 FROM ({synthetic.LABELS}) WHERE label_id % 7 = 0
+UNION ALL SELECT label_id, 6, bottler, 20, 300 + label_id % 3, 20 FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 7, concat('Product of ', origin_country), 20, 400, 20 FROM ({synthetic.LABELS}) WHERE origin_country IS NOT NULL
+UNION ALL SELECT label_id, 8, '{_FIRST}', 20, 460, 20 FROM ({synthetic.LABELS})
+UNION ALL SELECT label_id, 9, '{_SECOND}', 20, 485, 20 FROM ({synthetic.LABELS})
+"""
+
+
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels laid out as text blocks, one below the other, the brand tallest and in two blocks."""
-    made = synthetic.labels(spark, sf_dir)
-    rows = F.array(
-        F.struct(F.split("brand_name", " ")[0].alias("text"), F.lit(20.0).alias("x"), F.lit(20.0).alias("y"), F.lit(60.0).alias("h")),
-        F.struct(F.split("brand_name", " ")[1].alias("text"), F.lit(220.0).alias("x"), F.lit(22.0).alias("y"), F.lit(60.0).alias("h")),
-        *(F.struct(F.col(c).alias("text"), F.lit(20.0).alias("x"), F.lit(100.0 + 60 * i).alias("y"), F.lit(20.0).alias("h")) for i, c in enumerate(("class_type", "alcohol_content", "net_contents", "bottler"))),
-        F.struct(F.concat(F.lit("Product of "), F.col("origin_country")).alias("text"), F.lit(20.0).alias("x"), F.lit(400.0).alias("y"), F.lit(20.0).alias("h")),
-        F.struct(F.lit(K.WARNING).alias("text"), F.lit(20.0).alias("x"), F.lit(460.0).alias("y"), F.lit(20.0).alias("h")),
-    )
-    corner = lambda dx, dy: F.struct((F.col("e.x") + dx).alias("x"), (F.col("e.y") + dy).alias("y"))
-    placed = made.select("label_id", F.posexplode(rows).alias("position", "e"))
-    box = F.array(corner(0, 0), corner(180, 0), corner(180, F.col("e.h")), corner(0, F.col("e.h")))
-    return placed.select("label_id", "position", "e.text", box.alias("bbox"), F.lit(0.9).alias("confidence"), F.lit(500.0).alias("width"), F.lit(600.0).alias("height"))
-
-
-@_query("SELECT p_partkey AS label_id, CASE WHEN p_partkey % 4 = 0 THEN 7 ELSE 8 END - 1 AS n_lines FROM part")
+    synthetic.view(spark, sf_dir, "part")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).cast("double").alias("x"), (F.col("y") + dy).cast("double").alias("y"))
+    box = F.array(corner(0, 0), corner(180, 0), corner(180, F.col("h")), corner(0, F.col("h")))
+    return spark.sql(_PLACED).select("label_id", "position", "text", box.alias("bbox"), F.lit(0.9).alias("confidence"), F.lit(500.0).alias("width"), F.lit(600.0).alias("height"))
+
+
+@_query(f"""WITH marked AS (SELECT *, CASE WHEN y < max(y + h) OVER (PARTITION BY label_id ORDER BY y, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM ({_PLACED})),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY label_id ORDER BY y, x ROWS UNBOUNDED PRECEDING) - 1 AS line FROM marked)
+SELECT label_id, CAST(line AS INTEGER) AS line, string_agg(text, ' ' ORDER BY x) AS text, CAST(min(x) AS DOUBLE) AS l, CAST(min(y) AS DOUBLE) AS t, CAST(max(x + 180) AS DOUBLE) AS r, CAST(max(y + h) AS DOUBLE) AS b, CAST(count(*) AS INTEGER) AS n_blocks FROM islands GROUP BY label_id, line""")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = layout.text_lines(_blocks(spark, sf_dir))
-    return found.groupBy("label_id").agg(F.count("*").cast("int").alias("n_lines"))
+    return layout.text_lines(_blocks(spark, sf_dir)).drop("confidence")
+
+
+_CANDIDATES = f"""SELECT label_id, unnest(['brand_name', 'class_type', 'alcohol_content', 'net_contents', 'bottler', 'origin_country', 'government_warning']) AS field,
+  unnest([brand_name, CASE WHEN class_type <> 'Hard Seltzer' THEN class_type END, alcohol_content, CASE WHEN label_id % 7 <> 0 OR label_id % 5 = 0 THEN net_contents END, bottler, 'Product of ' || origin_country, concat('{_FIRST}', chr(10), '{_SECOND}')]) AS value,
+  unnest(['', '', '', CASE WHEN label_id % 7 = 0 AND label_id % 5 <> 0 THEN concat(net_contents, '|99 mL') ELSE '' END, '', '', '']) AS alternatives FROM ({synthetic.LABELS})"""
 
 
-@_query(f"""WITH labels AS ({synthetic.LABELS}) SELECT label_id, unnest(['brand_name', 'alcohol_content', 'net_contents', 'bottler']) AS field, 'FOUND' AS state, unnest([brand_name, alcohol_content, net_contents, bottler]) AS value FROM labels""")
+@_query(f"SELECT label_id, field, value, alternatives, CASE WHEN alternatives <> '' THEN 'AMBIGUOUS' WHEN value IS NULL THEN 'MISSING' ELSE 'FOUND' END AS state FROM ({_CANDIDATES})")
 def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = layout.field_candidates(_blocks(spark, sf_dir))
-    return found.where(F.col("field").isin("brand_name", "alcohol_content", "net_contents", "bottler")).select("label_id", "field", "state", "value")
+    return found.select("label_id", "field", "value", F.array_join("alternatives", "|").alias("alternatives"), "state")
 
 
 @_query()

@@ -38,17 +38,19 @@ def wide(results: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.orderBy("rank", "order").select(*columns)
 
 
-def single(results: DataFrame) -> DataFrame:
-    """The long form of one label: every check, those missing from the report disclosed."""
-    spark = results.sparkSession
-    checks = spark.createDataFrame([(i, c, label) for i, (c, label) in enumerate(K.CHECKS.items())], "position int, check string, label string")
-    joined = checks.join(results.select("check", "status", "expected", "extracted", "detail"), "check", "left")
-    return joined.orderBy("position").select(
-        F.col("label").alias("Check"),
-        F.when(F.col("status").isNull(), K.STATUS_TEXT[K.NOT_EVALUATED]).otherwise(_shown(F.col("status"))).alias("Result"),
-        shown_value(F.col("expected"), "Not provided").alias("Application value"),
-        shown_value(F.col("extracted"), "Nothing readable was found").alias("We read this as"),
-        F.coalesce("detail", F.lit(K.SAYS["not_completed"])).alias("Details"),
+def single(results: DataFrame, *keys: str) -> DataFrame:
+    """The long form of one label, or of each label named by keys: every check in its order, those missing from the report disclosed."""
+    made = F.struct("status", "expected", "extracted", "detail")
+    grouped = results.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("check", made))).alias("_made"))
+    each = grouped.select(*keys, "_made", F.posexplode(F.array(*map(F.lit, K.CHECKS))).alias("_position", "_check"))
+    names = F.create_map(*(F.lit(x) for pair in K.CHECKS.items() for x in pair))
+    return each.withColumn("_m", F.try_element_at("_made", "_check")).orderBy(*keys, "_position").select(
+        *keys,
+        names[F.col("_check")].alias("Check"),
+        F.when(F.col("_m.status").isNull(), K.STATUS_TEXT[K.NOT_EVALUATED]).otherwise(_shown(F.col("_m.status"))).alias("Result"),
+        shown_value(F.col("_m.expected"), "Not provided").alias("Application value"),
+        shown_value(F.col("_m.extracted"), "Nothing readable was found").alias("We read this as"),
+        F.coalesce("_m.detail", F.lit(K.SAYS["not_completed"])).alias("Details"),
     )
 
 
@@ -57,5 +59,5 @@ def shown_value(value: Column, otherwise: str) -> Column:
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """One CSV file with a header, UTF-8, \\n line ends, nulls as empty fields."""
-    frame.coalesce(1).write.mode("overwrite").csv(path, header=True, lineSep="\n", nullValue="", emptyValue="", quote='"', escape='"')
+    """A folder of CSV parts, UTF-8, \\n line ends, nulls as empty fields, each with a header. A sorted frame's parts follow each other by name."""
+    frame.write.mode("overwrite").csv(path, header=True, lineSep="\n", nullValue="", emptyValue="", quote='"', escape='"')

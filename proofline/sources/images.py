@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PATTERN = "*.{png,jpg,jpeg,webp,bmp,tif,tiff,heic,heif}"
+KINDS = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "heic", "heif")
+#: Their extensions in either case.
+PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in KINDS) + "}"
 # ---- Fixed values: gates of image quality ----
 ANALYSIS_SIDE, MOST_PIXELS = 1000, 80_000_000
 BLUR, CONTRAST, SPREAD, GLARE_FROM, GLARE = 80.0, 80.0, 40.0, 250, (0.02, 0.45)
@@ -23,10 +25,9 @@ QUALITY = "path string, width int, height int, blur_variance double, contrast_ra
 
 
 def uploads(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
-    """filename, order, content of every accepted file of a folder; content is only read if it is used."""
+    """filename, order (the path, by which files stand in a folder), length, content of every accepted file; content is only read if it is used."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "path", "length", "content")
-    return named.withColumn("order", F.row_number().over(Window.orderBy("path")).cast("long") - 1)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("order"), "path", "length", "content")
 
 
 def decoded(spark: SparkSession, folder: str) -> DataFrame:

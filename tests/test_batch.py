@@ -10,20 +10,39 @@ HEAD = ",".join(K.MANIFEST_COLUMNS)
 ROW = "a.png,Old Tom,Bourbon,45% ABV,750 mL,Old Tom Co,"
 
 
-def test_manifest(spark):
-    rows = manifest.from_bytes(spark, f"﻿{HEAD}\r\n{ROW}\r\n,,,,,,\r\n\r\nb.png,x,y,z,w, v ,France\r\n".encode()).orderBy("order").collect()
-    assert [(r["filename"], r["bottler"], r["origin_country"], r["order"]) for r in rows] == [("a.png", "Old Tom Co", None, 0), ("b.png", "v", "France", 1)]
-    assert manifest.parsed(f"{HEAD}\n{ROW.replace('Old Tom,', 'Café,')}".encode("cp1252"))[0][1] == "Café"
-    assert manifest.parsed(f" {HEAD.upper()} \n{ROW}")[0][0] == "a.png"
+def stored(folder, data):
+    path = folder / "manifest.csv"
+    path.write_bytes(data if isinstance(data, bytes) else data.encode())
+    return str(path)
+
+
+def test_manifest(spark, tmp_path):
+    ship(spark)
+    text = f"\ufeff{HEAD}\r\n{ROW}\r\n,,,,,,\r\n\r\nb.png,x,\"y, \"\"q\"\"\nz\",z,w, v ,France\r\n"
+    rows = manifest.read(spark, stored(tmp_path, text)).orderBy("order").collect()
+    assert [(r["filename"], r["class_type"], r["bottler"], r["origin_country"], r["order"]) for r in rows] == [("a.png", "Bourbon", "Old Tom Co", None, 0), ("b.png", 'y, "q"\nz', "v", "France", 2)]
+    assert manifest.read(spark, stored(tmp_path, f"{HEAD}\n{ROW.replace('Old Tom,', 'Café,')}".encode("cp1252"))).first()["brand_name"] == "Café"
+    assert manifest.read(spark, stored(tmp_path, f" {HEAD.upper()} \n{ROW}")).first()["filename"] == "a.png"
+    odd = stored(tmp_path, f"{HEAD}\n{ROW.replace('a.png', chr(39) + 'b.png')}")
+    assert manifest.sample(spark, odd, "'b.png").count() == 1
 
 
 @pytest.mark.parametrize(
     ("data", "said"),
-    [("", "needs a header"), (HEAD.replace("bottler", "x"), "exactly this order"), (f"{HEAD}\na,b", "Row 2 must contain 7"), (f"{HEAD}\n{ROW}\n{ROW.upper()}", "Row 3 repeats filename"), (f"{HEAD}\n{ROW.replace('750 mL', ' ')}", "missing required values: net_contents"), (f'{HEAD}\n"b"c,1,2,3,4,5,6', "could not be read")],
+    [("", "needs a header"), (HEAD.replace("bottler", "x"), "exactly this order"), (f"{HEAD}\na,b", "Row 2 must contain 7"), (f"{HEAD}\n{ROW},8", "Row 2 must contain 7"), (f"{HEAD}\n{ROW}\n{ROW.upper()}", "Row 3 repeats filename 'A.PNG'"), (f"{HEAD}\n{ROW.replace('750 mL', ' ')}", "missing required values: net_contents"), (f'{HEAD}\n"b"c,1,2,3,4,5,6', "could not be read")],
 )
-def test_manifest_refused(data, said):
+def test_manifest_refused(spark, tmp_path, data, said):
     with pytest.raises(manifest.ManifestError, match=said):
-        manifest.parsed(data)
+        manifest.read(ship(spark), stored(tmp_path, data))
+
+
+def test_uploads_stand_by_path_after_the_manifest(spark, tmp_path):
+    for name in ("b.png", "A.PNG", "c.gif", "z.jpg"):
+        (tmp_path / name).write_bytes(b"x")
+    files = images.uploads(spark, str(tmp_path))
+    m = spark.createDataFrame([("z.JPG", 0), ("y.png", 1)], "filename string, order long")
+    rows = reconcile.reconciled(m, files.select("filename", "order")).orderBy("order").collect()
+    assert [(r["filename"], r["error"]) for r in rows] == [("z.JPG", None), ("y.png", K.MISSING_IMAGE), ("A.PNG", K.MISSING_MANIFEST), ("b.png", K.MISSING_MANIFEST)]
 
 
 def test_reconciliation(spark):
@@ -61,9 +80,13 @@ def test_registry_page(spark):
     row = registry.records(spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")).orderBy("page_id").collect()
     assert (row[0]["brand_name"], row[0]["class_type"], row[0]["origin_country"], row[0]["error"]) == ("A&B", "BOURBON", "", None)
     assert row[1]["error"].startswith("detail page")
-    page = registry.Page()
-    page.feed(html)
-    assert page.controls == [("a", "", "text"), ("c", "on", "checkbox"), ("s", "two", "select")]
+    pages = spark.createDataFrame([(1, html), (2, "a < b<BR>c &amp;&nbsp;<!-- <p>no</p> --> d<style>p</style><img alt='x > y' SRC=\"i.png\"><a title='href=no'>n</a><textarea name=t>u<b>v</b></textarea>"), (3, None)], "id long, html string")
+    controls = registry.controls_of(pages).orderBy("id", "place").collect()
+    assert [(r["name"], r["value"], r["kind"]) for r in controls] == [("a", "", "text"), ("c", "on", "checkbox"), ("s", "two", "select"), ("t", "uv", "textarea")]
+    lines = {r["id"]: r["lines"] for r in registry.lines_of(pages).collect()}
+    assert lines[2] == ["a < b", "c & dnuv"] and lines[3] == []
+    links = {r["id"]: (r["hrefs"], r["images"]) for r in registry.links_of(pages).collect()}
+    assert links == {1: (["viewColaDetails.do?ttbid=12345678901234"], []), 2: ([], ["i.png"]), 3: ([], [])}
 
 
 def test_stream(spark, tmp_path):
