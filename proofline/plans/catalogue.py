@@ -388,7 +388,12 @@ def field_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("label_id", "field", "value", F.array_join("alternatives", "|").alias("alternatives"), "state")
 
 
-@_query()
+_NOT_RUN = "list_filter([CASE WHEN c = 5 THEN 'Class or type' END, CASE WHEN c IN (2, 3) AND NOT twice THEN 'Container size — approved sizes' END, CASE WHEN o < 2 THEN 'Country of origin' END, 'Government warning bold text', 'Government warning type size'], lambda x: x IS NOT NULL)"
+
+
+@_query(f"""WITH facts AS (SELECT label_id, label_id % 6 AS c, label_id % 5 AS n, label_id % 4 AS o, label_id % 7 = 0 AND label_id % 5 <> 0 AS twice FROM ({synthetic.LABELS})), said AS (SELECT *, {_NOT_RUN} AS undone FROM facts)
+SELECT label_id, CASE WHEN o = 3 OR (NOT twice AND (n = 2 AND c IN (0, 1, 4) OR n = 3 AND c = 0)) THEN 'FAIL' WHEN c = 5 OR twice THEN 'REVIEW' ELSE 'PASS' END AS overall,
+  concat(len(undone), ' checks could not be run — ', array_to_string(undone, '; ')) AS disclosure FROM said""")
 def extracted_labels_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From blocks to verdicts: layout, candidates, rules, roll-up."""
     found = layout.evidence(layout.field_candidates(_blocks(spark, sf_dir)))
