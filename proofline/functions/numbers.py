@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from proofline import constants as K
+from proofline.functions import text as T
 
 DECIMAL = "decimal(28,10)"
 
@@ -19,16 +20,21 @@ def number(text: Column) -> Column:
 def _marked(text: Column, before: str, after: str, signal: str, low: int, high: int, name: str, missing: str) -> Column:
     """struct(value, error) of the one number that stands at a marker."""
     pattern = f"(?iu)(?:{before}|{after})"
-    all_ = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2), lambda a, b: F.when(a != "", a).otherwise(b))
-    value = number(F.get(all_, F.lit(0)))
-    error = (
-        F.when((F.size(all_) == 0) & text.rlike(f"(?iu){signal}"), missing)
-        .when(F.size(all_) == 0, F.lit(None).cast("string"))
-        .when(F.size(all_) > 1, f"multiple {name} values are ambiguous")
-        .when(value.isNull(), F.concat(F.lit("invalid numeric value: '"), F.get(all_, F.lit(0)), F.lit("'")))
-        .when(~value.between(low, high), f"{name} must be between {low} and {high}" + (" percent" if name == "ABV" else ""))
-    )
-    return F.when(text.isNotNull(), F.struct(F.when(error.isNull() & (F.size(all_) == 1), value).alias("value"), error.alias("error")))
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2), lambda a, b: F.when(a != "", a).otherwise(b))
+
+    def judged(x: Column) -> Column:
+        all_, value = x["all"], x["value"]
+        error = (
+            F.when((F.size(all_) == 0) & text.rlike(f"(?iu){signal}"), missing)
+            .when(F.size(all_) == 0, F.lit(None).cast("string"))
+            .when(F.size(all_) > 1, f"multiple {name} values are ambiguous")
+            .when(value.isNull(), F.concat(F.lit("invalid numeric value: '"), F.get(all_, F.lit(0)), F.lit("'")))
+            .when(~value.between(low, high), f"{name} must be between {low} and {high}" + (" percent" if name == "ABV" else ""))
+        )
+        return T.named(error, lambda e: F.struct(F.when(e.isNull() & (F.size(all_) == 1), value).alias("value"), e.alias("error")))
+
+    parsed = T.named(found, lambda a: T.named(F.struct(a.alias("all"), number(F.get(a, F.lit(0))).alias("value")), judged))
+    return F.when(text.isNotNull(), parsed)
 
 
 def parse_abv(text: Column) -> Column:
@@ -47,9 +53,14 @@ def parse_net_contents(text: Column) -> Column:
     raw = F.regexp_extract(text, pattern, 2)
     unit = F.trim(F.regexp_replace(F.replace(F.lower(raw), F.lit("."), F.lit("")), r"\s+", " "))
     factors = F.create_map(*(F.lit(x) for u, f in K.UNIT_ML.items() for x in (u, f)))
-    ml = (number(F.regexp_extract(text, pattern, 1)) * factors[unit].cast("decimal(14,10)")).cast(DECIMAL)
-    error = F.when(raw == "", F.concat(F.lit("unsupported net-contents value: '"), text, F.lit("'"))).when(factors[unit].isNull(), F.concat(F.lit("unsupported net-contents unit: '"), unit, F.lit("'")))
-    return F.when(text.isNotNull(), F.struct(F.when(error.isNull(), ml).alias("ml"), F.when(error.isNull(), unit).alias("unit"), error.alias("error")))
+
+    def judged(x: Column) -> Column:
+        ml = (x["number"] * x["factor"].cast("decimal(14,10)")).cast(DECIMAL)
+        error = F.when(x["unit"] == "", F.concat(F.lit("unsupported net-contents value: '"), text, F.lit("'"))).when(x["factor"].isNull(), F.concat(F.lit("unsupported net-contents unit: '"), x["unit"], F.lit("'")))
+        return T.named(error, lambda e: F.struct(F.when(e.isNull(), ml).alias("ml"), F.when(e.isNull(), x["unit"]).alias("unit"), e.alias("error")))
+
+    read = T.named(unit, lambda u: F.struct(u.alias("unit"), factors[u].alias("factor"), number(F.regexp_extract(text, pattern, 1)).alias("number")))
+    return F.when(text.isNotNull(), T.named(read, judged))
 
 
 def decimal(x) -> Column:

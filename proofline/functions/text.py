@@ -6,6 +6,7 @@ import difflib
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ from proofline import constants as K
 SPACE = r"(?U)[\s\x1c-\x1f]"
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a one-element array stands for a name, which the optimiser does not open."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
@@ -146,6 +152,8 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def differences(expected: str, found: str) -> str:
     """Where two texts' words differ, said from the expected text's side."""
+    if expected == found:
+        return ""
     a, b = re.findall(K.WARNING_TOKEN, expected), re.findall(K.WARNING_TOKEN, found)
     said = []
     for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():

@@ -78,6 +78,8 @@ def weighted_median(samples: DataFrame, value: str, weight: str, *keys: str) ->
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys)
-    running = F.sum(weight).over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = samples.withColumn("_r", running).withColumn("_t", F.sum(weight).over(w)).where(F.col("_r") >= F.col("_t") / 2)
+    # Equal values are one row before they move; a group's distinct values are sorted in one task.
+    each = samples.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    running = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    reached = each.withColumn("_r", running).withColumn("_t", F.sum("_w").over(w)).where(F.col("_r") >= F.col("_t") / 2)
     return reached.groupBy(*keys).agg(F.min(value).alias("weighted_median"))

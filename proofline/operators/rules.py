@@ -90,9 +90,8 @@ def net_contents(extracted: Column, expected: Column, x: Column, y: Column, own:
     return made.when(True, K.FAIL, _says("Net contents differ by ", N.plain(difference), " mL after unit conversion."), K.MISMATCH).column()
 
 
-def standard_of_fill(extracted: Column, expected: Column, x: Column, y: Column, beverage: Column, own: Column, other: Column) -> Column:
-    size, wanted = N.authorized_size(own["ml"], own["unit"], beverage), N.authorized_size(other["ml"], other["unit"], beverage)
-    near = N.nearest_size(own["ml"], beverage)
+def standard_of_fill(extracted: Column, expected: Column, x: Column, y: Column, beverage: Column, own: Column, other: Column, size: Column, wanted: Column, near: Column) -> Column:
+    """own, other: the parsed volumes; size, wanted: the authorised sizes that they stand for; near: the one nearest to the label's."""
     ml = N.plain(own["ml"])
     made = Branches(extracted, expected).when(_empty(x), K.NOT_EVALUATED, K.SAYS["fill_missing"])
     made.when(beverage == "beer", K.NOT_EVALUATED, K.SAYS["fill_beer"]).when(beverage.isNull(), K.REVIEW, K.SAYS["fill_class"])
@@ -173,6 +172,7 @@ def evaluated(labels: DataFrame) -> DataFrame:
     add(diff=T.word_level_diff(F.lit(K.WARNING), c("warning")), prefix_diff=T.word_level_diff(F.lit(K.WARNING_PREFIX), c("prefix")))
     parsed = {f"{what}_{s}": fn(F.col(p + "alcohol_content")) for what, fn in (("abv", N.parse_abv), ("proof", N.parse_proof)) for s, p in (("x", "read_"), ("y", ""))}
     add(**parsed, net_x=N.parse_net_contents(F.col("read_net_contents")), net_y=N.parse_net_contents(F.col("net_contents")))
+    add(**{k: N.authorized_size(c(n)["ml"], c(n)["unit"], c("beverage")) for k, n in (("size", "net_x"), ("wanted", "net_y"))}, near=N.nearest_size(c("net_x")["ml"], c("beverage")))
     pair = lambda f: (F.col(f"read_{f}"), F.col(f))
     ids = lambda f, k="": (c(f"x{k}_{f}"), c(f"y{k}_{f}"))
     checks = {
@@ -180,7 +180,7 @@ def evaluated(labels: DataFrame) -> DataFrame:
         "class_type": class_type(*pair("class_type"), *ids("class_type", "s"), c("ratio_class_type")),
         "alcohol_content": alcohol(*pair("alcohol_content"), *ids("alcohol_content"), c("beverage"), {k: c(k) for k in parsed}),
         "net_contents": net_contents(*pair("net_contents"), *ids("net_contents"), c("net_x"), c("net_y")),
-        "net_contents_standard_of_fill": standard_of_fill(*pair("net_contents"), *ids("net_contents"), c("beverage"), c("net_x"), c("net_y")),
+        "net_contents_standard_of_fill": standard_of_fill(*pair("net_contents"), *ids("net_contents"), c("beverage"), *map(c, ("net_x", "net_y", "size", "wanted", "near"))),
         "bottler": bottler(*pair("bottler"), *ids("bottler", "s"), c("ratio_bottler")),
         "origin_country": origin(*pair("origin_country"), *ids("origin_country", "s"), c("required")),
         "government_warning": government_warning(F.col("read_government_warning"), c("warning"), c("diff")),
