@@ -1,8 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter, overlaps resolved by containment and priority.
 
 A text is lower-cased (A-Z) and cut into words; signatures are regular expressions over its words. Cheap substring tests
-decide which rules may match; only their expressions run. Among all detections of a text, in the order of their start,
-then length (longest first), then rule priority, one that lies within an earlier one is suppressed.
+decide which rules may match; only their expressions run. A detection that lies within one of its own or a higher priority is
+suppressed (of equal ones, the later rule's); `proprietary` is kept only where nothing else is found. So what says
+more, a sentence or a name with its version, is never lost to a longer phrase that says less.
 All is one map-only DataFrame expression: texts are neither shuffled nor collected, whatever their source.
 
 Null text counts as empty: no words, no labels, score 0. Null ids and repeated rows are scanned like others; extra
@@ -94,35 +95,118 @@ FAMILIES = [
     ("beerware", "beerware", "beerware(?: license)?", []),
 ]
 
+#: Fixed values. Identifiers as they stand behind "SPDX-License-Identifier:"; the label is the identifier in lower case. Priority 3, weight 1.
+SPDX = """
+MIT MIT-0 X11 ISC Zlib Unlicense WTFPL BSL-1.0 0BSD BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-4-Clause BSD-2-Clause-Patent
+Apache-1.0 Apache-1.1 Apache-2.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-3.0
+LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later LGPL-2.1 LGPL-3.0
+AGPL-1.0 AGPL-3.0-only AGPL-3.0-or-later AGPL-3.0 GFDL-1.1 GFDL-1.2 GFDL-1.3 MPL-1.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 CDDL-1.1 CPL-1.0
+EUPL-1.0 EUPL-1.1 EUPL-1.2 Artistic-1.0 Artistic-2.0 AFL-1.1 AFL-1.2 AFL-2.0 AFL-2.1 AFL-3.0 OSL-1.0 OSL-2.0 OSL-2.1 OSL-3.0
+PSF-2.0 Python-2.0 OFL-1.0 OFL-1.1 ZPL-1.1 ZPL-2.0 ZPL-2.1 PHP-3.0 PHP-3.01 MS-PL MS-RL SSPL-1.0 BUSL-1.1 NCSA OpenSSL Vim PostgreSQL Ruby Beerware
+ODbL-1.0 ODC-By-1.0 PDDL-1.0 LPPL-1.0 LPPL-1.1 LPPL-1.2 LPPL-1.3a LPPL-1.3c CC0-1.0 CC-PDDC
+CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-SA-4.0
+CC-BY-ND-2.0 CC-BY-ND-3.0 CC-BY-ND-4.0 CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-3.0 CC-BY-NC-ND-4.0
+"""
+
+#: Fixed values. Short forms: keyword, label, expression. Priority 2, weight 0.9.
+SHORT = [
+    ("gplv", "gpl-1.0", "(?:gnu )?gplv1(?: 0)?"),
+    ("gplv", "gpl-2.0", "(?:gnu )?gplv2(?: 0)?"),
+    ("gplv", "gpl-3.0", "(?:gnu )?gplv3(?: 0)?"),
+    ("gplv", "gpl-2.0-or-later", "(?:gnu )?gplv2 or (?:later|any later version)"),
+    ("gplv", "gpl-3.0-or-later", "(?:gnu )?gplv3 or (?:later|any later version)"),
+    ("gplv", "lgpl-2.0", "(?:gnu )?lgplv2(?: 0)?"),
+    ("gplv", "lgpl-2.1", "(?:gnu )?lgplv2 1"),
+    ("gplv", "lgpl-3.0", "(?:gnu )?lgplv3(?: 0)?"),
+    ("gplv", "agpl-3.0", "(?:gnu )?agplv3(?: 0)?"),
+    (" gpl2 ", "gpl-2.0", "gpl2"),
+    (" gpl3 ", "gpl-3.0", "gpl3"),
+    ("gpl 2 0 only", "gpl-2.0-only", "gpl 2 0 only"),
+    ("gpl 2 0 or later", "gpl-2.0-or-later", "gpl 2 0 or later"),
+    ("gpl 3 0 only", "gpl-3.0-only", "gpl 3 0 only"),
+    ("gpl 3 0 or later", "gpl-3.0-or-later", "gpl 3 0 or later"),
+    ("apache 2", "apache-2.0", "apache 2(?: 0)?"),
+    ("apache v2", "apache-2.0", "apache v2(?: 0)?"),
+    ("apache2", "apache-2.0", "apache2"),
+    ("asl 2 0", "apache-2.0", "asl 2 0"),
+    ("2 clause", "bsd-2-clause", "bsd 2 clause(?: license)?|2 clause bsd(?: license)?"),
+    ("3 clause", "bsd-3-clause", "bsd 3 clause(?: license)?|3 clause bsd(?: license)?"),
+    ("4 clause", "bsd-4-clause", "bsd 4 clause(?: license)?|4 clause bsd(?: license)?"),
+    ("0bsd", "0bsd", "0bsd"),
+    (" bsd licensed ", "bsd", "bsd licensed"),
+    (" mit licensed ", "mit", "mit licensed"),
+    (" mit x11 ", "mit", "mit x11(?: license)?"),
+    ("expat license", "mit", "expat license"),
+    ("x11 license", "x11", "x11 license"),
+    ("licensed under mit", "mit", "licensed under mit"),
+    ("licensed under bsd", "bsd", "licensed under bsd"),
+    ("licensed under gpl", "gpl", "licensed under gpl"),
+    ("licensed under apache", "apache", "licensed under apache"),
+    ("mplv", "mpl-1.1", "mplv1 1"),
+    ("mplv", "mpl-2.0", "mplv2(?: 0)?"),
+    ("cc0", "cc0-1.0", "cc0 1 0 universal"),
+    ("cc zero", "cc0", "cc zero"),
+    ("creative commons zero", "cc0", "creative commons zero"),
+    ("creative commons", "cc-pdm", "creative commons public domain mark"),
+    ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source license"),
+    ("ruby license", "ruby", "ruby license"),
+    ("perl", "artistic-or-gpl", "same terms as perl(?: 5)? itself"),
+    ("json license", "json", "json license"),
+    ("free for non commercial", "non-commercial", "free for non ?commercial use"),
+    ("for non commercial use only", "non-commercial", "for non ?commercial use only"),
+    ("for research purposes only", "research-only", "for research purposes only"),
+    ("for personal use only", "personal-only", "for personal use only"),
+    ("do not distribute", "proprietary", "do not distribute"),
+]
+
 #: Fixed values. Sentences of license texts and notices: keyword, label, expression. Priority 3, weight 1.
 TEXTS = [
     ("permission is hereby granted", "mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("the above copyright notice and this permission", "mit", "the above copyright notice and this permission notice shall be included in all copies"),
     ("permission to use", "isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("redistribution and use", "bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("neither the name", "bsd-3-clause", "neither the name of .{1,80} nor the names of its contributors may be used"),
     ("all advertising materials", "bsd-4-clause", "all advertising materials mentioning features or use of this software"),
     ("released into the public domain", "unlicense", "this is free and unencumbered software released into the public domain"),
     ("altered source versions", "zlib", "altered source versions must be plainly marked as such"),
-    ("licensed under the apache", "apache", "licensed under the apache license version 2 0"),
+    ("licensed under the apache", "apache-2.0", "licensed under the apache license version 2(?: 0)?"),
+    ("licensed to the apache software foundation", "apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
     ("under the terms of the gnu", "gpl", "under the terms of the gnu general public license"),
+    ("under the terms of the gnu", "gpl-2.0", "under the terms of the gnu general public license version 2(?: 0)?"),
+    ("under the terms of the gnu", "gpl-3.0", "under the terms of the gnu general public license version 3(?: 0)?"),
+    ("either version 2 of the license", "gpl-2.0-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("either version 3 of the license", "gpl-3.0-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("under the terms of the gnu", "lgpl", "under the terms of the gnu (?:lesser|library) general public license"),
+    ("either version 2 1 of the license", "lgpl-2.1-or-later", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("under the terms of the gnu", "agpl", "under the terms of the gnu affero general public license"),
+    ("source code form", "mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("source code form", "mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("eclipse public license", "epl-2.0", "made available under the terms of the eclipse public license(?: v)? 2 0"),
+    ("eclipse public license", "epl-1.0", "made available under the terms of the eclipse public license v1 0"),
+    ("boost software license", "bsl-1.0", "distributed under the boost software license version 1 0"),
     ("released under the mit", "mit", "released under the mit license"),
-    ("licensed under cc", "cc-by", "licensed under cc by(?: [0-9] [0-9])"),
+    ("licensed under cc", "cc-by", "licensed under cc by"),
+    ("licensed under a creative commons", "cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("licensed under a creative commons", "cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("dedicated to the public domain", "public-domain", "dedicated to the public domain"),
     ("in the public domain", "public-domain", "(?:is|placed) in the public domain"),
-    ("all rights reserved", "proprietary", "all rights reserved"),
 ]
 
+#: Fixed values. What says only that rights are kept: priority 1, weight 0.5.
+RESERVED = [("all rights reserved", "proprietary", "all rights reserved"), ("confidential and proprietary", "proprietary", "confidential and proprietary"), ("proprietary license", "proprietary", "proprietary license")]
+
 
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, label, expression over words, priority, weight) in order: base phrases, families by version and bare, sentences."""
+    """(keyword, label, expression over words, priority, weight) in order: base phrases, identifiers, sentences, families by version, short forms, bare names, reserved rights."""
     out = [(phrase, label, phrase, 0, 0.7) for phrase, label in BASE.items()]
+    words = lambda name: name.lower().replace("-", " ").replace(".", " ")
+    out += [("spdx license identifier", name.lower(), f"spdx license identifier {words(name)}", 3, 1.0) for name in SPDX.split()]
+    out += [(keyword, label, text, 3, 1.0) for keyword, label, text in TEXTS]
     for keyword, label, name, versions in FAMILIES:
         out += [(keyword, f"{label}-{v.replace(' ', '.')}", f"{name}{VERSION} v?{v}", 2, 0.95) for v in versions]
-        out.append((keyword, label, name, 1, 0.8))
-    return out + [(keyword, label, text, 3, 1.0) for keyword, label, text in TEXTS]
+    out += [(keyword, label, text, 2, 0.9) for keyword, label, text in SHORT]
+    out += [(keyword, label, name, 1, 0.8) for keyword, label, name, _ in FAMILIES]
+    return out + [(keyword, label, text, 1, 0.5) for keyword, label, text in RESERVED]
 
 
 def _spaces(x: Column) -> Column:
@@ -132,7 +216,7 @@ def _spaces(x: Column) -> Column:
 def _places(words: Column, expression: str | Column) -> Column:
     """Start and end (words from 0, end excluded) of every match, from the lengths of the text's pieces around the marked matches."""
     expression = F.lit(expression) if isinstance(expression, str) else expression
-    marked = F.regexp_replace(words, F.concat(F.lit("(?<= )("), expression, F.lit(")(?= )")), F.lit("\u0001$1\u0002"))
+    marked = F.regexp_replace(words, F.concat(F.lit("(?<= )((?:"), expression, F.lit("))(?= )")), F.lit("\u0001$1\u0002"))
     pieces = F.split(marked, "\u0001")
     # Each piece after the first holds a match, then what follows it; a word has one space before it.
     sizes = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(_spaces(F.substring_index(p, "\u0002", 1)).alias("own"), _spaces(p).alias("all")))
@@ -150,15 +234,23 @@ def scan(docs: DataFrame) -> DataFrame:
     read = read.withColumn("n_words", F.when(F.col("_w") == "  ", 0).otherwise(_spaces(F.col("_w")) - 1).cast("long"))
     keywords = sorted({r[0] for r in table_})
     gate = reduce(lambda a, b: a | b, [F.col("_w").contains(k) for k in keywords])
-    fixed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(x).alias("x"), F.lit(p).alias("p"), F.lit(w).alias("w")) for k, label, x, p, w in table_])
+    fixed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(x).alias("x"), F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(i).alias("i")) for i, (k, label, x, p, w) in enumerate(table_)])
     hit = F.filter(fixed, lambda r: F.col("_w").contains(r["k"]))
-    each = F.transform(hit, lambda r: F.transform(_places(F.col("_w"), r["x"]), lambda d: F.struct(d["s"].alias("s"), d["e"].alias("e"), r["label"].alias("label"), r["w"].alias("weight"), r["p"].alias("priority"))))
-    read = read.withColumn("_d", F.when(gate, F.flatten(each)).otherwise(F.array().cast("array<struct<s:int,e:int,label:string,weight:double,priority:int>>")))
-    base = F.filter("_d", lambda d: d["priority"] == 0)
-    ordered = F.array_sort(F.transform(F.filter("_d", lambda d: d["priority"] > 0), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-d["priority"]).alias("p"), d["label"].alias("label"), d["weight"].alias("weight"))))
-    none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
-    kept = lambda a, d: F.when(-d["e"] > a["end"], F.struct((-d["e"]).alias("end"), (a["n"] + 1).alias("n"), F.array_union(a["labels"], F.array(d["label"])).alias("labels"), F.greatest(a["score"], d["weight"]).alias("score"))).otherwise(a)
-    read = read.withColumn("_b", base).withColumn("_s", F.aggregate(ordered, none, kept)).withColumn("_l", F.array_distinct(F.transform("_b", lambda d: d["label"])))
+    each = F.transform(hit, lambda r: F.transform(_places(F.col("_w"), r["x"]), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"), r["label"].alias("label"), r["w"].alias("weight"))))
+    read = read.withColumn("_d", F.when(gate, F.flatten(each)).otherwise(F.array().cast("array<struct<s:int,e:int,p:int,i:int,label:string,weight:double>>")))
+    # In the order of start, length and priority a detection within an earlier one ends no later; `reach` holds how far those of each priority go.
+    ordered = F.array_sort(F.filter("_d", lambda d: d["p"] < 0))
+    none = F.struct(F.array(F.lit(0), F.lit(0), F.lit(0)).alias("reach"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+
+    def kept(a: Column, d: Column) -> Column:
+        end, level = -d["e"], -d["p"]
+        free = end > F.array_max(F.slice(a["reach"], level, 4 - level))
+        reach = F.transform(a["reach"], lambda x, k: F.when(k + 1 == level, F.greatest(x, end)).otherwise(x))
+        return F.when(free, F.struct(reach.alias("reach"), (a["n"] + 1).alias("n"), F.array_union(a["labels"], F.array(d["label"])).alias("labels"), F.greatest(a["score"], d["weight"]).alias("score"))).otherwise(a)
+
+    read = read.withColumn("_b", F.filter("_d", lambda d: d["p"] == 0)).withColumn("_s", F.aggregate(ordered, none, kept)).withColumn("_l", F.array_distinct(F.transform("_b", lambda d: d["label"])))
+    every = F.array_union("_l", F.col("_s.labels"))
+    read = read.withColumn("_a", F.when(F.size(every) > 1, F.array_remove(every, "proprietary")).otherwise(every))
     starts = F.transform("_b", lambda d: d["s"])
     return read.select(
         "doc_id",
@@ -167,7 +259,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_min(starts).cast("long").alias("first_word"),
         F.array_max(starts).cast("long").alias("last_word"),
         F.array_join(F.array_sort("_l"), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("_l", F.col("_s.labels"))), ",").alias("labels"),
+        F.array_join(F.array_sort("_a"), ",").alias("labels"),
         F.col("_s.n").cast("long").alias("n_detections"),
         F.greatest(F.col("_s.score"), F.when(F.size("_b") > 0, 0.7).otherwise(0.0)).alias("score"),
     )

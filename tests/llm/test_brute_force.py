@@ -219,6 +219,7 @@ def test_feistel_is_a_permutation():
 
 
 def test_shards_resume_at_any_slot(docs, texts, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
     ordered = token_order.in_training_order(docs, length=256, slots=64)
     rows = ordered.collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
@@ -228,9 +229,17 @@ def test_shards_resume_at_any_slot(docs, texts, tmp_path):
         with open(tmp_path / f"{r['shard']:06d}.bin", "rb") as f:
             f.seek(r["offset"])
             assert f.read(512) == bytes(r["ids"])
-    tokens = sum(r["n_tokens"] for r in rows)
-    offsets, ids = bpe.encoder(bpe.FILE)(pa.array(list(texts.values())))
-    assert tokens == len(ids) + len(texts)
+    # In the order of their numbers, sequences say each task's texts, each ended; read as one text by the library's decoder.
+    library = tokenizers.Tokenizer.from_file(bpe.tokenizer_path(bpe.FILE))
+    wanted = {i: [*library.encode(t, add_special_tokens=False).ids, token_order.END] for i, t in texts.items()}
+    assert sum(r["n_tokens"] for r in rows) == sum(map(len, wanted.values()))
+    n, at = len(rows), {r["slot"]: r for r in rows}
+    said = [x for k in token_order.permuted(np.arange(n), n, token_order.KEY) for x in np.frombuffer(at[k]["ids"], "<u2")[: at[k]["n_tokens"]].tolist()]
+    left, start = {tuple(x): i for i, x in wanted.items()}, 0
+    for k, x in enumerate(said):
+        if x == token_order.END and tuple(said[start : k + 1]) in left:
+            start = k + 1
+    assert start == len(said)
 
 
 def test_lm_scores(docs, texts):
@@ -239,7 +248,7 @@ def test_lm_scores(docs, texts):
     for w in words.values():
         one.update(w)
         two.update(zip([None, *w], w, strict=False))
-    total = sum(one.values())
+    total, texts_with_words = sum(one.values()), sum(map(bool, words.values()))
     for r in lm_score.lm_score(docs, slice_bytes=100_000).collect():
         w = words[r["doc_id"]]
         if not w:
@@ -248,7 +257,7 @@ def test_lm_scores(docs, texts):
         own, pairs, said, rest = collections.Counter(w), collections.Counter(zip([None, *w], w, strict=False)), 0.0, total - len(w)
         for v, x in zip([None, *w], w, strict=False):
             if (c := two[v, x] - pairs[v, x]) > 0:
-                said += math.log(c / (rest if v is None else one[v] - own[v]))
+                said += math.log(c / (texts_with_words - 1 if v is None else one[v] - own[v]))
             else:
                 said += math.log(0.4 * (one[x] - own[x]) / rest) if one[x] > own[x] else math.log(0.16 / rest)
         assert abs(said / len(w) - r["score"]) < 1e-9
@@ -264,6 +273,75 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.85 * sum(t for t, _ in held) and hit >= 0.75 * sum(p for _, p in held)
 
 
+def test_toxicity_learns_from_the_least(spark):
+    plain, vile, other = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2][:3]
+    said = {i: f"plain words number {i} and more" for i in range(50)} | {vile: "you vile trash", other: "vile trash again", 100: None}
+    docs = spark.createDataFrame([*said.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(plain, 0), (vile, 1)], "doc_id long, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()}
+    assert len(found) == 51 and all(0 <= r["score"] <= 1 for r in found.values()) and found[other]["score"] > found[plain]["score"]
+
+
+def test_toxicity_ratios_follow_from_the_counts():
+    """The model's log ratios on a toy corpus against the formulas, pair by pair."""
+    said = [("a b", 1), ("a b", 1), ("a c b", 0), ("a c", 0), ("c b", 0), ("a b", 0)]
+    pairs, before = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for text, toxic in said:
+        for v, w in zip([None, *text.split()], text.split(), strict=False):
+            pairs[v, w][1 - toxic] += 1
+    for (v, _), n in pairs.items():
+        before[v] = [x + y for x, y in zip(before[v], n, strict=True)]
+    odds = lambda q: math.log(max(q, 1e-9) / max(1 - q, 1e-9))
+
+    def share(n, discount, back):
+        left = [max(x - discount, 0) for x in n]
+        return (left[0] + (sum(n) - sum(left)) * back) / sum(n)
+
+    kinds = {w: [sum(1 for (_, x), n in pairs.items() if x == w and n[c]) for c in (0, 1)] for _, w in pairs}
+    of_words = sum(n[0] for n in kinds.values()) / sum(sum(n) for n in kinds.values())
+    of_pairs = sum(n[0] for n in pairs.values()) / sum(sum(n) for n in pairs.values())
+    word = {w: odds(share(n, toxicity.DISCOUNT, of_words)) - odds(of_words) for w, n in kinds.items()}
+    left = {v: odds(share(n, toxicity.DISCOUNT, of_pairs)) - odds(of_pairs) for v, n in before.items()}
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in said]), pa.array([x for _, x in said], pa.int32())], ["text", "toxic"])
+    counted = pa.Table.from_batches(list(toxicity._count_pairs([batch]))).group_by(["v", "w"]).aggregate([("ct", "sum"), ("co", "sum")]).rename_columns(["v", "w", "ct", "co"])
+    model = toxicity.Model(counted)
+    for d in toxicity.DISCOUNTS:
+        for text in ("a b", "b c a", "c", "a zz b"):
+            words, wanted = text.split(), 0.0
+            for v, w in zip([None, *words], words, strict=False):
+                if (v, w) in pairs:
+                    back = 1 / (1 + math.exp(-(odds(of_pairs) + left[v] + word[w])))
+                    wanted += odds(share(pairs[v, w], d, back)) - odds(of_pairs) - left[v]
+                else:
+                    wanted += word.get(w, 0.0)
+            assert abs(model.features(pa.array([text]), d)[0, 1] - wanted / len(words)) < 1e-5
+
+
+def test_quality_kept_follows_the_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    found = {r["doc_id"]: r for r in quality.query(ship(spark), folder).collect()}
+    marked = [(r["quality"], found[r["doc_id"]]) for r in spark.read.parquet(f"{folder}/labels.parquet").where("quality IS NOT NULL").collect()]
+    good, bad = ([r for q, r in marked if q == x and not r["base_failed"]] for x in (1, 0))
+    assert sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(r["kept"] for r in bad) <= 0.6 * len(bad)
+
+
+def test_near_passages_are_found(spark):
+    random.seed(15)
+    fresh = (f"x{k}" for k in range(10**9))
+    rows, wanted = [], []
+    for k in range(60):
+        base = [next(fresh) for _ in range(90)]
+        for c in range(random.choice([2, 4, 8])):
+            copy = list(base)
+            for at in random.sample(range(90), 1 if c else 0):
+                copy[at] = next(fresh)
+            rows.append((len(rows), " ".join([*(next(fresh) for _ in range(30)), *copy, *(next(fresh) for _ in range(20))])))
+            if c:
+                wanted.append(len(rows) - 1)
+    found = {r["doc_id"] for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(i in found for i in wanted) >= 0.98 * len(wanted)
+
+
 def test_quality_counts(docs, texts):
     for r in quality.quality(docs).collect():
         text = texts[r["doc_id"]]
@@ -300,7 +378,38 @@ def test_license_base_places(docs, spark):
         assert 0 <= r["score"] <= 1
 
 
-def test_contained_detections_are_suppressed(spark):
-    said = [(1, "GNU General Public License v3.0"), (2, "under CC BY-NC-SA 4.0"), (3, "mit")]
-    found = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(said, "doc_id long, text string")).collect()}
-    assert found == {1: "gpl,gpl-3.0", 2: "cc-by,cc-by-nc-sa-4.0", 3: ""}
+def licenses(text):
+    """Labels, number of detections and score by Python's regular expressions."""
+    joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)})))
+    found, base = [], []
+    for i, (keyword, label, expression, priority, weight) in enumerate(license_scan.rules()):
+        if keyword in f" {joined} ":
+            for m in re.finditer(f"(?<= )(?:{expression})(?= )", f" {joined} "):
+                (found if priority else base).append((m.start(), m.end(), priority, i, label, weight))
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and y[2] >= x[2] and ((y[0], y[1], y[2]) != (x[0], x[1], x[2]) or y[3] < x[3])
+    kept = [x for x in found if not any(inside(x, y) for y in found)]
+    labels = {x[4] for x in kept + base}
+    labels -= {"proprietary"} if len(labels) > 1 else set()
+    return ",".join(sorted(labels)), len(kept), max([0, *(x[5] for x in kept), *(0.7 for _ in base[:1])])
+
+
+SAID = {
+    "GNU General Public License v3.0": "gpl,gpl-3.0", "under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0", "mit": "", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "GPLv3": "gpl-3.0", "GPLv2 or later": "gpl-2.0-or-later", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
+    "All rights reserved.": "proprietary", "Copyright X. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    "BSD-2-Clause": "bsd-2-clause", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath": "gpl-2.0-or-later",
+}
+
+
+def test_license_labels(docs, spark):
+    assert len(license_scan.rules()) > 400
+    random.seed(6)
+    words = sorted({w for _, _, x, _, _ in license_scan.rules() for w in re.findall("[a-z0-9]+", x)})
+    names = [re.sub(r"\(\?:([^|)]*)[^)]*\)\??|[?]", r"\1", x) for _, _, x, _, _ in license_scan.rules()]
+    mixed = [" ".join(random.choice([random.choice(words), random.choice(names)]) for _ in range(random.randint(1, 12))) for _ in range(600)]
+    rows = [*enumerate([*SAID, *mixed, None, ""])]
+    found = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i]["labels"] for i in range(len(SAID))] == list(SAID.values())
+    said = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    for r, text in [*((found[i], t) for i, t in rows), *((said[r["doc_id"]], r["text"]) for r in docs.collect())]:
+        assert (r["labels"], r["n_detections"], r["score"]) == licenses(text), text

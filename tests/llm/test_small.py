@@ -66,3 +66,44 @@ def test_pipeline_stages_on_awkward_rows(awkward, spark, tmp_path):
         assert name == "packing" or out.columns == awkward.columns
         out.collect()
         assert stage(spark, empty(awkward), str(tmp_path)).count() == 0
+
+
+def test_stages_keep_the_documents_own_columns(spark, tmp_path):
+    """Columns that stages use names of themselves come out as they went in."""
+    names = ["score", "predicted", "_id", "_spans", "spans", "spans_of", "class_id", "kept", "gone", "SCORE2", "row"]
+    passage = " ".join(f"shared{k}" for k in range(60))
+    rows = [(1, f"one {passage} first"), (2, f"two {passage} second"), (3, "other text"), (4, "other text"), (5, None)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], schema)
+    spark.createDataFrame([(1, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        found = {r["doc_id"]: r for r in out.collect()}
+        assert all(r[n] == f"{n}{i}" for i, r in found.items() for n in names)
+        kept[name] = {i: r["text"] for i, r in found.items()}
+    texts = {i: t for i, t in rows}
+    assert kept["exact_dedup"] == {i: texts[i] for i in (1, 2, 4, 5)} and kept["ngram_join"] == {i: texts[i] for i in (1, 2, 3, 5)}
+    assert kept["substring_dedup"] == texts | {2: "two second"} or kept["substring_dedup"] == texts | {2: "two  second"}
+
+
+def test_pipeline_on_a_small_table(spark):
+    """Each stage's outcome on the documents that the stage before kept."""
+    folder = "/root/testdata/sf0.001"
+    docs = ship(spark).read.parquet(f"{folder}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        after = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert after.keys() <= before.keys()
+        if name == "exact_dedup":
+            assert len(set(after.values())) == len(after) and set(after.values()) == set(before.values()) and all(i == max(k for k in before if before[k] == t) for i, t in after.items())
+        if name == "ngram_join":
+            assert all(after[i] == before[i] for i in after) and len(after) < len(before)
+        if name == "substring_dedup":
+            assert all(len(after[i]) <= len(before[i]) for i in after) and min(after) == min(before)
+        before = after
+    packed = corpus_pipeline.packing_stage(spark, docs, folder).collect()
+    assert {r["doc_id"] for r in packed} == after.keys() and all(r["start"] + r["length"] <= r["doc_tokens"] for r in packed)
