@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
@@ -13,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a slim key table up to which it is broadcast; beyond, the same join shuffles.
-BROADCAST_ROWS = 400_000
+#: Rows and bytes (as Parquet) of a key table up to which it is broadcast; beyond either, the same join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none."""
+    """The folder all executors share. Only a session whose tasks run in this process may go without: it gets a local one."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="proofline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,14 +40,59 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    freed(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def freed(spark: SparkSession) -> None:
+    """Shuffle files of what nobody refers to any more go now, not when the driver happens to collect garbage."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what has been written can go now, not when the driver happens to collect garbage
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+
+
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        at, store = _place(df.sparkSession, df._written_at)
+        store.delete(at, True)
+
+
+def checked(keys: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """keys (a written table), marked for broadcast if it is small enough in rows and bytes; else as it is, and joins shuffle."""
+    at, store = _place(keys.sparkSession, keys._written_at)
+    return F.broadcast(keys) if store.getContentSummary(at).getLength() <= most and keys.limit(rows + 1).count() <= rows else keys
+
+
+def tidy(batches):
+    """A batch function that gives a worker's memory back at its task's end: the worker lives on, and other operators need it."""
+
+    @functools.wraps(batches)
+    def run(source):
+        try:
+            yield from batches(source)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
-def checked(keys: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """keys (a written, slim table), marked for broadcast if it has at most `bound` rows; else as it is, and joins shuffle."""
-    return F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or with underscores before it as long as docs has such a column (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_of(docs: DataFrame) -> Column:
@@ -106,7 +156,7 @@ def shingle_hashes(offsets: np.ndarray, words: np.ndarray, size: int) -> tuple[n
     return np.concatenate([[0], np.cumsum(counts)]), out[keep]
 
 
-def row_slices(table_: pa.RecordBatch, column: str, most_bytes: int = 8_000_000):
+def row_slices(table_: pa.RecordBatch, column: str, most_bytes: int = 4_000_000):
     """Slices of a batch with about `most_bytes` of text each, so that memory holds whatever the texts' lengths are."""
     size = pc.fill_null(pc.binary_length(table_.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, n = 0, table_.num_rows
