@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from proofline.llm.shared import list_parts, row_slices, strings, table
+from proofline.llm.shared import list_parts, row_slices, strings, table, tidy
 
 NAME = "op6_bpe"
 ORACLE_SQL = None
@@ -264,7 +264,7 @@ def encode(docs: DataFrame, name: str = FILE) -> DataFrame:
                 offsets, ids = encoder(name)(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.LargeListArray.from_arrays(offsets, ids.astype(np.int32)).cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), "doc_id long, ids array<int>")
 
 
 def digests(docs: DataFrame, name: str = FILE) -> DataFrame:
@@ -279,9 +279,8 @@ def digests(docs: DataFrame, name: str = FILE) -> DataFrame:
                 of_ids = [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 decoded = [hashlib.sha256(t.encode()).hexdigest() for t in own.bpe.decode(offsets, ids)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(of_ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder(name).remembered.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

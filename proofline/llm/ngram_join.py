@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import checked, components, mix, one_text_per_id, row_slices, shingle_hashes, table, word_hashes, written
+from proofline.llm.shared import checked, components, mix, one_text_per_id, row_slices, shingle_hashes, table, tidy, word_hashes, written
 
 NAME = "op7_ngram_join"
 ORACLE_SQL = None
@@ -70,7 +70,7 @@ def _signatures(bands: int, rows: int):
 
 def _sets(source):
     for batch in source:
-        for part in row_slices(batch, "text"):
+        for part in row_slices(batch, "text", 2_000_000):
             offsets, shingles = shingle_hashes(*word_hashes(part.column("text")), SHINGLE)
             sets = [np.unique(shingles[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
@@ -199,11 +199,11 @@ def links(docs: DataFrame, members: DataFrame, threshold: float) -> tuple[DataFr
     homes = written(components(large.select(F.col("doc_id").alias("a"), F.col("least").alias("b"))).toDF("doc_id", "home"), "at_home")
     pairs = written(_all_pairs(joined.where(F.col("n") <= SMALL).join(checked(homes), "doc_id", "left")), "pairs")
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(homes.select("doc_id")).distinct(), "candidates")
-    sets = written(docs.join(checked(ids), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    sets = written(docs.join(checked(ids), "doc_id", "left_semi").mapInArrow(tidy(_sets), "doc_id long, shingles binary"), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    found = both.select("a", "b", "x", "y").mapInArrow(_compared, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
+    found = both.select("a", "b", "x", "y").mapInArrow(tidy(_compared), "a long, b long, similarity double").where(F.col("similarity") >= threshold)
     found = written(found.select("a", "b"), "links")
-    several = checked(written(members.select("doc_id", "copies").where("copies > 1"), "copies").withColumnRenamed("doc_id", "b"))
+    several = checked(written(members.select(F.col("doc_id").alias("b"), "copies").where("copies > 1"), "copies"))
     each = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(several, "b", "left")
     counts = each.select(F.col("a").alias("doc_id"), F.coalesce("copies", F.lit(1)).alias("links"))
     if homes.isEmpty():
@@ -216,7 +216,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     """(one row per document: doc_id, class_id, n_links, n_shingles; edges between members that connect all verified pairs: a, b)."""
     texts = one_text_per_id(docs)
     bands = bands_for(threshold, recall, rows)
-    signed = written(texts.mapInArrow(_signatures(bands, rows), "doc_id long, h1 long, h2 long, size long, bands array<long>"), "signatures")
+    signed = written(texts.mapInArrow(tidy(_signatures(bands, rows)), "doc_id long, h1 long, h2 long, size long, bands array<long>"), "signatures")
     members = signed.where("size > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("member"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     members = written(members, "distinct")
     linked, counts = links(texts, members.select(F.col("member").alias("doc_id"), "copies", "bands"), threshold)

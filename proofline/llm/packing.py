@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from proofline.llm.bpe import Remembered, tokenizer_path
-from proofline.llm.shared import list_parts, row_slices, strings, table
+from proofline.llm.shared import list_parts, row_slices, strings, table, tidy
 
 NAME = "op4_packing"
 ORACLE_SQL = None
@@ -33,6 +33,8 @@ LENGTH = 4096
 END = 2
 #: Tokens packed at once: enough for even costs, few enough for a Python worker's memory.
 BLOCK = 256 * LENGTH
+#: Pieces remembered by a Python worker, some 100 MB; most are never seen again.
+REMEMBERED = 150_000
 #: Relative costs of a token and of a pair of tokens of one document, as of a layer of width 1024.
 LINEAR, QUADRATIC = 1.0, 1.0 / (12 * 1024)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -48,7 +50,11 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered = Remembered(lambda new: [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        self.remembered = Remembered(self.pieces, most=REMEMBERED)
+
+    def pieces(self, new: list[str]) -> list[list[int]]:
+        """Some pieces at a time, as what the library returns for each takes far more memory than its ids."""
+        return [x.ids for k in range(0, len(new), 2_000) for x in self.tokenizer.encode_batch(new[k : k + 2_000], add_special_tokens=False)]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         plain = pc.replace_substring(strings(texts), "\n", " ")
@@ -163,7 +169,7 @@ def pack(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int = END
         encoder(name).remembered.forget()
         yield packer.packed(last=True)
 
-    return docs.select("doc_id", "text").mapInArrow(batches, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(batches), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
