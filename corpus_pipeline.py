@@ -1,8 +1,8 @@
 """The corpus pipeline: documents without toxic ones, copies, near copies and repeated passages, packed into sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before has kept; all but the last return the
-columns of documents. SQL can't express its models and min-hashes, so ORACLE_SQL is None; the tests hold each
-stage against a brute-force version.
+columns of documents, extra ones included, whatever these are called. An empty table stays empty at every stage. SQL can't express its models
+and min-hashes, so ORACLE_SQL is None; tests/llm holds what each stage keeps against brute force or the labels.
 """
 
 from __future__ import annotations
@@ -15,35 +15,33 @@ from proofline.llm.shared import checked, table, written
 from proofline.shipping import ship
 
 ORACLE_SQL = None
-#: A document goes if the toxicity score is at least this: as likely toxic as not.
-REJECT_FROM = 0.5
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the models, trained on the labels, do not reject."""
-    model = toxicity.train(docs, table(ship(spark), sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).where(F.col("score") < REJECT_FROM).select(*docs.columns)
+    """Documents that the models, trained on the labels, do not predict to be toxic (the operator's threshold). Null and empty
+    texts are scored like others; without labels of both classes all stay."""
+    return toxicity.accepted(docs, toxicity.train(docs, table(ship(spark), sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
+    """One document of each group of equal texts: the one with the largest id. Null and empty texts are equal; a null id gives way to others."""
     return exact_dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id. Rows without an id stay."""
+    """One document of each class of near copies: the one with the smallest id. Rows without an id and texts without words stay,
+    and rows that repeat an id stay or go together."""
     found, _ = ngram_join.ngram_join(docs)
-    dropped = written(found.where("class_id <> doc_id").select("doc_id").distinct(), "near")
-    return docs.join(checked(dropped), "doc_id", "left_anti").select(*docs.columns)
+    gone = checked(written(found.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct(), "near"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages cut from all but the earliest document that has them."""
+    """Repeated passages cut from all but the earliest document that has them; documents of which nothing is left go. Rows without an id stay as they are."""
     return substring_dedup.without_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all that is left, with their sequences."""
+    """The pieces of all that is left, with their sequences; null and empty texts are one end id each."""
     return packing.pack(docs)
 
 

@@ -1,52 +1,64 @@
-"""Toxicity: class-conditional Kneser-Ney bigram models and their length-normalised log-likelihood ratio.
+"""Toxicity: class-conditional Kneser-Ney bigram models and their length-normalised log-likelihood difference.
 
-Two models, of documents labelled toxic and of ordinary ones, share one backoff: the continuation counts of
-the pooled text. An expression too rare for a class to have its own estimate is so given nearly the
-same probability by both. A document's score is a logistic function of the difference of the two
-log-likelihoods, divided by the length and by its root, fitted on documents that the counts have not seen.
+Words are lower-cased runs of letters and digits, all of them cut into pieces of PIECE code points, so that inflected forms share
+what they have in common; pieces are what the models speak of. A text's first piece follows an opening mark. With counts n_t (toxic) and n_o (ordinary) of an
+expression x in the two classes' texts and a discount D, x's share of the toxic class is
 
-Null and empty texts have no words: their ratio is 0 and their score what the function gives there.
+    q(x) = (max(n_t - D, 0) + freed(x) Q(x)) / (n_t + n_o)
+
+where freed(x) is what D takes from both counts, pooled and shared out by Q, what the next shorter expression says: for a pair vw the odds of v and w multiplied,
+for a piece w the toxic share of all. Pieces count by their continuation: the number of distinct pieces before them in the class. So
+P_t(w | v) / P_o(w | v) is the odds of vw by the odds of v, that of w alone for a pair never seen, and 1 for an unknown piece: a rare expression
+falls back to counts that both classes share and speaks for neither. The pooled probability that both classes' models contain cancels. No count is too
+small to be used.
+
+A document's score is a logistic function of the difference of its log-likelihoods divided by its number of pieces and by
+the root of that number, and of the sum of the fourth powers of differences that speak for toxic, divided by that root: a few strong expressions
+in a long text (the difference alone can't tell these; see the README). It is fitted on sampled documents that the counts have not seen, as is the pairs'
+discount. If these lack one of the classes, all sampled documents serve for both.
+
+Null and empty texts have no words: their difference is 0 and their score what the function gives there.
 Where labels of either class are missing there is nothing to learn and every score is 0. Null ids and repeated
-rows are scored like others; a document labelled twice counts as toxic if either label says so. Extra columns are ignored.
+rows are scored like others; a document labelled twice counts as toxic if either label says so. `toxicity` carries extra columns but
+replaces ones named score or predicted; `accepted` keeps every column as it is. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import list_parts, row_slices, strings, table, written
+from proofline.llm.shared import list_parts, row_slices, strings, table, tidy, written
 
 NAME = "op9_toxicity"
 ORACLE_SQL = None
 
 #: Bound of the sample of labelled rows, for each class; the counts and the fit see no more, whatever the input's size.
-TOXIC_ROWS, ORDINARY_ROWS = 5_000, 15_000
+TOXIC_ROWS, ORDINARY_ROWS = 3_000, 5_000
 #: One in so many sampled rows is kept from the counts, for fitting the score.
 FIT_EVERY = 4
 THRESHOLD = 0.3
-#: A word is known by so many of its first code points, so that its inflected forms share their counts.
-STEM = 5
-#: Stems and pairs seen fewer times than this are left to the backoff.
-LEAST_STEMS, LEAST_PAIRS = 3, 10
-#: Discounts to choose from by the fit's loss.
-DISCOUNTS = (0.75, 3.0)
+#: Bytes of text taken at once.
+SLICE = 2_000_000
+PIECE = 5
+#: Discount of pieces, and those of pairs to choose from by the fit's loss.
+DISCOUNT, DISCOUNTS = 3.0, (3.0, 10.0, 30.0)
 OPENING = np.uint64(0)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Stems (STEM code points) of the lower-cased runs of letters and digits of each text: offsets, and a 64-bit hash of each."""
+    """The pieces of each text's words, those that continue a word told apart by a mark: offsets, and a 64-bit hash of each."""
     import xxhash
 
-    offsets, flat = list_parts(pc.split_pattern_regex(pc.utf8_lower(strings(texts)), r"[^\p{L}\p{N}]+"))
-    encoded = pc.utf8_slice_codeunits(flat, 0, STEM).dictionary_encode()
+    cut = pc.replace_substring_regex(pc.utf8_lower(strings(texts)), "\\+", " ")
+    cut = pc.replace_substring_regex(cut, r"([\p{L}\p{N}]{%d})" % PIECE, r"\1 +")
+    offsets, flat = list_parts(pc.split_pattern_regex(cut, r"[^\p{L}\p{N}+]+"))
+    encoded = flat.dictionary_encode()
     names = encoded.dictionary.to_pylist()
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) if w else 0 for w in names), np.uint64, len(names))
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w) if w and w != "+" else 0 for w in names), np.uint64, len(names))
     every = hashed[encoded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
     keep = every != 0
     return np.concatenate([[0], np.cumsum(keep)])[offsets], every[keep]
@@ -61,7 +73,7 @@ def pairs(offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _count_pairs(batches):
     for batch in batches:
-        for part in row_slices(batch, "text"):
+        for part in row_slices(batch, "text", SLICE):
             offsets, words = words_of(part.column("text"))
             toxic = np.repeat(part.column("toxic").to_numpy(), np.diff(offsets))
             seen, n = np.unique(np.stack([pairs(offsets, words), words, toxic.astype(np.uint64)]), axis=1, return_counts=True)
@@ -69,82 +81,70 @@ def _count_pairs(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(np.where(t > 0, n, 0)), pa.array(np.where(t > 0, 0, n))], ["v", "w", "ct", "co"])
 
 
+def log_odds(q):
+    q = np.clip(q, 1e-9, 1 - 1e-9)
+    return np.log(q / (1 - q))
+
+
+def share(toxic: np.ndarray, ordinary: np.ndarray, discount: float, back) -> np.ndarray:
+    """The toxic class's share of expressions with these counts, what the discount frees being shared out by `back`."""
+    left_t, left_o = np.maximum(toxic - discount, 0), np.maximum(ordinary - discount, 0)
+    every = toxic + ordinary
+    return np.where(every > 0, (left_t + (every - left_t - left_o) * back) / np.maximum(every, 1), back)
+
+
 class Model:
-    """Bounded tables of known stems' and pairs' class counts, from which either class's probabilities follow.
-
-    P_c(x) = P(x) (max(n_c(x) - D, 0) + freed(x) Q_c(x)) / (n(x) s_c), where P is the pooled probability, s_c the
-    class's share, freed(x) what the discount D takes from both classes' counts of x, and Q_c what the next shorter
-    expression says: for a pair its stem's share of the class, for a stem s_c. What is freed is so shared out by
-    counts that both classes have in common, and P itself, the pooled backoff, cancels in the ratio of the two.
-    """
-
-    def __init__(self, words: pa.Table, known: pa.Table, totals: dict):
-        self.share = np.float64(totals["t"] / (totals["t"] + totals["o"]))
-        get = lambda t, c: t.column(c).to_numpy()
-        self.word_keys, order = np.unique(get(words, "w"), return_index=True)
-        self.word_t, self.word_o = (get(words, f"n_{c}")[order].astype(np.float64) for c in "to")
-        keys = _pair_key(get(known, "v"), get(known, "w"))
-        self.pair_keys, order = np.unique(keys, return_index=True)
-        self.pair_t, self.pair_o = (get(known, f"c{c}")[order].astype(np.float64) for c in "to")
-        self.pair_word = get(known, "w")[order]
-        self.fit = np.zeros(4)
-        self.discounted(DISCOUNTS[0])
-
-    def discounted(self, discount: float) -> None:
-        """Sets the log ratios of all known expressions for a discount."""
-        word = self._toxic(self.word_t, self.word_o, self.share, discount)
-        place, there = _find(self.word_keys, self.pair_word)
-        back = np.where(there, word[place] if len(word) else self.share, self.share)
-        pair = self._toxic(self.pair_t, self.pair_o, back, discount)
-        self.word_ratio, self.pair_ratio = self._ratio(word), self._ratio(pair)
-
-    @staticmethod
-    def _toxic(t: np.ndarray, o: np.ndarray, back, discount: float) -> np.ndarray:
-        left_t, left_o = np.maximum(t - discount, 0), np.maximum(o - discount, 0)
-        return (left_t + (t + o - left_t - left_o) * back) / np.maximum(t + o, 1)
-
-    def _ratio(self, toxic: np.ndarray) -> np.ndarray:
-        toxic = np.clip(toxic, 1e-6, 1 - 1e-6)
-        return np.log(toxic / (1 - toxic)) - np.log(self.share / (1 - self.share))
-
-    def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sum of log ratios, sum of the squares of those that speak for toxic, and number of words, of each text."""
+    """Log ratios P_t / P_o of pieces and, for each discount, of pairs, from the sample's counts (v, w, ct, co)."""
+
+    def __init__(self, counted: pa.Table):
+        get = lambda c: counted.column(c).to_numpy()
+        v, w, toxic, ordinary = get("v"), get("w"), get("ct"), get("co")
+        keys = pair_key(v, w)
+        order = np.argsort(keys)
+        self.pair_keys, v, w, toxic, ordinary = keys[order], v[order], w[order], toxic[order], ordinary[order]
+        self.word_keys, place = np.unique(np.concatenate([v, w]), return_inverse=True)
+        as_v, as_w, m = place[: len(v)], place[len(v) :], len(self.word_keys)
+        continued = [np.bincount(as_w, c > 0, m) for c in (toxic, ordinary)]
+        of_words = continued[0].sum() / max(sum(c.sum() for c in continued), 1)
+        word = log_odds(share(*continued, DISCOUNT, of_words)) - log_odds(of_words)
+        of_pairs = toxic.sum() / max(toxic.sum() + ordinary.sum(), 1)
+        before = log_odds(share(np.bincount(as_v, toxic, m), np.bincount(as_v, ordinary, m), DISCOUNT, of_pairs)) - log_odds(of_pairs)
+        back = _logistic(log_odds(of_pairs) + before[as_v] + word[as_w])
+        self.word_ratio = word.astype(np.float32)
+        self.pair_ratio = {d: (log_odds(share(toxic, ordinary, d, back)) - log_odds(of_pairs) - before[as_v]).astype(np.float32) for d in DISCOUNTS}
+        self.fit, self.discount = np.zeros(4), DISCOUNTS[0]
+
+    def chosen(self, discount: float, fit: np.ndarray) -> None:
+        self.discount, self.fit, self.pair_ratio = discount, fit, {discount: self.pair_ratio[discount]}
+
+    def features(self, texts: pa.Array, discount: float) -> np.ndarray:
+        """What the score is a function of, for each text."""
         offsets, words = words_of(texts)
-        left = pairs(offsets, words)
-        words, left = words.view(np.int64), left.view(np.int64)
-        each = _look(self.word_keys, self.word_ratio, words, 0.0)
-        each = _look(self.pair_keys, self.pair_ratio, _pair_key(left, words), each)
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        total, strong = (np.bincount(row, x, len(offsets) - 1) for x in (each, np.maximum(each, 0) ** 2))
-        return total, strong, np.diff(offsets)
+        left, words, m = pairs(offsets, words).view(np.int64), words.view(np.int64), len(offsets) - 1
+        each = looked_up(self.word_keys, self.word_ratio, words, 0.0)
+        each = looked_up(self.pair_keys, self.pair_ratio[discount], pair_key(left, words), each)
+        row, n = np.repeat(np.arange(m), np.diff(offsets)), np.maximum(np.diff(offsets), 1)
+        difference, strong = (np.bincount(row, x, m) for x in (each, np.maximum(each, 0) ** 4))
+        return np.stack([np.ones(m), difference / n, difference / np.sqrt(n), np.log1p(strong / np.sqrt(n))], axis=1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        return _logistic(_features(*self.ratios(texts)) @ self.fit)
+        return _logistic(self.features(texts, self.discount) @ self.fit)
 
 
-def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
+def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default) -> np.ndarray:
+    """The value of each wanted key, or the default where there is none."""
+    if not len(keys):
+        return np.broadcast_to(default, len(wanted)).astype(np.float64)
     distinct, back = np.unique(wanted, return_inverse=True)
-    place, there = _find(keys, distinct)
-    found = values[place] if len(keys) else np.zeros(len(distinct))
-    return np.where(there[back], found[back], default)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return place, (keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool))
+    place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    return np.where((keys[place] == distinct)[back], values[place][back], default)
 
 
-def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (v * np.int64(-7046029254386353131)) ^ w
 
 
-def _features(ratio: np.ndarray, strong: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Length-normalised: the mean ratio, and how far strong evidence exceeds what chance gives as many words."""
-    root = np.sqrt(np.maximum(n, 1))
-    return np.stack([np.ones(len(n)), ratio / root**2, ratio / root, np.log1p(strong / root)], axis=1)
-
-
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -177,77 +177,66 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, dict]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The two models and the score's fit. Counts are summed relationally; only the bounded tables reach the driver."""
+    """The two models and the score's fit. Counts are summed relationally; only those of the bounded sample reach the driver."""
     sample, n = _sample(docs, labels)
     if sample is None:
         return None
     sample = written(sample, "labelled")
-    counted = sample.where(~F.col("fit")).mapInArrow(_count_pairs, "v long, w long, ct long, co long").groupBy("v", "w").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
-    counted = written(counted, "pairs")
-    words = counted.groupBy("w").agg(F.sum("ct").alias("n_t"), F.sum("co").alias("n_o"))
-    often = F.col("ct") + F.col("co") >= LEAST_PAIRS
-    totals = words.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o")).first()
-    if not (totals["t"] and totals["o"]):
+    parts = {(r["toxic"], r["fit"]) for r in sample.select("toxic", "fit").distinct().collect()}
+    if {t for t, _ in parts} != {0, 1}:
+        return None
+    apart = len(parts) == 4
+    seen, unseen = (sample.where(~F.col("fit")), sample.where("fit")) if apart else (sample, sample)
+    counted = seen.mapInArrow(tidy(_count_pairs), "v long, w long, ct long, co long").groupBy("v", "w").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
+    model = Model(counted.toArrow())
+    if not len(model.pair_keys):
         return None
-    known = words.where(F.col("n_t") + F.col("n_o") >= LEAST_STEMS).select("w", "n_t", "n_o")
-    model = Model(known.toArrow(), counted.where(often).toArrow(), totals.asDict())
-    packed = _packed(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches):
-        own = _unpacked(packed)
         for batch in batches:
-            for part in row_slices(batch, "text"):
-                each = []
-                for discount in DISCOUNTS:
-                    own.discounted(discount)
-                    each += own.ratios(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(list(np.stack(each, axis=1).astype(np.float64))), part.column("toxic")], ["x", "toxic"])
-
-    seen = sample.where(F.col("fit")).select("text", "toxic").mapInArrow(features, "x array<double>, toxic int").toArrow()
-    y = seen.column("toxic").to_numpy()
-    each = np.array(seen.column("x").to_pylist()).reshape(len(y), len(DISCOUNTS), 3)
+            for part in row_slices(batch, "text", SLICE):
+                each = np.concatenate([sent.value.features(part.column("text"), d) for d in DISCOUNTS], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(list(each)), part.column("toxic")], ["x", "toxic"])
+
+    found = unseen.select("text", "toxic").mapInArrow(tidy(features), "x array<double>, toxic int").toArrow()
+    sent.destroy()
+    y = found.column("toxic").to_numpy()
+    each = np.array(found.column("x").to_pylist()).reshape(len(y), len(DISCOUNTS), -1)
     have = {c: max(int((y == c).sum()), 1) for c in (0, 1)}
     weight = np.where(y == 1, n[1] / have[1], n[0] / have[0]) * len(y) / (n[0] + n[1])
-    best, chosen = np.inf, DISCOUNTS[0]
-    for k, discount in enumerate(DISCOUNTS):
-        x = _features(*each[:, k].T)
-        fit = _fitted(x, y, weight)
-        p = np.clip(_logistic(x @ fit), 1e-9, 1 - 1e-9)
-        loss = -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum()
-        if loss < best:
-            best, chosen, model.fit = loss, discount, fit
-    model.discounted(chosen)
+    losses, fits = [], []
+    for k in range(len(DISCOUNTS)):
+        fits.append(_fitted(each[:, k], y, weight))
+        p = np.clip(_logistic(each[:, k] @ fits[k]), 1e-9, 1 - 1e-9)
+        losses.append(-(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum())
+    best = int(np.argmin(losses))
+    model.chosen(DISCOUNTS[best], fits[best])
     return model
 
 
-def _packed(model: Model) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **vars(model))
-    return out.getvalue()
-
-
-def _unpacked(data: bytes) -> Model:
-    own = object.__new__(Model)
-    own.__dict__.update({k: v for k, v in np.load(io.BytesIO(data)).items()})
-    return own
-
-
 def toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns with score and predicted beside; one pass over the texts, no shuffle."""
-    taken = [c for c in docs.columns if c not in ("score", "predicted")]
+    taken = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
     if model is None:
         return docs.select(*taken, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    sent = docs.sparkSession.sparkContext.broadcast(_packed(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def scored(batches):
-        own = _unpacked(sent.value)
         for batch in batches:
-            for part in row_slices(batch, "text"):
-                score = own.scores(part.column("text"))
+            for part in row_slices(batch, "text", SLICE):
+                score = sent.value.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema)
-    return docs.select(*taken).mapInArrow(scored, f"{kinds}, score double, predicted int")
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema)
+    return docs.select(*taken).mapInArrow(tidy(scored), f"{kinds}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns and whatever these are called, that are not predicted toxic."""
+    columns = [F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    found = toxicity(docs.select("text", F.struct(*columns).alias("row")), model, threshold)
+    return found.where("predicted = 0").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
