@@ -7,7 +7,11 @@ these the slice scores its documents. So every n-gram moves once for each slice
 task holds more than a slice or a hash partition.
 
 A document is scored by what the others say: its own counts are taken off. For word w after v with counts c:
-S = c(vw) / c(v) if c(vw) > 0, else BACKOFF * c(w) / N if c(w) > 0, else BACKOFF * BACKOFF / N; the score is the mean natural logarithm.
+S = c(vw) / c(v) if c(vw) > 0, else BACKOFF * c(w) / N if c(w) > 0, else BACKOFF * BACKOFF / N; the score is the mean natural logarithm. A text's first word
+follows an opening mark, whose count is the number of texts with words.
+
+The tables are exchanged as sorted arrays for each pair of slice and hash partition, not as a row for each n-gram: with a row for
+each (n-gram, document) the exchange alone exceeds four times the input's disk (figures in the README), and so do trigrams in this form.
 
 Words are lower-cased runs without white space. Null and empty texts have no words and a null score; in a corpus of one document every
 word is unseen. Null ids and repeated rows are scored like others, each as one of its copies; extra columns are ignored. An
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import mix, table, text_of, word_hashes, written
+from proofline.llm.shared import mix, table, text_of, tidy, word_hashes, written
 
 NAME = "op5_lm_score"
 ORACLE_SQL = None
@@ -127,20 +131,20 @@ def _totals(part: pa.Table) -> pa.Table:
     return pa.table({"slice": part.column("slice"), "part": part.column("part"), "totals": pa.array(back, pa.binary())})
 
 
-def mean_logs(offsets: np.ndarray, one: np.ndarray, two: np.ndarray, totals: np.ndarray, words: int) -> np.ndarray:
-    """Mean log score of each text; totals: counts of distinct(one, two) in the whole corpus of so many words."""
+def mean_logs(offsets: np.ndarray, one: np.ndarray, two: np.ndarray, totals: np.ndarray, words: int, texts: int) -> np.ndarray:
+    """Mean log score of each text; totals: counts of distinct(one, two) in the whole corpus of so many words and texts with words."""
     n = np.diff(offsets)
     text = np.repeat(np.arange(len(n)), n)
     _, index, _ = distinct(one, two)
     w, pair = index[: len(one)], index[len(one) :]
     own = lambda x: _within(text, x)
     c_w, c_pair = totals[w] - own(w), totals[pair] - own(pair)
-    # The context's count: that of the word before; of the opening, the number of texts' openings is not needed, as it stands for the corpus's.
+    # The context's count: that of the word before; at a text's start, the other texts.
     first = np.zeros(len(one), bool)
     first[offsets[:-1][n > 0]] = True
     c_before = np.concatenate([[0], c_w[:-1]])
     rest = (words - n[text]).astype(np.float64)
-    c_before = np.where(first, rest, c_before)
+    c_before = np.where(first, texts - 1, c_before)
     with np.errstate(divide="ignore", invalid="ignore"):
         logs = np.where(c_pair > 0, np.log(c_pair) - np.log(np.maximum(c_before, 1)), np.where(c_w > 0, np.log(BACKOFF) + np.log(np.maximum(c_w, 1)) - np.log(np.maximum(rest, 1)), 2 * np.log(BACKOFF) - np.log(np.maximum(rest, 1))))
     return np.where(n > 0, np.bincount(text, logs, len(n)) / np.maximum(n, 1), np.nan)
@@ -152,13 +156,13 @@ def _within(text: np.ndarray, x: np.ndarray) -> np.ndarray:
     return counts[back]
 
 
-def _scored(words: int):
+def _scored(words: int, texts: int):
     def per_slice(docs: pa.Table, totals: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         offsets, one, two = grams(_texts(docs.column("z")))
         ordered = totals.sort_by("part").column("totals").to_pylist()
-        scores = mean_logs(offsets, one, two, np.concatenate([np.zeros(0, np.int64), *map(_large, ordered)]), words)
+        scores = mean_logs(offsets, one, two, np.concatenate([np.zeros(0, np.int64), *map(_large, ordered)]), words, texts)
         return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(np.diff(offsets)), "score": pa.array(scores, pa.float64(), from_pandas=True)})
 
     return per_slice
@@ -167,7 +171,7 @@ def _scored(words: int):
 def _words_in(batches):
     for batch in batches:
         offsets, _ = word_hashes(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([int(offsets[-1])])], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(offsets[-1])]), pa.array([int((np.diff(offsets) > 0).sum())])], ["n", "texts"])
 
 
 def lm_score(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
@@ -177,11 +181,12 @@ def lm_score(docs: DataFrame, slice_bytes: int = SLICE) -> DataFrame:
     slices = max(1, -(-size // slice_bytes))
     # Distinct n-grams of a hash partition are about as many as a slice's, so there are as many partitions as slices.
     dealt = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(slices)).alias("slice"))
-    dealt = dealt.mapInArrow(_squeezed, "doc_id long, z binary, slice long")
-    words = docs.select(text.alias("text")).mapInArrow(_words_in, "n long").agg(F.sum("n")).first()[0] or 0
+    dealt = dealt.mapInArrow(tidy(_squeezed), "doc_id long, z binary, slice long")
+    said = docs.select(text.alias("text")).mapInArrow(tidy(_words_in), "n long, texts long").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).first()
+    words, texts = said["n"] or 0, said["texts"] or 0
     sent = dealt.groupBy("slice").applyInArrow(_sent(slices), "slice long, part long, grams binary, counts binary")
     back = written(sent.groupBy("part").applyInArrow(_totals, "slice long, part long, totals binary"), "totals", compression="zstd")
-    return dealt.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_scored(words), "doc_id long, n_words long, score double")
+    return dealt.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(_scored(words, texts), "doc_id long, n_words long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
