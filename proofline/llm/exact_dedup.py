@@ -33,15 +33,17 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", content_hash=content_has
     slim = docs.select("doc_id", content_hash(text).alias("_h"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
     full = docs.select("doc_id", content_hash(text).alias("_h"), text.alias("_t"))
     groups = slim.groupBy("_h").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    several = checked(written(groups.where("group_size > 1").select("_h"), "several"))
-    differ = full.join(several, "_h", "left_semi").groupBy("_h").agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
+    several = checked(written(groups.where("group_size > 1"), "several"))
+    differ = full.join(several.select("_h"), "_h", "left_semi").groupBy("_h").agg(F.min("_t").alias("a"), F.max("_t").alias("b"))
     differ = written(differ.where("a <> b").select("_h"), "collided")
+    # A text that occurs once needs no partner: only the groups of several are joined.
+    stays = lambda found: found.join(several, "_h", "left").withColumn("keep_id", F.coalesce("keep_id", "doc_id")).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     columns = ("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     if differ.isEmpty():
-        return slim.join(groups, "_h").select(*columns)
+        return stays(slim).select(*columns)
     apart = full.join(differ, "_h", "left_semi")
     per_text = apart.groupBy("_t").agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    clean = slim.join(differ, "_h", "left_anti").join(groups, "_h")
+    clean = stays(slim.join(differ, "_h", "left_anti"))
     split = apart.join(per_text, "_t").withColumn("text_sha256", F.sha2(F.col("_t").cast("binary"), 256))
     return clean.select(*columns).unionByName(split.select(*columns))
 
