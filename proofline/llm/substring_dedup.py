@@ -8,9 +8,9 @@ documents; aligned intervals of one pair of documents are joined, and where at l
 passages' shingles are compared: kept are passages of at least WORDS words with a Jaccard similarity >= THRESHOLD.
 
 Groups are reduced to their first and last document before the shuffle, so a passage in a third of all documents costs one
-row for each. Windows that no verified passage of their document covers then are aligned with other documents of their group, random
-ones for ROUNDS rounds; what is left is compared with all earlier documents of the group, in blocks inside tasks, where a
-pair is a candidate if windows of AGREE hash functions agree around the places. An exact repeat of WORDS words has all hash functions agree; one of similarity 0.8 is a candidate with
+row for each, and these two meet every other document. Windows that no verified passage of their document covers then are compared with all other
+earlier documents of their group, in blocks inside tasks, if another hash function's shared key stands near but not within the same few words: the shingles
+around the places are verified there, and a task emits passages, never pairs. An exact repeat of WORDS words has all hash functions agree; one of similarity 0.8 is a candidate with
 probability 0.97, one of 0.9 with 0.996.
 
 A repeat within one document doesn't count. Null, empty and shorter texts have no passages. Rows without an id are left out;
@@ -26,15 +26,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofline.llm.shared import checked, list_parts, mix, one_text_per_id, row_slices, shingle_hashes, strings, table, word_hashes, written
+from proofline.llm.shared import checked, dropped, list_parts, mix, one_text_per_id, row_slices, shingle_hashes, strings, table, tidy, unused, word_hashes, written
 
 NAME = "op1_substring_dedup"
 ORACLE_SQL = None
 
 SHINGLE, WORDS, THRESHOLD = 5, 50, 0.8
 HASHES, AGREE = 4, 2
-#: Rounds with random anchors, and windows in a block of what is left.
-ROUNDS, BLOCK = 2, 512
+WIDTH = WORDS - SHINGLE + 1
+#: Bytes of text taken at once.
+SLICE = 2_000_000
+#: What is left over is compared by NEAR shingles on either side of a place, places in a region of REGION shingles at most together,
+#: in blocks of about BLOCK regions; keys with fewer share groups of about GROUP.
+NEAR, REGION, BLOCK, GROUP = 60, 1024, 256, 1000
+#: A place counts if another hash function's key stands further off than this and within NEAR: AGREE keys, not all from one short line.
+APART = 8
+#: Entries of the matrices by which shared places are counted.
+CELLS = 8_000_000
+#: By how much a span's share of shared places may exceed that of the best WIDTH places in a row.
+SLACK = 0.06
+PASSAGES = {"doc_id": "long", "start": "long", "words": "long", "kept_id": "long", "kept_start": "long", "kept_words": "long", "similarity": "double"}
 WINDOWS = "key long, doc_id long, f int, l int, c int, r int"
 
 
@@ -81,16 +92,15 @@ def compact_windows(offsets: np.ndarray, values: np.ndarray, width: int) -> tupl
 
 
 def _windows(source):
-    width = WORDS - SHINGLE + 1
     rng = np.random.default_rng(20210618)
     factors = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in source:
-        for part in row_slices(batch, "text", 4_000_000):
+        for part in row_slices(batch, "text", SLICE):
             offsets, shingles = shingle_hashes(*word_hashes(part.column("text")), SHINGLE)
             ids = part.column("doc_id").to_numpy()
             text = np.repeat(np.arange(len(ids)), np.diff(offsets))
             for f in range(HASHES):
-                l, c, r = compact_windows(offsets, mix(shingles, f) * factors[f], width)  # noqa: E741
+                l, c, r = compact_windows(offsets, mix(shingles, f) * factors[f], WIDTH)  # noqa: E741
                 base = offsets[text[c]]
                 columns = [mix(shingles[c], 100 + f).view(np.int64), ids[text[c]], np.full(len(c), f, np.int32), *((x - base).astype(np.int32) for x in (l, c, r))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc_id", "f", "l", "c", "r"])
@@ -98,7 +108,7 @@ def _windows(source):
 
 def _shingles(source):
     for batch in source:
-        for part in row_slices(batch, "text"):
+        for part in row_slices(batch, "text", SLICE):
             offsets, shingles = shingle_hashes(*word_hashes(part.column("text")), SHINGLE)
             data = (shingles >> np.uint64(32)).astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([data[4 * a : 4 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "shingles"])
@@ -109,7 +119,7 @@ def _aligned(members: DataFrame, anchors: DataFrame) -> DataFrame:
     met = members.select("key", F.col("doc_id").alias("a"), "f", "l", "c", "r").join(anchors, "key").where("a <> b")
     before, after = F.least(F.col("c") - F.col("l"), F.col("bc") - F.col("bl")), F.least(F.col("r") - F.col("c"), F.col("br") - F.col("bc"))
     aligned = met.select("a", "b", "f", (F.col("c") - before).alias("a_from"), (F.col("c") + after).alias("a_to"), (F.col("bc") - before).alias("b_from"), (F.col("bc") + after).alias("b_to"))
-    return aligned.where(F.col("a_to") - F.col("a_from") + 1 >= WORDS - SHINGLE + 1)
+    return aligned.where(F.col("a_to") - F.col("a_from") + 1 >= WIDTH)
 
 
 def _islands(aligned: DataFrame, agree: int) -> DataFrame:
@@ -129,10 +139,12 @@ def _widest(members: DataFrame) -> DataFrame:
 
 def shared_windows(docs: DataFrame) -> DataFrame:
     """Windows (key, doc_id, f, l, c, r) whose key several documents have, with the first and last of these (lo, hi)."""
-    windows = docs.mapInArrow(_windows, WINDOWS)
-    ends = windows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    every = written(docs.mapInArrow(tidy(_windows), WINDOWS), "all_windows")
+    ends = every.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     ends = written(ends, "ends")
-    return written(windows.join(ends, "key"), "windows")
+    shared = written(every.join(ends, "key"), "windows")
+    dropped(every, ends)
+    return shared
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -140,118 +152,249 @@ def candidates(members: DataFrame) -> DataFrame:
     return _islands(_aligned(members, _widest(members.where("doc_id = lo OR doc_id = hi"))), AGREE)
 
 
-def _uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
-    """Windows whose place lies in none of the passages found in their document as the later one."""
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(F.col("start").alias("s"), (F.col("start") + F.col("words")).alias("e"))).alias("_spans"))
-    joined = windows.join(spans, windows["doc_id"] == spans["_id"], "left")
-    covered = F.exists("_spans", lambda p: (p["s"] <= F.col("c")) & (F.col("c") + SHINGLE <= p["e"]))
-    return joined.where(~F.coalesce(covered, F.lit(False))).drop("_id", "_spans")
+def _marked(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """key, doc_id, f, c of windows (with their group's least document) and rest: whether the place lies in none of the passages
+    found in its document as the later one, and an earlier document of the group is left to meet."""
+    places = windows.select("doc_id", F.col("c").alias("at"), F.lit(1).alias("kind"), "key", "f", "least", F.lit(0).cast("long").alias("end"))
+    none = lambda kind: F.lit(0).cast(kind)
+    spans = found.select("doc_id", F.col("start").cast("int").alias("at"), F.lit(0).alias("kind"), none("long").alias("key"), none("int").alias("f"), none("long").alias("least"), (F.col("start") + F.col("words")).alias("end"))
+    before = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    reached = places.unionByName(spans).withColumn("end", F.max("end").over(before)).where("kind = 1")
+    return reached.select("key", "doc_id", "f", F.col("at").alias("c"), ((F.col("at") + SHINGLE > F.col("end")) & (F.col("doc_id") > F.col("least"))).alias("rest"))
+
+
+def _with_second_key(doc: np.ndarray, c: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Which places of documents have a place of another hash function from APART to NEAR shingles off."""
+    width = int(c.max(initial=0)) + 2 * NEAR + 2
+    at = doc.astype(np.int64) * width + c + NEAR
+    by_hash = [np.sort(at[f == k]) for k in range(HASHES)]
+    every = np.sort(at)
+    within = lambda x, low, high: np.searchsorted(x, at + high, side="right") - np.searchsorted(x, at + low)
+    out = np.zeros(len(at), bool)
+    for low, high in ((-NEAR, -APART - 1), (APART + 1, NEAR)):
+        own = np.zeros(len(at), np.int64)
+        for k in range(HASHES):
+            mine = f == k
+            own[mine] = within(by_hash[k], low, high)[mine]
+        out |= within(every, low, high) > own
+    return out
+
+
+def _regions(source):
+    """The shingles around each key's places in a document; places near each other share a region. rest: places not covered, from the region's start."""
+    names = ["key", "doc_id", "at", "rest", "shingles"]
+    for batch in source:
+        for part in row_slices(batch, "text", SLICE):
+            offsets, shingles = shingle_hashes(*word_hashes(part.column("text")), SHINGLE)
+            short, ids = (shingles >> np.uint64(32)).astype("<u4"), part.column("doc_id").to_numpy()
+            ends, flat = list_parts(part.column("places"))
+            key, c, rest, f = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            doc = np.repeat(np.arange(len(ids)), np.diff(ends))
+            keep = _with_second_key(doc, c.astype(np.int64), f)
+            key, c, rest, doc = key[keep], c[keep].astype(np.int64), rest[keep], doc[keep]
+            if not len(c):
+                continue
+            order = np.lexsort((c, key, doc))
+            key, c, rest, doc = key[order], c[order], rest[order], doc[order]
+            new = np.ones(len(c), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (np.diff(c) > 2 * NEAR) | (np.diff(c // REGION) != 0)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(c))
+            start = np.maximum(c[first] - NEAR, 0)
+            stop = np.minimum(c[last - 1] + NEAR + 1, np.diff(offsets)[doc[first]])
+            base = offsets[doc[first]]
+            data = [short[x:y].tobytes() for x, y in zip(base + start, base + stop, strict=True)]
+            left = [(c[x:y][rest[x:y]] - s).astype("<i4").tobytes() for x, y, s in zip(first, last, start, strict=True)]
+            columns = [pa.array(key[first]), pa.array(ids[doc[first]]), pa.array(start), pa.array(left, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _near_enough(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far some span of WIDTH or more shared (x: of a region; y: of others' regions, row by row) exceeds what THRESHOLD asks for; below 0 no span can be similar enough.
+
+    With shares p and q of shared places in two spans, their similarity is 1 / (1/p + 1/q - 1) at most. q is at most
+    the best of the other region's WIDTH places in a row, but for a span's ends.
+    """
+    best = np.zeros(len(y), np.float32)
+    if y.shape[1] >= WIDTH:
+        sums = np.zeros((len(y), y.shape[1] + 1), np.float32)
+        np.cumsum(y, axis=1, out=sums[:, 1:])
+        best = np.minimum((sums[:, WIDTH:] - sums[:, :-WIDTH]).max(axis=1) / WIDTH + SLACK, 1)
+    asked = 1 / np.maximum(1 + 1 / THRESHOLD - 1 / np.maximum(best, 0.1), 1e-3)
+    sums = np.zeros((len(x), x.shape[1] + 1), np.float32)
+    np.cumsum(x - asked[:, None].astype(np.float32), axis=1, out=sums[:, 1:])
+    return (sums[:, WIDTH:] - np.minimum.accumulate(sums, axis=1)[:, :-WIDTH]).max(axis=1)
+
+
+def _met(docs: np.ndarray, sides: np.ndarray, rest: list[np.ndarray], shingles: list[np.ndarray]):
+    """(row, other row, passages) of verified passages between regions of one key: each region with places left meets
+    earlier documents' regions, on the other side if there are two, the most alike first, until its places are covered."""
+    n = len(docs)
+    size = np.array([len(x) for x in shingles])
+    values, codes = np.unique(np.concatenate(shingles), return_inverse=True)
+    row, place = np.repeat(np.arange(n), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    # Only shingles of several regions count; column 0 stands for the others.
+    once = np.unique(row.astype(np.int64) * len(values) + codes) % max(len(values), 1)
+    several = np.bincount(once, minlength=len(values)) > 1
+    codes = np.where(several[codes], np.cumsum(several)[codes], 0)
+    padded = np.zeros((n, int(size.max(initial=0))), np.int64)
+    padded[row, place] = codes
+    there = np.zeros((n, int(several.sum()) + 1), bool)
+    there[row, codes] = True
+    there[:, 0] = False
+    both = sides.min() < sides.max()
+    open_ = np.flatnonzero([len(r) > 0 for r in rest] & (size >= WIDTH))
+    if not len(open_):
+        return
+    # Places of each open region that are shared with each other region; a passage has THRESHOLD of WIDTH at least.
+    number = np.full(n, -1)
+    number[open_] = np.arange(len(open_))
+    enough, step = np.zeros((len(open_), n), np.float32), max(CELLS // n, 1)
+    for at in range(1, there.shape[1], step):
+        here = (number[row] >= 0) & (codes >= at) & (codes < at + step)
+        places = np.zeros((len(open_), min(step, there.shape[1] - at)), np.float32)
+        np.add.at(places, (number[row][here], codes[here] - at), 1)
+        enough += places @ there[:, at : at + step].T.astype(np.float32)
+    enough = enough >= int(THRESHOLD * WIDTH)
+    for a in open_.tolist():
+        others = np.flatnonzero(enough[number[a]] & (docs < docs[a]) & (size >= WIDTH) & (sides != sides[a] if both else True))
+        if not len(others):
+            continue
+        left = rest[a]
+        alike = _near_enough(there[others[:, None], padded[a, : size[a]][None, :]], there[a][padded[others]])
+        for k in np.lexsort((docs[others], -alike)):
+            if alike[k] < -0.01 or not len(left):
+                break
+            found = passages(shingles[a], shingles[others[k]], WIDTH, THRESHOLD)
+            if found:
+                yield a, others[k], found
+                for x, y, *_ in found:
+                    left = left[(left < x) | (left >= y)]
 
 
 def _blocks_met(rows):
-    """Aligned intervals of the windows left (rest) with those of earlier documents, of two blocks of one key, where windows of another hash function agree too."""
-    column = {n: rows.column(n).to_numpy() for n in ("doc_id", "f", "l", "c", "r", "block", "i", "j")}
-    rest = np.array(rows.column("rest").to_pylist(), bool)
-    mine = np.flatnonzero(rest & (column["block"] == column["i"]))
-    all_ = np.flatnonzero(column["block"] == column["j"])
-    side = lambda n: (column[n][mine][:, None].astype(np.int64), column[n][all_][None, :].astype(np.int64))
-    (a, b), (al, bl), (ac, bc), (ar, br) = side("doc_id"), side("l"), side("c"), side("r")
-    before, after = np.minimum(ac - al, bc - bl), np.minimum(ar - ac, br - bc)
-    met = (a > b) & (before + after + 1 >= WORDS - SHINGLE + 1)
-    if met.any():
-        # Keys of other hash functions whose windows overlap: one in common makes AGREE.
-        lists = rows.column("others").combine_chunks() if isinstance(rows.column("others"), pa.ChunkedArray) else rows.column("others")
-        offsets, flat = list_parts(lists)
-        codes = np.unique(flat.to_numpy(), return_inverse=True)[1]
-        where = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        dense = np.zeros((rows.num_rows, int(codes.max(initial=-1)) + 1), np.float32)
-        dense[where, codes] = 1
-        met &= dense[mine] @ dense[all_].T >= AGREE - 1
-    x, y = np.nonzero(met)
-    out = {"a": a[x, 0], "b": b[0, y], "f": np.repeat(column["f"][:1], len(x)).astype(np.int32)}
-    for n, v in (("a_from", ac[x, 0] - before[x, y]), ("a_to", ac[x, 0] + after[x, y]), ("b_from", bc[0, y] - before[x, y]), ("b_to", bc[0, y] + after[x, y])):
-        out[n] = v.astype(np.int32)
-    return pa.table(out)
-
-
-def _left_over(members: DataFrame, rest: DataFrame) -> DataFrame:
-    """Candidates of the windows left over and all windows of earlier documents with their keys."""
-    keys = checked(written(rest.select("key").distinct(), "keys"))
-    marked = members.join(keys, "key", "left_semi").join(rest.select("key", "doc_id", "c", F.lit(True).alias("rest")), ["key", "doc_id", "c"], "left")
-    marked = written(marked.select("key", "doc_id", "f", "l", "c", "r", F.coalesce("rest", F.lit(False)).alias("rest")), "groups")
-    around = members.select("doc_id", F.col("key").alias("k"), F.col("f").alias("g"), F.col("l").alias("gl"), F.col("r").alias("gr"))
-    near = marked.join(around, "doc_id").where("f <> g AND gl <= r AND l <= gr")
-    others = near.groupBy("key", "doc_id", "f", "l", "c", "r", "rest").agg(F.collect_set("k").alias("others"))
-    about = written(marked.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    placed = others.join(checked(about), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    both = F.array_distinct(F.concat(F.when(F.col("rest"), F.transform(every, lambda k: pair(F.col("block"), k))).otherwise(F.array().cast("array<struct<i:int,j:int>>")), F.transform(every, lambda k: pair(k, F.col("block")))))
-    each = placed.withColumn("p", F.explode(both)).select("key", "p.i", "p.j", "doc_id", "f", "l", "c", "r", "rest", "block", "others")
-    aligned = each.groupBy("key", "i", "j").applyInArrow(_blocks_met, "a long, b long, f int, a_from int, a_to int, b_from int, b_to int")
-    return _islands(aligned, 1)
+    """Verified passages (see `_met`) of the keys of one group, or of two blocks of one key."""
+    key, doc, at, block = (rows.column(n).to_numpy() for n in ("key", "doc_id", "at", "block"))
+    rest = [np.frombuffer(x, "<i4") for x in rows.column("rest").to_pylist()]
+    shingles = [np.frombuffer(x, "<u4") for x in rows.column("shingles").to_pylist()]
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1, append=key[order[-1]] - 1)) if len(key) > 1 else np.array([0, len(key)])
+    out: list[tuple] = []
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        here = order[x:y]
+        for a, b, found in _met(doc[here], block[here], [rest[k] for k in here], [shingles[k] for k in here]):
+            a, b = here[a], here[b]
+            out += [(doc[a], at[a] + f, t - f + SHINGLE - 1, doc[b], at[b] + c, d - c + SHINGLE - 1, s) for f, t, c, d, s in found]
+    columns = list(zip(*out, strict=True)) or [()] * len(PASSAGES)
+    return pa.table({n: pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for n, c in zip(PASSAGES, columns, strict=True)})
+
+
+def _left_over(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """Verified passages between the windows left over (rest) and those of all earlier documents with their keys."""
+    keys = written(marked.where("rest").select("key").distinct(), "keys")
+    places = marked.join(checked(keys), "key", "left_semi").select("key", "doc_id", F.struct("key", "c", "rest", "f").alias("p"))
+    places = written(places, "places")
+    per_doc = places.groupBy("doc_id").agg(F.collect_list("p").alias("places"))
+    regions = texts.join(per_doc, "doc_id").mapInArrow(tidy(_regions), "key long, doc_id long, at long, rest binary, shingles binary")
+    about = places.groupBy("key").agg(F.count_distinct("doc_id", F.floor(F.col("p.c") / (2 * NEAR))).alias("n"))
+    large = written(about.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large")
+    groups = max(1, (about.agg(F.sum("n")).first()[0] or 0) // GROUP)
+    placed = regions.join(checked(large), "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("doc_id", "at"), F.col("blocks")), F.lit(0)).cast("int"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    each = placed.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    each = each.withColumn("group", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key")))
+    each = each.withColumn("several", F.col("blocks").isNull())
+    grouped = each.select("several", "group", "i", "j", "key", "doc_id", "at", "rest", "shingles", "block").groupBy("several", "group", "i", "j")
+    found = written(grouped.applyInArrow(_blocks_met, ", ".join(f"{n} {t}" for n, t in PASSAGES.items())), "passages")
+    dropped(keys, places, large)
+    return found
+
+
+def _before(flags: np.ndarray) -> np.ndarray:
+    """How many flags stand before each place, and in all."""
+    out = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
+#: Pairs of runs that are looked at together.
+RUN_PAIRS = 250_000
 
 
 def passages(x: np.ndarray, y: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """Passages of x (from, to), their places in y (from, to) and similarity: all longest spans of runs of shared shingles that are
     similar enough as wholes, however wide the gaps between the runs are."""
-    keys, first = np.unique(y, return_index=True)
-    at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
-    shared = keys[at] == x if len(keys) else np.zeros(len(x), bool)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
-    runs = edges.reshape(-1, 2)
+    n, m = len(x), len(y)
+    values, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+    own, other = codes[:n], codes[n:]
+    first_x, first_y = np.full(len(values), -1), np.full(len(values), -1)
+    first_x[own[::-1]], first_y[other[::-1]] = np.arange(n)[::-1], np.arange(m)[::-1]
+    shared = first_y[own] >= 0
+    common = _before(shared)
+    if common[-1] < threshold * least * 0.9:
+        return []
+    edges = np.flatnonzero(np.diff(shared, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    lone = _before(~shared & (first_x[own] == np.arange(n)))
+    also = first_x[other] >= 0
+    only = _before(~also & (first_y[other] == np.arange(m)))
+    also = _before(also)
+    at = first_y[own]
+    lowest = np.minimum.reduceat(np.where(shared, at, m), starts)
+    highest = np.maximum.reduceat(at, starts) + 1
     out: list[tuple[int, int, int, int, float]] = []
 
-    only = np.zeros(len(y), bool)
-    only[first] = ~np.isin(keys, x)
-    also = np.concatenate([[0], np.cumsum(np.isin(y, keys[~only[first]]))])
-    only = np.concatenate([[0], np.cumsum(only)])
-    lone = np.zeros(len(x), bool)
-    lone[np.unique(x, return_index=True)[1]] = True
-    lone = np.concatenate([[0], np.cumsum(lone & ~shared)])
-    common = np.concatenate([[0], np.cumsum(shared)])
-
     def at_most(a, b, c, d):
         """What the similarity of two spans can be at most, from prefix counts: shared places and distinct ones of one side only."""
         both = np.minimum(common[b] - common[a], also[d] - also[c])
         return both / np.maximum(both + lone[b] - lone[a] + only[d] - only[c], 1)
 
+    def distinct(a: int, b: int, c: int, d: int) -> float:
+        if len(values) > 4 * (b - a + d - c):
+            one, two = np.unique(own[a:b]), np.unique(other[c:d])
+            either = len(np.unique(np.concatenate([one, two])))
+            return (len(one) + len(two) - either) / either
+        one, two = np.zeros(len(values), bool), np.zeros(len(values), bool)
+        one[own[a:b]], two[other[c:d]] = True, True
+        return np.count_nonzero(one & two) / np.count_nonzero(one | two)
+
     def judged(a: int, b: int):
-        places = first[at[a:b][shared[a:b]]]
+        places = at[a:b][shared[a:b]]
         # The middle of the places guards against shingles that y repeats elsewhere.
         c, d = int(places.min()), int(places.max()) + 1
         if d - c > 1.5 * (b - a) + 2 * SHINGLE:
             mid = int(np.median(places - np.flatnonzero(shared[a:b])))
-            c, d = max(mid, 0), min(mid + (b - a), len(y))
+            c, d = max(mid, 0), min(mid + (b - a), m)
         if d - c < least:  # few distinct shingles: they repeat further on in y, or it has no such passage
-            d = min(c + (b - a), len(y))
+            d = min(c + (b - a), m)
             c = max(d - (b - a), 0)
         if d - c < least or at_most(a, b, c, d) < threshold - 1e-9:
             return c, d, 0.0
-        own, other = np.unique(x[a:b]), np.unique(y[c:d])
-        all_ = len(own) + len(other)
-        shared_ = all_ - len(np.unique(np.concatenate([own, other])))
-        return c, d, shared_ / max(all_ - shared_, 1)
+        return c, d, distinct(a, b, c, d)
 
     # Only spans that can reach the threshold are judged, the longest first.
-    starts, ends = runs[:, 0], runs[:, 1]
-    spots = [first[at[a:b]] for a, b in runs.tolist()]
-    lowest, highest = np.array([p.min() for p in spots], np.int64), np.array([p.max() + 1 for p in spots], np.int64)
-    done = -1
-    for i in range(len(runs)):
-        a, b = starts[i], ends[i:]
+    done, step = -1, max(1, RUN_PAIRS // len(starts))
+    for top in range(0, len(starts), step):
+        rows = np.arange(top, min(top + step, len(starts)))
+        a, b = starts[rows][:, None], ends[None, top:]
         both, alone = common[b] - common[a], lone[b] - lone[a]
-        fit = (np.arange(i, len(runs)) > done) & (b - a >= least) & (both >= threshold * (both + alone) - 1e-9)
+        ahead = np.arange(top, len(starts))[None, :] >= rows[:, None]
+        fit = ahead & (b - a >= least) & (both >= threshold * (both + alone) - 1e-9)
         if not fit.any():
             continue
-        c, d = np.minimum.accumulate(lowest[i:]), np.maximum.accumulate(highest[i:])
+        c = np.minimum.accumulate(np.where(ahead, lowest[None, top:], m), axis=1)
+        d = np.maximum.accumulate(np.where(ahead, highest[None, top:], 0), axis=1)
+        c, d = np.minimum(c, d), d
         fit &= (d - c > 1.5 * (b - a) + 2 * SHINGLE) | (d - c < least) | (at_most(a, b, c, d) >= threshold - 1e-9)
-        for j in (i + np.flatnonzero(fit)[::-1]).tolist():
-            c, d, similar = judged(int(a), int(ends[j]))
-            if similar >= threshold:
-                out.append((int(a), int(ends[j]), c, d, similar))
-                done = j
-                break
+        for i in np.flatnonzero(fit.any(axis=1)).tolist():
+            for j in (top + np.flatnonzero(fit[i])[::-1]).tolist():
+                if j <= done:
+                    break
+                c, d, similar = judged(int(starts[top + i]), int(ends[j]))
+                if similar >= threshold:
+                    out.append((int(starts[top + i]), int(ends[j]), c, d, similar))
+                    done = j
+                    break
     return out
 
 
@@ -270,16 +413,18 @@ def _verified(source):
 def _compared(texts: DataFrame, found: DataFrame) -> DataFrame:
     """Verified passages of candidates (written)."""
     ids = written(found.select("a").union(found.select("b")).distinct().withColumnRenamed("a", "doc_id"), "involved")
-    sets = written(texts.join(checked(ids), "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles binary"), "shingles")
+    sets = written(texts.join(checked(ids), "doc_id", "left_semi").mapInArrow(tidy(_shingles), "doc_id long, shingles binary"), "shingles")
     cut = lambda s: F.expr(f"substring(shingles, 4 * {s}_from + 1, 4 * ({s}_to - {s}_from + 1))")
     both = found.join(sets, found["a"] == sets["doc_id"]).withColumn("x", cut("a")).drop("doc_id", "shingles")
     both = both.join(sets, both["b"] == sets["doc_id"]).withColumn("y", cut("b")).drop("doc_id", "shingles")
     kinds = "a long, a_start long, a_words long, b long, b_start long, b_words long, similarity double"
-    links = both.mapInArrow(_verified, kinds)
+    links = both.mapInArrow(tidy(_verified), kinds)
     later = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(later, F.col(x)).otherwise(F.col(y))
     out = [("doc_id", "a", "b"), ("start", "a_start", "b_start"), ("words", "a_words", "b_words"), ("kept_id", "b", "a"), ("kept_start", "b_start", "a_start"), ("kept_words", "b_words", "a_words")]
-    return written(links.select(*(pick(x, y).alias(n) for n, x, y in out), "similarity").distinct(), "passages")
+    made = written(links.select(*(pick(x, y).alias(n) for n, x, y in out), "similarity").distinct(), "passages")
+    dropped(ids, sets)
+    return made
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -287,65 +432,64 @@ def repeats(docs: DataFrame) -> DataFrame:
     Starts and lengths are in words."""
     texts = one_text_per_id(docs)
     members = shared_windows(texts)
-    every = _compared(texts, written(candidates(members), "islands"))
-    # With two documents all is compared; a group's first document has no earlier one.
-    several = members.groupBy("key").agg(F.count_distinct("doc_id").alias("n")).where("n > 2").select("key")
-    rest = written(_uncovered(members.where("doc_id <> lo").join(several, "key", "left_semi"), every), "rest")
-    for step in range(ROUNDS):
-        if rest.isEmpty():
-            return every
-        picked = members.join(rest.select("key").distinct(), "key", "left_semi")
-        picked = picked.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(step))).alias("doc_id"))
-        anchors = _widest(members.join(picked, ["key", "doc_id"]))
-        more = _compared(texts, written(_islands(_aligned(rest, anchors), AGREE), "islands"))
-        every = every.unionByName(more)
-        rest = written(_uncovered(rest, more), "rest")
-    if not rest.isEmpty():
-        every = every.unionByName(_compared(texts, written(_left_over(members, rest), "islands")))
+    met = written(candidates(members), "islands")
+    every = _compared(texts, met)
+    dropped(met)
+    # A group's first and last document have met all others; left to meet are those between them, the first of which has no earlier one.
+    between = members.where("doc_id <> lo AND doc_id <> hi").select("key", "doc_id", "f", "c")
+    several = written(between.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "several")
+    between = written(between.join(checked(several), "key"), "between")
+    dropped(members, several)
+    marked = written(_marked(between, every), "marked")
+    if not marked.where("rest").isEmpty():
+        every = every.unionByName(_left_over(texts, marked))
+    dropped(between, marked)
     return every.distinct()
 
 
-def _cut(source):
-    for batch in source:
-        texts, out = batch.column("text"), []
-        offsets, words = list_parts(pc.utf8_split_whitespace(strings(texts)))
-        for k, (text, spans) in enumerate(zip(texts.to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
-            if not spans:
-                out.append(text)
-                continue
-            at, borders = 0, []
-            for w in words.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist():
-                if w:
-                    at = text.index(w, at)
-                    borders.append((at, at + len(w)))
-                    at += len(w)
-            gone = np.zeros(len(borders), bool)
-            for s in spans:
-                gone[s["start"] : s["start"] + s["words"]] = True
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
-            parts, at = [], 0
-            for a, b in edges:
-                parts.append(text[at : borders[a][0]])
-                at = borders[b - 1][1]
-            out.append(("".join(parts) + text[at:]).strip())
-        keep = [i for i, n in enumerate(batch.schema.names) if n != "_spans"]
-        arrays = [pa.array(out, pa.string()) if batch.schema.names[i] == "text" else batch.column(i) for i in keep]
-        yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[i] for i in keep])
+def _cut(spans_name: str):
+    def batches(source):
+        for batch in source:
+            names = batch.schema.names
+            texts, out = batch.column("text"), []
+            offsets, words = list_parts(pc.utf8_split_whitespace(strings(texts)))
+            for k, (text, spans) in enumerate(zip(texts.to_pylist(), batch.column(spans_name).to_pylist(), strict=True)):
+                at, borders = 0, []
+                for w in words.slice(offsets[k], offsets[k + 1] - offsets[k]).to_pylist():
+                    if w:
+                        at = text.index(w, at)
+                        borders.append((at, at + len(w)))
+                        at += len(w)
+                gone = np.zeros(len(borders), bool)
+                for s in spans:
+                    gone[s["start"] : s["start"] + s["words"]] = True
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
+                parts, at = [], 0
+                for a, b in edges:
+                    parts.append(text[at : borders[a][0]])
+                    at = borders[b - 1][1]
+                out.append(("".join(parts) + text[at:]).strip())
+            keep = [n for n in names if n != spans_name]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in keep], keep)
+
+    return batches
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut from all but the earliest document that has it; documents of which nothing
-    is left go. Rows without an id stay as they are."""
+    is left go. Rows without an id stay as they are, and so do extra columns, whatever their names; n_chars is counted anew.
+    An empty table stays empty."""
     found = written(repeats(docs), "repeats")
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", "words")).alias("_spans"))
-    spans = written(spans, "spans")
-    joined = docs.join(checked(spans), docs["doc_id"] == spans["_id"], "left").drop("_id")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    whole = joined.where(F.col("_spans").isNull()).drop("_spans")
-    shorter = joined.where(F.col("_spans").isNotNull()).mapInArrow(_cut, kinds).where("text <> ''")
+    of, spans_name = unused(docs, "spans_of"), unused(docs, "spans")
+    spans = written(found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("start", "words")).alias(spans_name)), "spans")
+    dropped(found)
+    joined = docs.join(checked(spans), docs["doc_id"] == spans[of], "left").drop(of)
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    whole = joined.where(F.col(spans_name).isNull()).drop(spans_name)
+    shorter = joined.where(F.col(spans_name).isNotNull()).mapInArrow(tidy(_cut(spans_name)), kinds).where("text <> ''")
     if "n_chars" in docs.columns:
         shorter = shorter.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(shorter.select(*docs.columns))
+    return whole.unionAll(shorter)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
