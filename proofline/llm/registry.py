@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("substring_dedup", "token_order", "license_scan", "packing", "lm_score", "bpe", "ngram_join", "exact_dedup", "toxicity", "quality", "lexical_search")
+MODULES = ("substring_dedup", "token_order", "license_scan", "packing", "lm_score", "bpe", "ngram_join", "exact_dedup", "toxicity", "quality", "lexical_search", "hard_negatives", "language_id")
 
 
 def _modules():
