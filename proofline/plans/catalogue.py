@@ -12,7 +12,8 @@ from proofline.functions import numbers as N
 from proofline.functions import text as T
 from proofline.operators import layout, reconcile, rollup, rules
 from proofline.plans import report, synthetic
-from proofline.sources import images, registry
+from proofline.sources import images, manifest, registry
+from proofline.storage import place
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -293,6 +294,46 @@ def brand_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("label_id", "island").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines")).drop("island")
 
 
+# ---- the manifest ----
+
+#: A record (on %16 = 0 a blank line before it) for each part; some are short, long, blank, repeated, quoted over two lines, or lack values.
+_LISTING = """SELECT p_partkey AS k, CASE p_partkey % 16
+  WHEN 0 THEN concat(chr(10), 'file_', p_partkey, '.png,', p_name, ',Ale,5% ABV,1 L,Maker,')
+  WHEN 1 THEN concat('file_', p_partkey, '.png,', p_name, ',Ale')
+  WHEN 2 THEN concat('FILE_', p_partkey - 2, '.PNG,', p_name, ',Ale,5% ABV,1 L,Maker,France')
+  WHEN 3 THEN concat('file_', p_partkey, '.png,"', p_name, ' ""x"", y', chr(10), p_brand, '",Ale,5% ABV,1 L,Maker,')
+  WHEN 4 THEN concat('file_', p_partkey, '.png,', p_name, ',Ale,5% ABV, ,,Italy')
+  WHEN 5 THEN ' , ,,,,,'
+  WHEN 6 THEN concat('file_', p_partkey, '.png,', p_name, ' 5" tall,Ale,5% ABV,1 L,"Maker", ')
+  WHEN 7 THEN concat('file_', p_partkey, '.png,', p_name, ',Ale,5% ABV,1 L,Maker,,')
+  WHEN 8 THEN concat('file_', p_partkey, '.png,"', p_name, ',', p_brand, '",Ale,5% ABV,1 L,Maker,', chr(13))
+  ELSE concat('file_', p_partkey, '.png, ', p_name, ' ,Ale,5% ABV,1 L,Maker,Product of ', p_size) END AS said FROM part"""
+_LISTED_ROWS = f"""SELECT k, said, k % 16 AS c, 1 + sum(CASE k % 16 WHEN 0 THEN 2 ELSE 1 END) OVER (ORDER BY k) AS row FROM ({_LISTING})"""
+
+
+def _listing(spark: SparkSession, sf_dir: str, where: str) -> str:
+    """The listing as text files in the shared folder, its header on the first; their path."""
+    synthetic.view(spark, sf_dir, "part")
+    said = spark.sql(f"SELECT k, said FROM ({_LISTING}) WHERE {where} UNION ALL SELECT NULL, '{','.join(K.MANIFEST_COLUMNS)}'")
+    said.orderBy(F.asc_nulls_first("k")).select("said").write.text(path := place(spark, "manifest"))
+    return path
+
+
+@_query(f"""SELECT CAST(row AS BIGINT) AS row, concat('Row ', CAST(row AS BIGINT), CASE c WHEN 2 THEN concat(' repeats filename ''FILE_', k - 2, '.PNG''. Filenames must be unique even when letter case differs.')
+  WHEN 4 THEN ' is missing required values: net_contents, bottler.' ELSE ' must contain 7 values.' END) AS problem FROM ({_LISTED_ROWS}) WHERE c IN (1, 4, 7) OR c = 2 AND k - 2 IN (SELECT p_partkey FROM part)""")
+def manifest_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that a rule forbids, by its true number."""
+    return manifest.scan(spark, _listing(spark, sf_dir, "true"))
+
+
+@_query(f"""SELECT concat('file_', k, '.png') AS filename, CASE c WHEN 3 THEN concat(p_name, ' "x", y', chr(10), p_brand) WHEN 6 THEN concat(p_name, ' 5" tall') WHEN 8 THEN concat(p_name, ',', p_brand) ELSE p_name END AS brand_name,
+  CASE WHEN c > 8 THEN concat('Product of ', p_size) END AS origin_country, CAST(sum(CASE c WHEN 0 THEN 2 ELSE 1 END) OVER (ORDER BY k) - 1 AS BIGINT) AS "order"
+FROM (SELECT p_partkey AS k, p_partkey % 16 AS c, * FROM part WHERE p_partkey % 16 NOT IN (1, 2, 4, 7)) QUALIFY c <> 5""")
+def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a manifest without forbidden records, in their order."""
+    return manifest.read(spark, _listing(spark, sf_dir, "k % 16 NOT IN (1, 2, 4, 7)")).select("filename", "brand_name", "origin_country", "order")
+
+
 # ---- sources and layout ----
 
 

@@ -20,7 +20,7 @@ def test_manifest(spark, tmp_path):
     ship(spark)
     text = f"\ufeff{HEAD}\r\n{ROW}\r\n,,,,,,\r\n\r\nb.png,x,\"y, \"\"q\"\"\nz\",z,w, v ,France\r\n"
     rows = manifest.read(spark, stored(tmp_path, text)).orderBy("order").collect()
-    assert [(r["filename"], r["class_type"], r["bottler"], r["origin_country"], r["order"]) for r in rows] == [("a.png", "Bourbon", "Old Tom Co", None, 0), ("b.png", 'y, "q"\nz', "v", "France", 2)]
+    assert [(r["filename"], r["class_type"], r["bottler"], r["origin_country"], r["order"]) for r in rows] == [("a.png", "Bourbon", "Old Tom Co", None, 0), ("b.png", 'y, "q"\nz', "v", "France", 3)]  # a line with nothing on it is a record, too
     assert manifest.read(spark, stored(tmp_path, f"{HEAD}\n{ROW.replace('Old Tom,', 'Café,')}".encode("cp1252"))).first()["brand_name"] == "Café"
     assert manifest.read(spark, stored(tmp_path, f" {HEAD.upper()} \n{ROW}")).first()["filename"] == "a.png"
     odd = stored(tmp_path, f"{HEAD}\n{ROW.replace('a.png', chr(39) + 'b.png')}")
