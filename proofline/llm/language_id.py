@@ -12,7 +12,7 @@ language's by expectation. The largest such share decides, and is the score (0 t
 The filter is fitted on at most about ROWS documents of each language, sampled by a hash of the id; the array's size is bounded by SLOTS and
 grows with the n-grams found. Its documents must have an id that learning may use (`learnable`), a text and a language.
 
-Null texts and ones without a letter are `und` with score 0, and so is every text if there is nothing to learn from. A text without any known n-gram gets
+Null texts and ones without a letter are `und` with score 0, and so is every text if there is nothing to learn from. A text without any known n-gram (by the filters) gets
 the most frequent language with score 0. Null ids and repeated rows are answered like others but never learnt from (null) or learnt from each time.
 Extra columns are kept; ones named lang_pred or score are replaced. An empty table gives an empty result.
 """
