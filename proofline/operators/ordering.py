@@ -30,8 +30,8 @@ def numbered(df: DataFrame, *order: str, name: str = "number", start: int = 0) -
     return fixed.join(F.broadcast(totals), "_part").withColumn(name, F.col("_first") + place).drop("_part", "_id", "_first")
 
 
-def at_ranks(counted: DataFrame, keys: tuple[str, ...], value: str, weight: str, ranks: DataFrame, rank: str) -> DataFrame:
-    """ranks (keys, `rank`) with the value that stands there: the least one at which the running weight exceeds the rank.
+def reached(counted: DataFrame, keys: tuple[str, ...], value: str, weight: str, targets: DataFrame, target: str) -> DataFrame:
+    """targets (keys, `target`, above 0) with the least value at which the running weight reaches the target.
 
     counted: keys, value, weight, one row for each distinct value of a group, so that no row is too heavy to lie in one partition.
     """
@@ -39,13 +39,15 @@ def at_ranks(counted: DataFrame, keys: tuple[str, ...], value: str, weight: str,
     fixed = written(spread, "counted")
     totals = fixed.groupBy(*keys, "_part").agg(F.sum(weight).alias("_total"))
     totals = totals.withColumn("_first", _before("_total", *keys))
-    # The one partition of each rank; the others' rows are not read into any window.
-    where = ranks.join(totals, list(keys)).where((F.col("_first") <= F.col(rank)) & (F.col(rank) < F.col("_first") + F.col("_total")))
+    inside = lambda low, high: (low < F.col(target)) & (F.col(target) <= high)
+    # The one partition of each target; the others' rows are not read into any window.
+    pairs = targets.join(totals, list(keys)) if keys else targets.crossJoin(totals)  # without keys: a few targets, a row for each partition
+    where = pairs.where(inside(F.col("_first"), F.col("_first") + F.col("_total")))
     part = fixed.join(where.select(*keys, "_part").distinct(), [*keys, "_part"], "left_semi")
     running = F.sum(weight).over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = part.withColumn("_to", running).withColumn("_from", F.col("_to") - F.col(weight))
-    found = where.join(reached, [*keys, "_part"]).where((F.col("_first") + F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_first") + F.col("_to")))
-    return found.select(*ranks.columns, value)
+    sums = part.withColumn("_to", running).withColumn("_from", F.col("_to") - F.col(weight))
+    found = where.join(sums, [*keys, "_part"]).where(inside(F.col("_first") + F.col("_from"), F.col("_first") + F.col("_to")))
+    return found.select(*targets.columns, value)
 
 
 def counted_values(samples: DataFrame, keys: tuple[str, ...], value: str, weight: Column | None = None) -> DataFrame:
@@ -60,9 +62,9 @@ def quantiles(samples: DataFrame, value: str, wanted: dict[str, float], *keys: s
     asked = F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * q).alias("at")) for name, q in wanted.items()))
     each = sizes.select(*keys, "n", F.explode(asked).alias("q")).select(*keys, "q.name", "q.at", "n")
     low = F.floor("at").cast("long")
-    sides = F.array(F.struct(low.alias("rank"), F.lit(0).alias("side")), F.struct(F.least(low + 1, F.col("n") - 1).alias("rank"), F.lit(1).alias("side")))
-    ranks = each.select(*keys, "name", "at", F.explode(sides).alias("s")).select(*keys, "name", "at", "s.rank", "s.side")
-    found = at_ranks(counted, keys, value, "_w", ranks, "rank")
+    sides = F.array(F.struct((low + 1).alias("nth"), F.lit(0).alias("side")), F.struct(F.least(low + 2, F.col("n")).alias("nth"), F.lit(1).alias("side")))
+    ranks = each.select(*keys, "name", "at", F.explode(sides).alias("s")).select(*keys, "name", "at", "s.nth", "s.side")
+    found = reached(counted, keys, value, "_w", ranks, "nth")
     side = lambda k: F.max(F.when(F.col("side") == k, F.col(value)))
     between = found.groupBy(*keys, "name", "at").agg(side(0).alias("a"), side(1).alias("b")).withColumn("v", F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a")))
     flat = between.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted))
@@ -70,9 +72,9 @@ def quantiles(samples: DataFrame, value: str, wanted: dict[str, float], *keys: s
 
 
 def weighted_median(samples: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
-    """The least value at which half of all weight (whole numbers, not negative) is reached. Rows without a value or a weight don't count."""
-    some = samples.where(F.col(weight) > 0)
-    counted = counted_values(some, keys, value, F.col(weight))
-    # Half of the weight is reached where the running sum exceeds the rank just below half.
-    ranks = counted.groupBy(*keys).agg(F.sum("_w").alias("_all")).select(*keys, F.expr("(_all + 1) div 2 - 1").alias("_rank"))
-    return at_ranks(counted, keys, value, "_w", ranks, "_rank").select(*keys, F.col(value).alias("weighted_median"))
+    """The least value at which half of all weight is reached. Rows without a value or with no weight don't count. Weights are summed exactly, fractions to ten places."""
+    fraction = samples.schema[weight].dataType.typeName() in ("float", "double")
+    own = F.col(weight).cast("decimal(28,10)") if fraction else F.col(weight)
+    counted = counted_values(samples.where(F.col(weight) > 0), keys, value, own)
+    halves = counted.groupBy(*keys).agg((F.sum("_w") / 2).alias("_half"))
+    return reached(counted, keys, value, "_w", halves, "_half").select(*keys, F.col(value).alias("weighted_median"))

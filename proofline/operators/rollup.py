@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.functions.text import field_label
+from proofline.operators import ordering
 
 
 def _any(statuses: Column, status: str) -> Column:
@@ -69,17 +70,11 @@ def field_accuracy(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def timing(samples: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Linear (R-7) 50th and 95th percentile, mean and number of samples."""
-    return samples.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.avg(value).alias("mean"), F.count("*").alias("n"))
+    """Linear (R-7) 50th and 95th percentile, mean and number of samples, found by range partitions (`ordering`)."""
+    found = ordering.quantiles(samples, value, {"p50": 0.5, "p95": 0.95}, *keys)
+    return found.withColumn("mean", F.col("total") / F.col("n")).select(*keys, "p50", "p95", "mean", "n")
 
 
 def weighted_median(samples: DataFrame, value: str, weight: str, *keys: str) -> DataFrame:
     """The least value at which half of all weight is reached."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    # Equal values are one row before they move; a group's distinct values are sorted in one task.
-    each = samples.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    running = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = each.withColumn("_r", running).withColumn("_t", F.sum("_w").over(w)).where(F.col("_r") >= F.col("_t") / 2)
-    return reached.groupBy(*keys).agg(F.min(value).alias("weighted_median"))
+    return ordering.weighted_median(samples, value, weight, *keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proofline import constants as K
 from proofline.functions import numbers as N
 from proofline.functions import text as T
-from proofline.operators import layout, reconcile, rollup, rules
+from proofline.operators import batch, layout, reconcile, rollup, rules
 from proofline.plans import report, synthetic
 from proofline.sources import images, manifest, registry
 from proofline.storage import place
@@ -257,6 +257,41 @@ def duplicate_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.duplicates(spark.sql(_TWICE).withColumnRenamed("ord", "order"))
 
 
+# ---- a batch: every input once ----
+
+#: Labels listed; those uploaded, some in other letter case, and uploads that no row lists. The verifier gives nothing back for some.
+_UPLOADED = f"""SELECT CASE label_id % 2 WHEN 0 THEN upper(filename) ELSE filename END AS filename, label_id AS ord, {', '.join(f'read_{c}' for c in (*K.APPLICATION_FIELDS, 'government_warning'))} FROM ({synthetic.LABELS}) WHERE label_id % 13 <> 5
+UNION ALL SELECT concat('extra_', label_id, '.png'), label_id, {', '.join(['NULL'] * 7)} FROM ({synthetic.LABELS}) WHERE label_id % 17 = 3"""
+
+
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = synthetic.labels(spark, sf_dir).select("filename", *K.APPLICATION_FIELDS, F.col("label_id").alias("order"))
+    uploads = spark.sql(_UPLOADED).withColumnRenamed("ord", "order")
+    number = F.regexp_extract("filename", "([0-9]+)", 1).cast("long")
+    return batch.results(batch.checked_manifest(listed), uploads, lambda matched: rules.long_form(rules.evaluated(matched.where(number % 19 != 7)), "filename"))
+
+
+_BATCHED = f"""{_ROLLED}, listed AS (SELECT filename, row_number() OVER (ORDER BY label_id) - 1 AS "order", CASE WHEN label_id % 13 = 5 THEN '{K.MISSING_IMAGE}' WHEN label_id % 19 = 7 THEN '{K.PROCESSING_ERROR}' END AS error, overall FROM labels_rolled),
+inputs AS (SELECT * FROM listed UNION ALL SELECT concat('extra_', p_partkey, '.png'), (SELECT count(*) FROM part) + row_number() OVER (ORDER BY p_partkey) - 1, '{K.MISSING_MANIFEST}', NULL FROM part WHERE p_partkey % 17 = 3),
+batch AS (SELECT filename, CAST("order" AS BIGINT) AS "order", error, CASE WHEN error IS NULL THEN overall ELSE 'NOT_EVALUATED' END AS status FROM inputs)"""
+
+
+@_query(f"""{_BATCHED} SELECT *, CAST(CASE WHEN error IS NOT NULL THEN 0 ELSE CASE status WHEN 'FAIL' THEN 0 WHEN 'REVIEW' THEN 1 WHEN 'NOT_EVALUATED' THEN 2 ELSE 3 END END AS INTEGER) AS rank FROM batch""")
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rows and verified labels as one batch, in triage order."""
+    return rollup.triaged(_batch(spark, sf_dir)).select("filename", "order", "error", "status", "rank")
+
+
+@_query(f"""{_BATCHED} SELECT filename, "order", CASE WHEN trim(filename) = '' THEN 'filename must not be blank' ELSE 'a batch result must contain exactly one of report or error' END AS problem
+FROM (SELECT CASE "order" % 23 WHEN 0 THEN ' ' ELSE filename END AS filename, "order" FROM batch WHERE "order" % 23 IN (0, 1) OR "order" % 23 = 2 AND error IS NOT NULL)""")
+def batch_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch spoilt on purpose: names lost, reports and errors lost, reports beside errors."""
+    found, kind = _batch(spark, sf_dir), F.col("order") % 23
+    some = F.array(F.struct(*(F.lit(None).cast(x.split(" ")[1]).alias(x.split(" ")[0]) for x in batch.RESULT.split(", "))))
+    spoilt = found.withColumn("filename", F.when(kind == 0, " ").otherwise(F.col("filename"))).withColumn("checks", F.when(kind == 1, None).when(kind == 2, some).otherwise(F.col("checks"))).withColumn("error", F.when(kind != 1, F.col("error")))
+    return batch.violations(spoilt)
+
+
 @_query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY ALL")
 def stage_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.timing(_table(spark, sf_dir, "events"), "value", "event_type").drop("mean")
