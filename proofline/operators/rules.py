@@ -1,6 +1,7 @@
 """The eleven checks as Column expressions. Each gives struct(status, expected, extracted, confidence, detail); branch order is the semantics.
 
-Normalised texts are passed in as columns, so that a plan computes each Arrow UDF once; `evaluated` adds them.
+Normalised texts are passed in as columns, so that a plan computes each Arrow UDF once; `evaluated` adds them. A check's conditions make a number, the first branch that holds, as
+a column of its own; the struct's fields are chosen by it, each by itself, so that a plan which asks for statuses builds no details.
 """
 
 from __future__ import annotations
@@ -22,20 +23,31 @@ class Branches:
         self.extracted, self.expected, self.made = extracted, expected, []
 
     def when(self, condition: Column | bool, status: str, detail: Column | str, confidence: Column | float | None = None) -> Branches:
-        detail = F.lit(detail) if isinstance(detail, str) else detail
-        confidence = confidence if isinstance(confidence, Column) else F.lit(confidence)
-        self.made.append((F.coalesce(condition, F.lit(False)) if isinstance(condition, Column) else F.lit(condition), result(status, self.expected, self.extracted, confidence, detail)))
+        self.made.append((condition if isinstance(condition, Column) else F.lit(condition), F.lit(status), detail if isinstance(detail, Column) else F.lit(detail), confidence if isinstance(confidence, Column) else F.lit(confidence)))
         return self
 
-    def column(self) -> Column:
-        out = self.made[-1][1]
-        for condition, value in reversed(self.made[:-1]):
-            out = F.when(condition, value).otherwise(out)
+    def number(self) -> Column:
+        """Which branch it is, from 0."""
+        out = F.lit(len(self.made) - 1)
+        for i, (condition, *_) in reversed(list(enumerate(self.made[:-1]))):
+            out = F.when(condition, i).otherwise(out)
         return out
 
+    def chosen(self, number: Column) -> Column:
+        """The result, given the branch's number."""
+        status, detail, confidence = (self._of(number, [m[k] for m in self.made]) for k in (1, 2, 3))
+        return result(status, self.expected, self.extracted, confidence, detail)
 
-def result(status: str, expected: Column, extracted: Column, confidence: Column, detail: Column) -> Column:
-    return F.struct(F.lit(status).alias("status"), expected.cast("string").alias("expected"), extracted.cast("string").alias("extracted"), confidence.cast("double").alias("confidence"), detail.alias("detail"))
+    @staticmethod
+    def _of(number: Column, values: list[Column]) -> Column:
+        out = values[-1]
+        for i, value in reversed(list(enumerate(values[:-1]))):
+            out = F.when(number == i, value).otherwise(out)
+        return out
+
+
+def result(status: Column, expected: Column, extracted: Column, confidence: Column, detail: Column) -> Column:
+    return F.struct(status.alias("status"), expected.cast("string").alias("expected"), extracted.cast("string").alias("extracted"), confidence.cast("double").alias("confidence"), detail.alias("detail"))
 
 
 def _empty(x: Column) -> Column:
@@ -46,19 +58,19 @@ def _says(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def brand(extracted: Column, expected: Column, x: Column, y: Column, ratio: Column, name: str = "brand") -> Column:
+def brand(extracted: Column, expected: Column, x: Column, y: Column, ratio: Column, name: str = "brand") -> Branches:
     """x, y: the texts without legal suffixes; ratio: their sorted similarity. Lost spaces alone still match a brand, not a class."""
     same = (T.compact(x) == T.compact(y)) if name == "brand" else F.lit(False)
     score = F.when(same, K.MATCH).otherwise(ratio)
     made = Branches(extracted, expected).when(_empty(x) | _empty(y), K.NOT_EVALUATED, K.SAYS[f"{name}_missing"])
-    return made.when(score >= K.FUZZY_PASS, K.PASS, K.SAYS[f"{name}_pass"], score).when(score >= K.FUZZY_REVIEW, K.REVIEW, K.SAYS[f"{name}_review"], score).when(True, K.FAIL, K.SAYS[f"{name}_fail"], score).column()
+    return made.when(score >= K.FUZZY_PASS, K.PASS, K.SAYS[f"{name}_pass"], score).when(score >= K.FUZZY_REVIEW, K.REVIEW, K.SAYS[f"{name}_review"], score).when(True, K.FAIL, K.SAYS[f"{name}_fail"], score)
 
 
-def class_type(extracted: Column, expected: Column, x: Column, y: Column, ratio: Column) -> Column:
+def class_type(extracted: Column, expected: Column, x: Column, y: Column, ratio: Column) -> Branches:
     return brand(extracted, expected, x, y, ratio, "class")
 
 
-def alcohol(extracted: Column, expected: Column, x: Column, y: Column, beverage: Column, parsed: dict[str, Column]) -> Column:
+def alcohol(extracted: Column, expected: Column, x: Column, y: Column, beverage: Column, parsed: dict[str, Column]) -> Branches:
     """x, y: identified texts; parsed: abv_x, abv_y, proof_x, proof_y."""
     abv_x, abv_y, proof_x, proof_y = (parsed[k] for k in ("abv_x", "abv_y", "proof_x", "proof_y"))
     error = F.coalesce(abv_x["error"], abv_y["error"], proof_x["error"], proof_y["error"])
@@ -75,10 +87,10 @@ def alcohol(extracted: Column, expected: Column, x: Column, y: Column, beverage:
     made.when(off(proof_x["value"], abv_x["value"]), K.FAIL, _says("Stated proof ", N.plain(proof_x["value"]), " is inconsistent with ABV; expected proof ", N.plain(twice(abv_x["value"])), ".", advisory), K.MISMATCH)
     said = ("ABV differs by ", N.plain(difference), " percentage points, ")
     made.when(difference <= tolerance, K.PASS, _says(*said, "within the CFR tolerance of ", N.plain(tolerance), " for this beverage class; any stated proof is consistent.", advisory), K.MATCH)
-    return made.when(True, K.FAIL, _says(*said, "beyond the CFR tolerance of ", N.plain(tolerance), " for this beverage class.", advisory), K.MISMATCH).column()
+    return made.when(True, K.FAIL, _says(*said, "beyond the CFR tolerance of ", N.plain(tolerance), " for this beverage class.", advisory), K.MISMATCH)
 
 
-def net_contents(extracted: Column, expected: Column, x: Column, y: Column, own: Column, other: Column) -> Column:
+def net_contents(extracted: Column, expected: Column, x: Column, y: Column, own: Column, other: Column) -> Branches:
     """own, other: the parsed volumes of label and application."""
     error = F.coalesce(own["error"], other["error"])
     difference = F.abs(own["ml"] - other["ml"]).cast(N.DECIMAL)
@@ -87,10 +99,10 @@ def net_contents(extracted: Column, expected: Column, x: Column, y: Column, own:
     made = Branches(extracted, expected).when(_empty(x) | _empty(y), K.NOT_EVALUATED, K.SAYS["net_missing"])
     made.when(error.isNotNull(), K.REVIEW, _says("Net contents could not be parsed unambiguously: ", error, "."))
     made.when(difference <= tolerance, K.PASS, _says("Net contents match after unit conversion (", N.plain(own["ml"]), " mL)."), K.MATCH)
-    return made.when(True, K.FAIL, _says("Net contents differ by ", N.plain(difference), " mL after unit conversion."), K.MISMATCH).column()
+    return made.when(True, K.FAIL, _says("Net contents differ by ", N.plain(difference), " mL after unit conversion."), K.MISMATCH)
 
 
-def standard_of_fill(extracted: Column, expected: Column, x: Column, y: Column, beverage: Column, own: Column, other: Column, size: Column, wanted: Column, near: Column) -> Column:
+def standard_of_fill(extracted: Column, expected: Column, x: Column, y: Column, beverage: Column, own: Column, other: Column, size: Column, wanted: Column, near: Column) -> Branches:
     """own, other: the parsed volumes; size, wanted: the authorised sizes that they stand for; near: the one nearest to the label's."""
     ml = N.plain(own["ml"])
     made = Branches(extracted, expected).when(_empty(x), K.NOT_EVALUATED, K.SAYS["fill_missing"])
@@ -99,55 +111,54 @@ def standard_of_fill(extracted: Column, expected: Column, x: Column, y: Column,
     made.when(size.isNotNull(), K.PASS, _says("Container size resolves to the authorized ", N.plain(size), " mL size under ", N.cfr_section(beverage, size), "."), K.MATCH)
     misread = ~_empty(y) & wanted.isNotNull() & (other["ml"] != own["ml"])
     made.when(misread, K.REVIEW, _says("The label read ", ml, " mL, which is not an authorized size, while the application value resolves to the authorized ", N.plain(other["ml"]), " mL size under ", N.cfr_section(beverage, wanted), ". This is probably an OCR misread; agent review is required."))
-    return made.when(True, K.FAIL, _says("Container size ", ml, " mL is not authorized. The nearest authorized size is ", N.plain(near), " mL under ", N.cfr_section(beverage, near), "."), K.MISMATCH).column()
+    return made.when(True, K.FAIL, _says("Container size ", ml, " mL is not authorized. The nearest authorized size is ", N.plain(near), " mL under ", N.cfr_section(beverage, near), "."), K.MISMATCH)
 
 
-def bottler(extracted: Column, expected: Column, x: Column, y: Column, ratio: Column) -> Column:
+def bottler(extracted: Column, expected: Column, x: Column, y: Column, ratio: Column) -> Branches:
     """x, y: the texts without bottling phrases. Only equal texts pass; near ones are for a person."""
     extends = x.startswith(F.concat(y, F.lit(" "))) | y.startswith(F.concat(x, F.lit(" ")))
     made = Branches(extracted, expected).when(_empty(x) | _empty(y), K.NOT_EVALUATED, K.SAYS["bottler_missing"])
     made.when(T.compact(x) == T.compact(y), K.PASS, K.SAYS["bottler_pass"], K.MATCH)
     made.when(extends | (ratio >= K.FUZZY_REVIEW), K.REVIEW, K.SAYS["bottler_review"], ratio)
-    return made.when(True, K.FAIL, K.SAYS["bottler_fail"], ratio).column()
+    return made.when(True, K.FAIL, K.SAYS["bottler_fail"], ratio)
 
 
-def origin(extracted: Column, expected: Column, x: Column, y: Column, required: Column) -> Column:
+def origin(extracted: Column, expected: Column, x: Column, y: Column, required: Column) -> Branches:
     """x, y: the texts without origin phrases; required: whether the application names an origin."""
     made = Branches(extracted, expected).when(~required & ~_empty(x), K.NOT_EVALUATED, K.SAYS["origin_noted"]).when(~required, K.NOT_EVALUATED, K.SAYS["origin_domestic"])
     made.when(_empty(x), K.NOT_EVALUATED, K.SAYS["origin_missing"]).when(x == y, K.PASS, K.SAYS["origin_pass"], K.MATCH)
-    return made.when(True, K.FAIL, K.SAYS["origin_fail"], K.MISMATCH).column()
+    return made.when(True, K.FAIL, K.SAYS["origin_fail"], K.MISMATCH)
 
 
-def government_warning(extracted: Column, x: Column, diff: Column) -> Column:
+def government_warning(extracted: Column, x: Column, diff: Column) -> Branches:
     """x: the repaired text; diff: its difference from the statutory one. A missing warning fails."""
     made = Branches(extracted, F.lit(K.WARNING)).when(_empty(x), K.FAIL, K.SAYS["warning_missing"]).when(x == K.WARNING, K.PASS, K.SAYS["warning_pass"], K.MATCH)
     made.when(T.compact(x) == K.WARNING.replace(" ", ""), K.REVIEW, K.SAYS["warning_spaces"])
     said = F.when(diff == "", "normalized text differs at the character level").otherwise(diff)
-    return made.when(True, K.FAIL, _says("Government warning deviation: ", said, "."), K.MISMATCH).column()
+    return made.when(True, K.FAIL, _says("Government warning deviation: ", said, "."), K.MISMATCH)
 
 
-def warning_prefix(extracted: Column, x: Column, diff: Column) -> Column:
+def warning_prefix(extracted: Column, x: Column, diff: Column) -> Branches:
     """x: the first characters of the repaired text."""
-    missing = Branches(extracted, F.lit(K.WARNING_PREFIX)).when(True, K.NOT_EVALUATED, K.SAYS["prefix_missing"]).column()
-    made = Branches(x, F.lit(K.WARNING_PREFIX)).when(x == K.WARNING_PREFIX, K.PASS, K.SAYS["prefix_pass"], K.MATCH)
-    made.when(T.compact(x) == K.WARNING_PREFIX.replace(" ", ""), K.REVIEW, K.SAYS["prefix_spaces"])
-    made.when(True, K.FAIL, _says("Government warning prefix deviation: ", diff, "."), K.MISMATCH)
-    return F.when(_empty(x), missing).otherwise(made.column())
+    made = Branches(F.when(_empty(x), extracted).otherwise(x), F.lit(K.WARNING_PREFIX)).when(_empty(x), K.NOT_EVALUATED, K.SAYS["prefix_missing"])
+    made.when(x == K.WARNING_PREFIX, K.PASS, K.SAYS["prefix_pass"], K.MATCH).when(T.compact(x) == K.WARNING_PREFIX.replace(" ", ""), K.REVIEW, K.SAYS["prefix_spaces"])
+    return made.when(True, K.FAIL, _says("Government warning prefix deviation: ", diff, "."), K.MISMATCH)
 
 
 def warning_bold() -> Column:
-    return result(K.NOT_EVALUATED, F.lit(K.BOLD_EXPECTED), F.lit(None), F.lit(None), F.lit(K.SAYS["bold"]))
+    return result(F.lit(K.NOT_EVALUATED), F.lit(K.BOLD_EXPECTED), F.lit(None), F.lit(None), F.lit(K.SAYS["bold"]))
 
 
 def warning_type_size() -> Column:
-    return result(K.NOT_EVALUATED, F.lit(K.TYPE_SIZE_EXPECTED), F.lit(None), F.lit(None), F.lit(K.SAYS["type_size"]))
+    return result(F.lit(K.NOT_EVALUATED), F.lit(K.TYPE_SIZE_EXPECTED), F.lit(None), F.lit(None), F.lit(K.SAYS["type_size"]))
 
 
 def ambiguous(rule: Column, state: Column, alternatives: Column, expected: Column, name: str) -> Column:
     """The rule's result, unless several candidates were found: then a person decides."""
     many = F.nullif(F.array_join(alternatives, " | "), F.lit(""))
-    several = result(K.REVIEW, expected, many, F.lit(None), F.lit(f"Multiple {name} candidates were located; agent review is required."))
-    return F.when(F.coalesce(state == "AMBIGUOUS", F.lit(False)), several).otherwise(rule)
+    several = result(F.lit(K.REVIEW), expected, many, F.lit(None), F.lit(f"Multiple {name} candidates were located; agent review is required."))
+    found = F.coalesce(state == "AMBIGUOUS", F.lit(False))
+    return F.struct(*(F.when(found, several[f]).otherwise(rule[f]).alias(f) for f in ("status", "expected", "extracted", "confidence", "detail")))
 
 
 def evaluated(labels: DataFrame) -> DataFrame:
@@ -185,9 +196,9 @@ def evaluated(labels: DataFrame) -> DataFrame:
         "origin_country": origin(*pair("origin_country"), *ids("origin_country", "s"), c("required")),
         "government_warning": government_warning(F.col("read_government_warning"), c("warning"), c("diff")),
         "government_warning_prefix": warning_prefix(F.col("read_government_warning"), c("prefix"), c("prefix_diff")),
-        "government_warning_bold": warning_bold(),
-        "government_warning_type_size": warning_type_size(),
     }
+    add(**{f"branch_{k}": v.number() for k, v in checks.items()})
+    checks = {k: v.chosen(c(f"branch_{k}")) for k, v in checks.items()} | {"government_warning_bold": warning_bold(), "government_warning_type_size": warning_type_size()}
     names = {"brand_name": "brand-name", "class_type": "class/type", "alcohol_content": "alcohol-content", "net_contents": "net-contents", "net_contents_standard_of_fill": "net-contents", "bottler": "bottler", "origin_country": "country-of-origin", "government_warning": "government-warning wording", "government_warning_prefix": "government-warning prefix"}
     for check, name in names.items():
         field = {"net_contents_standard_of_fill": "net_contents", "government_warning_prefix": "government_warning"}.get(check, check)

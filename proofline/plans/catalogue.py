@@ -68,7 +68,7 @@ def check_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checks(spark, sf_dir).select("label_id", "check", "status")
 
 
-@_query()
+@_query(f"{synthetic.DETAILED} SELECT * FROM details")
 def check_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _checks(spark, sf_dir)
 
@@ -94,17 +94,28 @@ def disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).select("label_id", "disclosure")
 
 
-@_query()
+_SHOWN = "CASE {} WHEN 'NOT_EVALUATED' THEN 'NOT CHECKED' ELSE {} END"
+_REPORTED = ", ".join(
+    f"""max({value}) FILTER ("check" = '{c}') AS "{label} — {suffix}" """
+    for c, label in K.CHECKS.items()
+    for value, suffix in zip((_SHOWN.format("status", "status"), "expected", "extracted", "confidence", "detail"), K.REPORT_SUFFIXES, strict=True)
+)
+
+
+@_query(f"""{synthetic.DETAILED}, {_ROLLED.partition("labels_rolled AS")[1]}{_ROLLED.partition("labels_rolled AS")[2]}, names(c, i, label) AS (VALUES {_NAMES}),
+undone AS (SELECT label_id, concat(count(*), CASE count(*) WHEN 1 THEN ' check' ELSE ' checks' END, ' could not be run — ', string_agg(label, '; ' ORDER BY i)) AS said FROM details JOIN names ON c = "check" WHERE status = 'NOT_EVALUATED' GROUP BY label_id)
+SELECT filename AS "Filename", {_SHOWN.format("any_value(overall)", "any_value(overall)")} AS "Overall result", coalesce(any_value(said), '') AS "Checks that could not be run", CAST(NULL AS VARCHAR) AS "Problem", {_REPORTED}
+FROM details JOIN labels_rolled USING (label_id, filename) LEFT JOIN undone USING (label_id) GROUP BY label_id, filename""")
 def report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _checks(spark, sf_dir)
-    verdicts = rollup.rolled_up(checks, "filename", "label_id").withColumn("order", F.col("label_id"))
-    return report.wide(checks, verdicts)
+    checked = rules.evaluated(synthetic.labels(spark, sf_dir))
+    return report.wide(checked.withColumns({"order": F.col("label_id"), "error": F.lit(None).cast("string")}))
 
 
-@_query(f"""{synthetic.CHECKED}, names(c, i, label) AS (VALUES {_NAMES})
-SELECT label_id, label AS "Check", CASE status WHEN 'NOT_EVALUATED' THEN 'NOT CHECKED' ELSE status END AS "Result" FROM checks JOIN names ON c = "check" """)
+@_query(f"""{synthetic.DETAILED}, names(c, i, label) AS (VALUES {_NAMES})
+SELECT label_id, label AS "Check", {_SHOWN.format("status", "status")} AS "Result", CASE WHEN coalesce(trim(expected), '') = '' THEN 'Not provided' ELSE expected END AS "Application value",
+  CASE WHEN coalesce(trim(extracted), '') = '' THEN 'Nothing readable was found' ELSE extracted END AS "We read this as", detail AS "Details" FROM details JOIN names ON c = "check" """)
 def report_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.single(_checks(spark, sf_dir), "label_id").select("label_id", "Check", "Result")
+    return report.single(_checks(spark, sf_dir), "label_id")
 
 
 # ---- scalar functions ----
@@ -203,11 +214,15 @@ def beverage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_PHRASE).select("p_partkey", T.beverage_class(F.col("said")).alias("beverage_class"))
 
 
-@_query()
+_NEXT = f"SELECT p.p_partkey AS id, {synthetic.sorted_words('p.p_name')} AS a, {synthetic.sorted_words('n.p_name')} AS b FROM part p LEFT JOIN part n ON n.p_partkey = p.p_partkey + 1"
+
+
+@_query(f"WITH RECURSIVE {synthetic.lcs(_NEXT)} SELECT id AS p_partkey, round(200.0 * n / (length(a) + length(b)), 6) AS ratio FROM pairs LEFT JOIN lcs USING (id)")
 def brand_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand and the next one; the last has none."""
     parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
     other = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
-    return parts.join(other, "p_partkey").select("p_partkey", F.round(T.token_sort_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"))
+    return parts.join(other, "p_partkey", "left").select("p_partkey", F.round(T.token_sort_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"))
 
 
 @_query()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
+from proofline.operators import rollup
 
 COLUMNS = ("Filename", "Overall result", "Checks that could not be run", "Problem", *(f"{label} — {suffix}" for label in K.CHECKS.values() for suffix in K.REPORT_SUFFIXES))
 
@@ -14,19 +15,42 @@ def _shown(status: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in K.STATUS_TEXT.items() for x in pair))[status]
 
 
-def wide(results: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The batch report.
+PARTS = ("status", "expected", "extracted", "confidence", "detail")
 
-    results: filename, check, status, expected, extracted, confidence, detail; verdicts: filename, status, disclosure, error, rank,
-    order and, where known, the application fields, which stand in for the expected value of a check that was not made.
+
+def pivoted(results: DataFrame, inputs: DataFrame) -> DataFrame:
+    """inputs (filename, ...) with `check_<name>` for each check, null if it was not made, and `others`: (check, status) of checks that aren't known.
+
+    results: filename, check, status, expected, extracted, confidence, detail. The one pivot that reports need: verdicts come from its columns.
+    """
+    known = F.col("check").isin(*K.CHECKS)
+    made = {check: F.first(F.when(F.col("check") == check, F.struct(*PARTS)), ignorenulls=True) for check in K.CHECKS}
+    columns = results.groupBy("filename").agg(*(v.alias(f"check_{k}") for k, v in made.items()), F.array_sort(F.collect_list(F.when(~known, F.struct("check", "status")))).alias("others"))
+    return inputs.join(columns, "filename", "left")
+
+
+def verdicts(frame: DataFrame) -> DataFrame:
+    """frame (check_<name> columns, error) with the batch's `status`, `rank` and `disclosure`."""
+    pair = lambda check, status: F.struct(check.alias("check"), status.alias("status"))
+    known = F.array(*(F.when(F.col(f"check_{c}").isNotNull(), pair(F.lit(c), F.col(f"check_{c}.status"))) for c in K.CHECKS))
+    every = F.concat(known, F.coalesce("others", F.array().cast("array<struct<check:string,status:string>>"))) if "others" in frame.columns else known
+    frame = frame.withColumn("_made", F.filter(every, lambda x: x.isNotNull()))
+    names, statuses = F.transform("_made", lambda x: x["check"]), F.transform("_made", lambda x: x["status"])
+    frame = frame.withColumn("status", rollup.batch_status(names, statuses, F.col("error")))
+    return frame.withColumn("rank", rollup.severity(F.col("status"), F.col("error"))).withColumn("disclosure", rollup.disclosure(names, statuses, F.col("error"))).drop("_made")
+
+
+def wide(frame: DataFrame) -> DataFrame:
+    """The batch report, one row for each input, most urgent first, ties by order.
+
+    frame: filename, order, error, `check_<name>` columns (as `rules.evaluated` or `pivoted` makes them) and, where known, the application fields, which stand in for the
+    expected value of a check that was not made.
     """
-    struct = F.struct("status", "expected", "extracted", "confidence", "detail")
-    pivoted = results.groupBy("filename").pivot("check", list(K.CHECKS)).agg(F.first(struct))
-    joined = verdicts.withColumnRenamed("status", "_status").join(pivoted.select(F.col("filename"), *(F.col(c).alias(f"_c_{c}") for c in K.CHECKS)), "filename", "left")
-    columns = [F.col("filename").alias(COLUMNS[0]), _shown(F.col("_status")).alias(COLUMNS[1]), F.col("disclosure").alias(COLUMNS[2]), F.col("error").alias(COLUMNS[3])]
+    frame = verdicts(frame)
+    columns = [F.col("filename").alias(COLUMNS[0]), _shown(F.col("status")).alias(COLUMNS[1]), F.col("disclosure").alias(COLUMNS[2]), F.col("error").alias(COLUMNS[3])]
     for check, label in K.CHECKS.items():
-        r = F.col(f"_c_{check}")
-        known = F.col(check) if check in K.APPLICATION_FIELDS and check in verdicts.columns else F.lit(None).cast("string")
+        r = F.col(f"check_{check}")
+        known = F.col(check) if check in K.APPLICATION_FIELDS and check in frame.columns else F.lit(None).cast("string")
         values = (
             F.when(r.isNull(), K.STATUS_TEXT[K.NOT_EVALUATED]).otherwise(_shown(r["status"])),
             F.when(r.isNull(), known).otherwise(r["expected"]),
@@ -35,7 +59,7 @@ def wide(results: DataFrame, verdicts: DataFrame) -> DataFrame:
             F.when(r.isNull(), K.SAYS["not_completed"]).otherwise(r["detail"]),
         )
         columns += [v.alias(f"{label} — {s}") for v, s in zip(values, K.REPORT_SUFFIXES, strict=True)]
-    return joined.orderBy("rank", "order").select(*columns)
+    return frame.orderBy("rank", "order").select(*columns)
 
 
 def single(results: DataFrame, *keys: str) -> DataFrame:

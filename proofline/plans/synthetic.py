@@ -99,3 +99,97 @@ wide AS (
 ),
 checks AS (UNPIVOT wide ON {", ".join(K.CHECKS)} INTO NAME "check" VALUE status)
 """
+
+
+def lcs(pairs: str) -> str:
+    """DuckDB: CTEs that end in lcs(id, n), the length of the longest common subsequence of a and b of each of the pairs (id, a, b)."""
+    return f"""pairs AS ({pairs}),
+walked AS (
+  SELECT id, a, b, 0 AS i, list_transform(range(length(a) + 1), lambda k: 0) AS reach FROM pairs
+  UNION ALL
+  SELECT id, a, b, i + 1, list_transform(range(length(a) + 1), lambda j: list_max(maybe[1:j + 1])) FROM (
+    SELECT *, list_transform(range(length(a) + 1), lambda k: greatest(reach[k + 1], CASE WHEN k > 0 AND substring(a, k, 1) = substring(b, i + 1, 1) THEN reach[k] + 1 ELSE 0 END)) AS maybe FROM walked WHERE i < length(b))
+),
+lcs AS (SELECT id, reach[-1] AS n FROM walked WHERE i = length(b))"""
+
+
+def sorted_words(text: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+PLAIN = "regexp_replace(regexp_replace(CAST({} AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+EXACT = {**VOLUMES, "25.4 fl oz": "751.1676508875", "25.36 fl oz": "749.9847097050"}
+_CFR = "CASE WHEN cls = 'distilled_spirits' THEN '27 CFR 5.203(a)' WHEN {0} >= 4000 AND {0} % 1000 = 0 THEN '27 CFR 4.72(b)' ELSE '27 CFR 4.72(a)' END"
+_RATIO = "200.0 * {0}.n / (length({1}) + length({2}))"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _says(check: str, kinds: dict[str, str], status: str) -> str:
+    """What a check says by its status."""
+    return f"CASE {status} " + " ".join(f"WHEN '{s}' THEN {_text(K.SAYS[f'{check}_{k}'])}" for s, k in kinds.items()) + " END"
+
+
+def _details() -> str:
+    adv = f"CASE WHEN cls = 'wine' AND ax < 7 THEN {_text(K.SAYS['advisory'])} ELSE '' END"
+    tolerance = "CASE cls WHEN 'wine' THEN CASE WHEN ay > 14 THEN '1' ELSE '1.5' END ELSE '0.3' END"
+    exact = {K.PASS: "100", K.FAIL: "0"}
+    scored = lambda status, more=None: f"CASE {status} " + " ".join(f"WHEN '{s}' THEN {v}" for s, v in (exact | (more or {})).items()) + " END"
+    fuzzy = {K.NOT_EVALUATED: "missing", K.PASS: "pass", K.REVIEW: "review", K.FAIL: "fail"}
+    alcohol = f"""CASE WHEN read_alcohol_content IS NULL THEN {_text(K.SAYS["alcohol_missing"])}
+      WHEN ax IS NULL THEN 'Alcohol content could not be parsed unambiguously: ABV marker is present without a valid numeric declaration.' WHEN cls IS NULL THEN {_text(K.SAYS["alcohol_class"])}
+      WHEN px IS NOT NULL AND abs(px - 2 * ax) > 0.6 THEN concat('Stated proof ', {PLAIN.format("px")}, ' is inconsistent with ABV; expected proof ', {PLAIN.format("(2 * ax)")}, '.', {adv})
+      ELSE concat('ABV differs by ', {PLAIN.format("abs(ax - ay)")}, ' percentage points, ', CASE w.alcohol_content WHEN 'PASS' THEN 'within' ELSE 'beyond' END, ' the CFR tolerance of ', {tolerance}, ' for this beverage class', CASE w.alcohol_content WHEN 'PASS' THEN '; any stated proof is consistent.' ELSE '.' END, {adv}) END"""
+    unit = "unsupported net-contents unit: ''floz''."
+    net = f"""CASE w.net_contents WHEN 'NOT_EVALUATED' THEN {_text(K.SAYS["net_missing"])} WHEN 'REVIEW' THEN 'Net contents could not be parsed unambiguously: {unit}'
+      WHEN 'PASS' THEN concat('Net contents match after unit conversion (', {PLAIN.format("vx")}, ' mL).') ELSE concat('Net contents differ by ', {PLAIN.format("abs(vx - vy)")}, ' mL after unit conversion.') END"""
+    size, wanted = "CASE WHEN ox THEN near ELSE vx END", "CASE WHEN oy THEN wanted_near ELSE vy END"
+    fill = f"""CASE WHEN read_net_contents IS NULL THEN {_text(K.SAYS["fill_missing"])} WHEN cls = 'beer' THEN {_text(K.SAYS["fill_beer"])} WHEN cls IS NULL THEN {_text(K.SAYS["fill_class"])}
+      WHEN vx IS NULL THEN 'Net contents could not be parsed unambiguously for the standards-of-fill check: {unit}'
+      WHEN fits THEN concat('Container size resolves to the authorized ', {PLAIN.format(f"({size})")}, ' mL size under ', {_CFR.format(f"({size})")}, '.')
+      WHEN wanted_fits AND vy <> vx THEN concat('The label read ', {PLAIN.format("vx")}, ' mL, which is not an authorized size, while the application value resolves to the authorized ', {PLAIN.format("vy")}, ' mL size under ', {_CFR.format(f"({wanted})")}, '. This is probably an OCR misread; agent review is required.')
+      ELSE concat('Container size ', {PLAIN.format("vx")}, ' mL is not authorized. The nearest authorized size is ', {PLAIN.format("near")}, ' mL under ', {_CFR.format("near")}, '.') END"""
+    foreign = "(s.origin_country IS NOT NULL AND s.origin_country <> 'N/A')"
+    origin = f"""CASE WHEN NOT {foreign} AND read_origin_country IS NOT NULL THEN {_text(K.SAYS["origin_noted"])} WHEN NOT {foreign} THEN {_text(K.SAYS["origin_domestic"])} WHEN read_origin_country IS NULL THEN {_text(K.SAYS["origin_missing"])}
+      ELSE {_says("origin", {K.PASS: "pass", K.FAIL: "fail"}, "w.origin_country")} END"""
+    cased = "replace expected [GOVERNMENT WARNING] with extracted [Government Warning]"
+    warning = f"""CASE w.government_warning WHEN 'PASS' THEN {_text(K.SAYS["warning_pass"])} WHEN 'REVIEW' THEN {_text(K.SAYS["warning_spaces"])}
+      ELSE CASE WHEN read_government_warning IS NULL THEN {_text(K.SAYS["warning_missing"])} ELSE 'Government warning deviation: {cased}.' END END"""
+    joined = "starts_with(read_government_warning, 'GOVERNMENTWARNING')"
+    prefix = f"""CASE w.government_warning_prefix WHEN 'PASS' THEN {_text(K.SAYS["prefix_pass"])} WHEN 'NOT_EVALUATED' THEN {_text(K.SAYS["prefix_missing"])}
+      ELSE CASE WHEN {joined} THEN 'Government warning prefix deviation: replace expected [GOVERNMENT WARNING] with extracted [GOVERNMENTWARNING]; unexpected extracted [(].' ELSE 'Government warning prefix deviation: {cased}.' END END"""
+    none = "CAST(NULL AS VARCHAR)"
+    rows = {
+        "brand_name": ("s.brand_name", "read_brand_name", scored("w.brand_name", {K.FAIL: _RATIO.format("b", "brand_a", "brand_b")}), _says("brand", fuzzy, "w.brand_name")),
+        "class_type": ("s.class_type", "read_class_type", scored("w.class_type", {K.FAIL: _RATIO.format("c", "class_a", "class_b")}), _says("class", fuzzy, "w.class_type")),
+        "alcohol_content": ("s.alcohol_content", "read_alcohol_content", scored("w.alcohol_content"), alcohol),
+        "net_contents": ("s.net_contents", "read_net_contents", scored("w.net_contents"), net),
+        "net_contents_standard_of_fill": ("s.net_contents", "read_net_contents", scored("w.net_contents_standard_of_fill"), fill),
+        "bottler": ("s.bottler", "read_bottler", scored("w.bottler", {s: _RATIO.format("m", "maker_a", "maker_b") for s in (K.REVIEW, K.FAIL)}), _says("bottler", fuzzy, "w.bottler")),
+        "origin_country": ("s.origin_country", "read_origin_country", scored("w.origin_country"), origin),
+        "government_warning": (_text(K.WARNING), "read_government_warning", "CASE WHEN read_government_warning IS NOT NULL THEN " + scored("w.government_warning") + " END", warning),
+        "government_warning_prefix": (_text(K.WARNING_PREFIX), f"substring(read_government_warning, 1, {len(K.WARNING_PREFIX)})", scored("w.government_warning_prefix"), prefix),
+        "government_warning_bold": (_text(K.BOLD_EXPECTED), none, "NULL", _text(K.SAYS["bold"])),
+        "government_warning_type_size": (_text(K.TYPE_SIZE_EXPECTED), none, "NULL", _text(K.SAYS["type_size"])),
+    }
+    return ", ".join(f"""{{'position': {i}, 'check': '{c}', 'status': w.{c}, 'expected': {e}, 'extracted': {x}, 'confidence': CAST({score} AS DOUBLE), 'detail': {d}}}""" for i, (c, (e, x, score, d)) in enumerate(rows.items()))
+
+
+_MAKER = "regexp_replace({}, '^(produced and )?bottled by ', '')"
+
+#: DuckDB: all that each check says of each label: details(label_id, filename, position, check, status, expected, extracted, confidence, detail).
+DETAILED = f"""{CHECKED.replace("WITH labels", "WITH RECURSIVE labels", 1)},
+exact(said, v) AS (VALUES {_values(EXACT.items())}),
+compared AS (SELECT label_id, {sorted_words(NORMAL.format("read_brand_name"))} AS brand_a, {sorted_words(NORMAL.format("brand_name"))} AS brand_b, {sorted_words(NORMAL.format("read_class_type"))} AS class_a, {sorted_words(NORMAL.format("class_type"))} AS class_b,
+  {sorted_words(_MAKER.format("bx"))} AS maker_a, {sorted_words(_MAKER.format("b_y"))} AS maker_b FROM sized),
+{lcs("SELECT 3 * label_id AS id, brand_a AS a, brand_b AS b FROM compared UNION ALL SELECT 3 * label_id + 1, class_a, class_b FROM compared UNION ALL SELECT 3 * label_id + 2, maker_a, maker_b FROM compared")},
+asked AS (SELECT label_id, cls, CAST(ex.v AS DECIMAL(28,10)) AS vx, CAST(ey.v AS DECIMAL(28,10)) AS vy FROM sized LEFT JOIN exact ex ON ex.said = read_net_contents LEFT JOIN exact ey ON ey.said = net_contents),
+offered AS (SELECT label_id, vx, vy, CAST(ml AS DECIMAL(28,10)) AS ml FROM asked JOIN sizes USING (cls)
+  UNION ALL SELECT label_id, vx, vy, CAST(4000 + 1000 * greatest(0, k) AS DECIMAL(28,10)) FROM (SELECT *, unnest([floor((vx - 4000) / 1000), floor((vx - 4000) / 1000) + 1, floor((vy - 4000) / 1000), floor((vy - 4000) / 1000) + 1]) AS k FROM asked WHERE cls = 'wine') WHERE k IS NOT NULL),
+nearest AS (SELECT label_id, arg_min(ml, {{'d': abs(ml - vx), 'ml': ml}}) FILTER (vx IS NOT NULL) AS near, arg_min(ml, {{'d': abs(ml - vy), 'ml': ml}}) AS wanted_near FROM offered GROUP BY label_id),
+details AS (SELECT label_id, filename, unnest([{_details()}], recursive := true)
+  FROM wide w JOIN (SELECT * EXCLUDE (filename) FROM sized) s USING (label_id) JOIN (SELECT label_id, vx, vy FROM asked) a USING (label_id) JOIN compared USING (label_id) LEFT JOIN nearest USING (label_id)
+  LEFT JOIN lcs b ON b.id = 3 * label_id LEFT JOIN lcs c ON c.id = 3 * label_id + 1 LEFT JOIN lcs m ON m.id = 3 * label_id + 2)
+"""

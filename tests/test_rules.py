@@ -56,7 +56,8 @@ def test_rollup_and_report(spark):
     long = checked(spark, {}, dict(read_brand_name="Blue Moon"), dict(read_net_contents="12 floz"))
     rolled = rollup.rolled_up(long, "filename")
     assert [(r["filename"], r["status"]) for r in rolled.orderBy("rank", "filename").collect()] == [("1.png", "FAIL"), ("2.png", "REVIEW"), ("0.png", "PASS")]
-    frame = report.wide(long, rolled.selectExpr("*", "filename AS order")).collect()
+    inputs = rolled.selectExpr("filename", "filename AS order", "error")
+    frame = report.wide(report.pivoted(long, inputs)).collect()
     assert len(report.COLUMNS) == 59 and len(frame[0]) == 59 and [r["Overall result"] for r in frame] == ["FAIL", "REVIEW", "PASS"]
     assert frame[2]["Checks that could not be run"] == "3 checks could not be run — Country of origin; Government warning bold text; Government warning type size"
 
