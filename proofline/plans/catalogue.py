@@ -413,6 +413,19 @@ def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.controls_of(spark.sql(_FORM)).select("page_id", "name", "value", "kind")
 
 
+_FORMS = """SELECT p_partkey AS page_id, concat('<form name=login><input name=user value=me></form><input name=stray value=1>', CASE p_partkey % 4 WHEN 0 THEN '<form name="searchCriteriaForm" action="/a.do?x=1&amp;y=2" METHOD=POST>'
+  WHEN 1 THEN '<form action="../publicSearchColasBasicProcess.do">' WHEN 2 THEN '<form name=other>' ELSE '<!-- <form name="searchCriteriaForm"> -->' END, '<input name="code" value="', p_size, '"><select name=kind multiple><option value>', p_type,
+  '<option selected value=""> none <option selected> ', p_brand, ' <b>x</b> </select><textarea name=note disabled>n</textarea>', CASE p_partkey % 3 WHEN 0 THEN '</form>' ELSE '<form name=next method=get>' END, '<input name=after value=2></form>') AS html FROM part"""
+
+
+@_query("""SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 'post' ELSE 'get' END AS method, CASE p_partkey % 4 WHEN 0 THEN '/a.do?x=1&y=2' ELSE '../publicSearchColasBasicProcess.do' END AS action,
+  CAST(unnest([0, 1, 2]) AS INTEGER) AS place, unnest(['code', 'kind', 'kind']) AS name, unnest([CAST(p_size AS VARCHAR), '', p_brand || ' x']) AS value, unnest(['text', 'select', 'select']) AS kind FROM part WHERE p_partkey % 4 < 2""")
+def search_form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the search form alone would send, among other forms and controls outside of any."""
+    synthetic.view(spark, sf_dir, "part")
+    return registry.search_controls(spark.sql(_FORMS)).drop("html")
+
+
 _LINKED = """SELECT p_partkey AS page_id, concat('<a href="viewColaDetails.do?ttbid=', lpad(p_partkey, 14, '1'), '&amp;x=1">d</a><a href=other.do>o</a><a href="viewColaDetails.do?ttbid=', lpad(p_partkey, 14, '1'), '">again</a><img src="',
   CASE p_partkey % 4 WHEN 0 THEN '../pub/' WHEN 1 THEN '/colas/pub/' WHEN 2 THEN '//registry.example/colas/pub/' ELSE 'https://other.example/colas/pub/' END, 'publicViewAttachment.do?filename=f', p_size, '&amp;filetype=l">') AS html FROM part"""
 

@@ -89,6 +89,31 @@ def test_registry_page(spark):
     assert links == {1: (["viewColaDetails.do?ttbid=12345678901234"], []), 2: ([], ["i.png"]), 3: ([], [])}
 
 
+FORM = """<form name=a><input name=no></form><FORM Name='searchCriteriaForm' action="x.do?a=1&amp;b=2">
+<input name=plain value="a &lt; b"><input value=unnamed><input name=off disabled><input type=SUBMIT name=go value=1><input type=radio name=r value=1><input type=radio name=r value=2 checked>
+<input type=checkbox name=c checked><select name=one><option value=1>x<option>&nbsp; two <i>words</i> </select><select name=two><option value=1>x<option selected value>y</select>
+<select name=many multiple><option selected>p<option>q<option selected value=''>r</select><select name=none></select><select disabled name=d><option>1</select><textarea name=t> u<b>v</b></textarea></form><input name=after value=1>"""
+
+
+def test_search_form(spark):
+    ship(spark)
+    pages = spark.createDataFrame([(1, FORM), (2, "<form name=other><input name=x></form>"), (3, None), (4, "<form action='/p/publicSearchColasBasicProcess.do' method=Post><input name=q><form name=other><input name=z>")], "id long, html string")
+    found = registry.search_controls(pages).orderBy("id", "place").collect()
+    assert [(r["name"], r["value"], r["kind"]) for r in found if r["id"] == 1] == [
+        ("plain", "a < b", "text"), ("r", "2", "radio"), ("c", "on", "checkbox"), ("one", "1", "select"), ("two", "y", "select"), ("many", "p", "select"), ("many", "", "select"), ("t", " uv", "textarea"),
+    ]
+    assert {(r["method"], r["action"]) for r in found if r["id"] == 1} == {("get", "x.do?a=1&b=2")}
+    assert [(r["id"], r["method"], r["name"]) for r in found if r["id"] > 1] == [(4, "post", "q")]
+    assert {r["id"]: r["method"] for r in registry.search_forms(pages).collect()} == {1: "get", 2: None, 3: None, 4: "post"}
+    assert registry.controls_of(pages.where("id = 1")).count() == 10
+
+
+def test_a_page_names_its_attributes_once(spark):
+    """Each tag's attributes are extracted in one place of the plan for each kind of tag."""
+    plan = registry.controls_of(spark.createDataFrame([(1, "")], "id long, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4
+
+
 def test_stream(spark, tmp_path):
     from proofline.plans import synthetic
     from proofline.streaming import batches
