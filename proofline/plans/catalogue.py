@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofline import constants as K
@@ -505,8 +505,72 @@ def extracted_labels_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.rolled_up(rules.long_form(rules.evaluated(applied), "label_id"), "label_id").select("label_id", "overall", "disclosure")
 
 
-@_query()
+def _measured(pixels: str) -> str:
+    """DuckDB: the statistics of images given as pixels(path, w, h, i, v), rows after each other."""
+    tile = lambda at, n: f"list_sum([CASE WHEN {at} >= {n} // 4 * k + least(k, {n} % 4) THEN 1 ELSE 0 END FOR k IN [1, 2, 3]])"
+    mirrored = lambda i, n: f"CASE WHEN {n} = 1 THEN 0 WHEN {i} < 0 THEN -({i}) WHEN {i} >= {n} THEN 2 * {n} - 2 - ({i}) ELSE {i} END"
+    at = lambda y, x: f"px[1 + ({mirrored(y, 'h')}) * w + ({mirrored(x, 'w')})]"
+    return f"""WITH pixels AS ({pixels}), placed AS (SELECT *, i // w AS y, i % w AS x FROM pixels),
+whole AS (SELECT path, list(v ORDER BY i) AS px FROM pixels GROUP BY path),
+tiles AS (SELECT path, max(m) - min(m) AS spread FROM (SELECT path, median(v) AS m FROM placed GROUP BY path, {tile('y', 'h')}, {tile('x', 'w')}) GROUP BY path),
+laplace AS (SELECT path, count(*) AS n, sum(d) AS s1, sum(d * d) AS s2 FROM (SELECT path, CAST({at('y - 1', 'x')} + {at('y + 1', 'x')} + {at('y', 'x - 1')} + {at('y', 'x + 1')} - 4 * v AS BIGINT) AS d FROM placed JOIN whole USING (path)) GROUP BY path),
+measured AS (SELECT path, any_value(w) AS width, any_value(h) AS height, any_value((CAST(n AS DOUBLE) * s2 - CAST(s1 AS DOUBLE) * s1) / (CAST(n AS DOUBLE) * n)) AS blur_variance, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS contrast_range,
+  count(*) FILTER (v >= 250) / count(*) AS glare_fraction, any_value(spread) AS illumination_spread FROM placed JOIN laplace USING (path) JOIN tiles USING (path) GROUP BY path)
+SELECT path, CAST(width AS INTEGER) AS width, CAST(height AS INTEGER) AS height, blur_variance, CAST(contrast_range AS DOUBLE) AS contrast_range, CAST(glare_fraction AS DOUBLE) AS glare_fraction, CAST(illumination_spread AS DOUBLE) AS illumination_spread,
+  blur_variance < 80 AS is_blurry, contrast_range < 80 OR illumination_spread > 40 OR glare_fraction BETWEEN 0.02 AND 0.45 AS needs_contrast, glare_fraction BETWEEN 0.02 AND 0.45 AS has_glare, least(width, height) < 736 AS needs_upscale, greatest(width, height) > 1400 AS needs_downscale,
+  CAST(CASE WHEN greatest(width, height) > 1400 THEN 1400 / greatest(width, height) WHEN least(width, height) < 736 THEN least(2.0, 736 / least(width, height), 1400 / greatest(width, height)) ELSE 1 END AS DOUBLE) AS scale FROM measured"""
+
+
+_HEX = "instr('0123456789abcdef', substring(x, CAST(2 * i + {} AS BIGINT), 1)) - 1"
+_PIXEL = f"16 * ({_HEX.format(1)}) + {_HEX.format(2)}"
+
+
+@_query(_measured(f"SELECT path, 16 AS w, 16 AS h, i, {_PIXEL} AS v FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, {' || '.join(f"sha256(o_orderkey || '{i}')" for i in range(8))} AS x, unnest(range(256)) AS i FROM orders)"))
 def image_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grey test images made from all orders, with the gates that they pass."""
     made = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("nChannels"), F.unhex(F.concat(*(F.sha2(F.concat("o_orderkey", F.lit(i)), 256) for i in range(8)))).alias("data"))
     return images.quality(made)
+
+
+_BYTE = "16 * (instr('0123456789ABCDEF', substring(x, CAST(6 * i + {0} AS BIGINT), 1)) - 1) + instr('0123456789ABCDEF', substring(x, CAST(6 * i + {0} + 1 AS BIGINT), 1)) - 1"
+
+
+@_query(_measured(f"""SELECT path, 7 AS w, h, i, (1868 * ({_BYTE.format(1)}) + 9617 * ({_BYTE.format(3)}) + 4899 * ({_BYTE.format(5)}) + 8192) >> 14 AS v
+FROM (SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS path, strlen(text) // 21 AS h, unnest(range(strlen(text) // 21 * 7)) AS i, hex(text) AS x FROM conversations)"""))
+def text_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of all turns seen as colour images of seven pixels across; what doesn't fill a row is left over."""
+    data = F.col("text").cast("binary")
+    made = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("path"), F.floor(F.octet_length("text") / 21).cast("int").alias("height"), F.lit(7).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    return images.quality(made)
+
+
+_SIZED = "SELECT p_partkey AS image_id, p_partkey % 9 AS kind, CAST(1 + (p_partkey * 7919 + p_size) % 15000 AS BIGINT) AS width, CAST(1 + (p_partkey * 104729) % 12000 AS BIGINT) AS height FROM part"
+
+
+def _headers() -> Column:
+    """Header bytes for each kind of file."""
+    big = lambda c, n: F.lpad(F.hex(c), 2 * n, "0")
+    little = lambda c, n: F.concat(*(F.substring(big(c, n), 2 * (n - k) - 1, 2) for k in range(n)))
+    w, h = F.col("width"), F.col("height")
+    said = lambda *parts: F.unhex(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    thumbnail = "FFE1000C" + "FFC000080101" + "0000" * 2  # a frame header inside a segment is none
+    return (
+        F.when(F.col("kind") == 0, said("89504E470D0A1A0A0000000D49484452", big(w, 4), big(h, 4), "0802000000"))
+        .when(F.col("kind") == 1, said("FFD8FFE000104A46494600010100000100010000", thumbnail, "FFC20011", "08", big(h, 2), big(w, 2), "03011100"))
+        .when(F.col("kind") == 2, said("474946383961", little(w, 2), little(h, 2), "F70000"))
+        .when(F.col("kind") == 3, said("424D", "00" * 12, "28000000", little(w, 4), little(F.lit(2**32) - h, 4), "01001800"))
+        .when(F.col("kind") == 4, said("52494646", "00" * 4, "57454250", "56503858", "0A000000", "00000000", little(w - 1, 3), little(h - 1, 3)))
+        .when(F.col("kind") == 5, said("4D4D002A", "00000008", "0002", "01000003", "00000001", big(w, 2), "0000", "01010004", "00000001", big(h, 4)))
+        .when(F.col("kind") == 6, said("89504E470D0A1A0A0000000D49484452", big(w, 4)))
+        .when(F.col("kind") == 7, F.encode(F.lit("no image"), "UTF-8"))
+    )
+
+
+@_query(f"""SELECT image_id, CASE kind WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'gif' WHEN 3 THEN 'bmp' WHEN 4 THEN 'webp' WHEN 5 THEN 'tiff' WHEN 6 THEN 'png' END AS format, CASE WHEN kind < 6 THEN width END AS width, CASE WHEN kind < 6 THEN height END AS height,
+  CASE WHEN kind = 8 THEN '{images.NO_IMAGE}' WHEN kind > 5 THEN '{images.UNDECODABLE}' WHEN width * height > 80000000 THEN '{images.TOO_LARGE}' END AS error FROM ({_SIZED})""")
+def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format, size and error of files made from all parts, by their headers alone."""
+    synthetic.view(spark, sf_dir, "part")
+    found = images.guarded(spark.sql(_SIZED).select("image_id", "kind", _headers().alias("content")))
+    seen = lambda c: F.when(F.col("kind") < 6, F.col(c)).alias(c)  # noqa: E731  a header that breaks off says half of its size
+    return found.select("image_id", "format", seen("width"), seen("height"), "error")

@@ -1,7 +1,8 @@
-"""Uploaded images: the binary file source, header facts, and quality statistics on decoded pixels.
+"""Uploaded images: the binary file source, what their headers say, and quality statistics on decoded pixels.
 
-Spark's image source decodes PNG, JPEG, BMP and GIF on the JVM; perspective correction, deskewing and text recognition need libraries
-that are not installed here and stay an interface: a reader is any callable from image bytes to blocks.
+A file's format and size are read from its first bytes by binary expressions, so that an image too large to decode is an error row before anything decodes it.
+Statistics are expressions over the pixels as an array. Spark's image source decodes PNG, JPEG, BMP and GIF on the JVM; perspective correction, deskewing and text recognition need
+libraries that are not installed here and stay an interface: a decoder is any callable from image bytes to pixels, a reader one from image bytes to blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofline.functions import text as T
+
 KINDS = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff", "heic", "heif")
 #: Their extensions in either case.
 PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in kind) for kind in KINDS) + "}"
@@ -21,7 +24,10 @@ ANALYSIS_SIDE, MOST_PIXELS = 1000, 80_000_000
 BLUR, CONTRAST, SPREAD, GLARE_FROM, GLARE = 80.0, 80.0, 40.0, 250, (0.02, 0.45)
 TARGET_SIDE, MOST_SIDE, MOST_UPSCALE = 736, 1400, 2.0
 BLOCKS = "label_id long, position int, text string, bbox array<struct<x:double,y:double>>, confidence double, width double, height double"
-QUALITY = "path string, width int, height int, blur_variance double, contrast_range double, glare_fraction double, illumination_spread double"
+PIXELS = "path string, height int, width int, nChannels int, data binary, error string"
+#: Segments of a JPEG file before its frame header that are looked at; each holds up to 64 KB. A file with more of them is taken for undecodable.
+SEGMENTS = 256
+NO_IMAGE, UNDECODABLE, TOO_LARGE = "image_bytes must contain an encoded image", "image_bytes could not be decoded", "image_bytes describes an image too large to decode"
 
 
 def uploads(spark: SparkSession, folder: str, pattern: str = PATTERN) -> DataFrame:
@@ -35,40 +41,232 @@ def decoded(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(folder).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
-def statistics(pixels: np.ndarray) -> tuple[float, float, float, float]:
-    """Sharpness (variance of the Laplacian), contrast (1st to 99th percentile), share of glare, spread of 4 x 4 tile medians of a grey image."""
-    step = max(1, -(-max(pixels.shape) // ANALYSIS_SIDE))
-    grey = pixels[::step, ::step].astype(np.float64)
-    padded = np.pad(grey, 1, mode="reflect") if min(grey.shape) > 1 else np.pad(grey, 1, mode="edge")
-    laplacian = padded[:-2, 1:-1] + padded[2:, 1:-1] + padded[1:-1, :-2] + padded[1:-1, 2:] - 4 * grey
-    low, high = np.percentile(grey, [1, 99])
-    medians = [np.median(t) for row in np.array_split(grey, 4) for t in np.array_split(row, 4, axis=1) if t.size]
-    return float(laplacian.var()), float(high - low), float((grey >= GLARE_FROM).mean()), float(np.ptp(medians))
+# ---- headers ----
 
 
-def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
-    """Luminance of BGR(A) or grey rows."""
-    x = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-    return x[..., 0] if channels == 1 else np.rint(x[..., 0] * 0.114 + x[..., 1] * 0.587 + x[..., 2] * 0.299).astype(np.uint8)
+def _number(data: Column, at: Column | int, length: int, little: bool = False) -> Column:
+    """The unsigned number in `length` bytes from a place (from 0)."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    byte = lambda i: F.conv(F.hex(F.substring(data, at + i + 1, F.lit(1))), 16, 10).cast("long")
+    places = range(length) if little else range(length - 1, -1, -1)
+    return sum((byte(i) * 256**k for k, i in enumerate(places)), F.lit(0).cast("long"))
 
 
-def quality(images: DataFrame) -> DataFrame:
-    """Statistics of decoded images, and which corrections they call for."""
+def _is(data: Column, at: int, magic: bytes) -> Column:
+    return F.substring(data, F.lit(at + 1), F.lit(len(magic))) == F.lit(magic)
+
+
+def _size(width: Column, height: Column) -> Column:
+    return F.struct(width.cast("long").alias("width"), height.cast("long").alias("height"))
+
+
+def _jpeg(data: Column) -> Column:
+    """Walks from segment to segment up to the first frame header. Fill bytes before a marker count as segments of their own."""
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(2).cast("long").alias("at"), none.alias("width"), none.alias("height"))
+
+    def step(state: Column, _: Column) -> Column:
+        marker = _number(data, state["at"] + 1, 1)
+        frame = marker.between(0xC0, 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
+        alone = marker.between(0xD0, 0xD7) | (marker == 0x01)
+        further = F.when(marker == 0xFF, state["at"] + 1).when(alone, state["at"] + 2).otherwise(state["at"] + 2 + _number(data, state["at"] + 2, 2))
+        found = F.struct(none.alias("at"), _number(data, state["at"] + 7, 2).alias("width"), _number(data, state["at"] + 5, 2).alias("height"))
+        ended = (_number(data, state["at"], 1) != 0xFF) | marker.isin(0xD9, 0xDA) | (state["at"] + 4 > F.octet_length(data))
+        moved = F.struct(further.alias("at"), none.alias("width"), none.alias("height"))
+        lost = F.struct(none.alias("at"), none.alias("width"), none.alias("height"))
+        return F.when(state["at"].isNull(), state).when(frame, found).when(F.coalesce(ended, F.lit(True)), lost).otherwise(moved)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), start, step)
+    return T.named(walked, lambda s: _size(s["width"], s["height"]))
+
+
+def _tiff(data: Column, little: bool) -> Column:
+    """The first directory's entries for width and height; a short or a long number."""
+    first = _number(data, 4, 4, little)
+
+    def sized(first: Column) -> Column:
+        count = _number(data, first, 2, little)
+        entries = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: first + 2 + i * 12)
+
+        def value(tag: int) -> Column:
+            own = F.filter(entries, lambda at: _number(data, at, 2, little) == tag)
+            return T.named(F.get(own, F.lit(0)), lambda at: F.when(_number(data, at + 2, 2, little) == 3, _number(data, at + 8, 2, little)).otherwise(_number(data, at + 8, 4, little)))
+
+        return _size(value(256), value(257))
+
+    return T.named(first, sized)
+
+
+def _webp(data: Column) -> Column:
+    bits = _number(data, 21, 4, True)
+    return (
+        F.when(_is(data, 12, b"VP8X"), _size(_number(data, 24, 3, True) + 1, _number(data, 27, 3, True) + 1))
+        .when(_is(data, 12, b"VP8L"), _size(bits % 16384 + 1, F.floor(bits / 16384) % 16384 + 1))
+        .when(_is(data, 12, b"VP8 "), _size(_number(data, 26, 2, True) % 16384, _number(data, 28, 2, True) % 16384))
+    )
+
+
+def _bmp(data: Column) -> Column:
+    signed = lambda v: F.when(v >= 2**31, 2**32 - v).otherwise(v)  # noqa: E731  rows from the top down have a negative height
+    new = _size(_number(data, 18, 4, True), signed(_number(data, 22, 4, True)))
+    return F.when(_number(data, 14, 4, True) == 12, _size(_number(data, 18, 2, True), _number(data, 20, 2, True))).otherwise(new)
+
+
+def header(data: Column) -> Column:
+    """struct(format, width, height) from the bytes before any pixel; null for what is none of these formats, null sizes where the header breaks off."""
+    made = lambda name, size: T.named(size, lambda x: F.struct(F.lit(name).alias("format"), x["width"].alias("width"), x["height"].alias("height")))
+    return (
+        F.when(_is(data, 0, b"\x89PNG\r\n\x1a\n") & _is(data, 12, b"IHDR"), made("png", _size(_number(data, 16, 4), _number(data, 20, 4))))
+        .when(_is(data, 0, b"\xff\xd8\xff"), made("jpeg", _jpeg(data)))
+        .when(_is(data, 0, b"GIF87a") | _is(data, 0, b"GIF89a"), made("gif", _size(_number(data, 6, 2, True), _number(data, 8, 2, True))))
+        .when(_is(data, 0, b"BM"), made("bmp", _bmp(data)))
+        .when(_is(data, 0, b"RIFF") & _is(data, 8, b"WEBP"), made("webp", _webp(data)))
+        .when(_is(data, 0, b"II*\x00"), made("tiff", _tiff(data, True)))
+        .when(_is(data, 0, b"MM\x00*"), made("tiff", _tiff(data, False)))
+    )
+
+
+def guarded(files: DataFrame) -> DataFrame:
+    """files (content, ...) with format, width, height and error: why an image must not be decoded, or null. Only headers are looked at."""
+    found = files.withColumn("_h", header(F.col("content")))
+    width, height = F.col("_h.width"), F.col("_h.height")
+    error = (
+        F.when(F.col("content").isNull() | (F.octet_length("content") == 0), NO_IMAGE).when(width * height > MOST_PIXELS, TOO_LARGE)
+        .when(F.col("_h").isNull() | ~F.coalesce((width > 0) & (height > 0), F.lit(False)), UNDECODABLE)
+    )
+    return found.select(*(c for c in files.columns), F.col("_h.format").alias("format"), width.alias("width"), height.alias("height"), error.alias("error"))
+
+
+def decode(files: DataFrame, decoder: Callable[[bytes], tuple[int, int, int, bytes]]) -> DataFrame:
+    """path, height, width, nChannels, data, error of files (path, content) by a pluggable decoder: bytes -> (height, width, channels, BGR(A) or grey rows).
+
+    What the size guard refuses never reaches the decoder; its failures are error rows. Alpha is laid on white.
+    """
 
     def batches(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in source:
-            rows = [(r.path, r.width, r.height, *statistics(grey(r.data, r.height, r.width, r.nChannels))) for r in batch.itertuples()]
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "blur_variance", "contrast_range", "glare_fraction", "illumination_spread"])
+            rows = []
+            for r in batch.itertuples():
+                try:
+                    made = (*opaque(*decoder(r.content)), None) if r.error is None else (None, None, None, None, r.error)
+                except Exception:  # whatever a foreign decoder raises, the batch goes on
+                    made = None, None, None, None, UNDECODABLE
+                rows.append((r.path, *made))
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "nChannels", "data", "error"]).astype({"height": "Int32", "width": "Int32", "nChannels": "Int32"})
+
+    checked = guarded(files).select("path", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
+    return checked.mapInPandas(batches, PIXELS)
+
 
-    found = images.where("height > 0").mapInPandas(batches, QUALITY)
-    return found.withColumns(gates())
+def opaque(height: int, width: int, channels: int, data: bytes) -> tuple[int, int, int, bytes]:
+    """Rows without alpha: BGRA and grey with alpha are laid on white."""
+    if channels not in (2, 4):
+        return height, width, channels, data
+    x = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.uint32)
+    alpha = x[..., -1:]
+    laid = (x[..., :-1] * alpha + 255 * (255 - alpha) + 127) // 255
+    return height, width, channels - 1, laid.astype(np.uint8).tobytes()
+
+
+# ---- statistics ----
+
+
+def _bytes(data: Column) -> Column:
+    """Bytes as an array of numbers, in one pass: each is a character of Latin-1."""
+    return F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), F.ascii)
+
+
+def _grid(height: Column, width: Column, row: Callable[[Column], Column], value: Callable[[Column, Column, Column], Column]) -> Column:
+    """value(row's own, y, x) of every place, rows after each other; row(y) is computed once a row."""
+    xs = lambda own, y: F.transform(F.sequence(F.lit(0), width - 1), lambda x: value(own, y, x))
+    return F.flatten(F.transform(F.sequence(F.lit(0), height - 1), lambda y: T.named(row(y), lambda own: xs(own, y))))
+
+
+def grey(data: Column, height: Column, width: Column, channels: Column, step: Column) -> Column:
+    """Luminance of BGR(A) or grey rows as an array of numbers from 0 to 255, rows after each other; every step-th pixel of every step-th row."""
+
+    def pixels(flat: Column) -> Column:
+        def one(first: Column, _: Column, x: Column) -> Column:
+            at = first + x * step * channels
+            # Fixed-point weights of 0.114, 0.587 and 0.299, rounded.
+            return T.named(at, lambda at: F.when(channels < 3, F.get(flat, at)).otherwise(F.shiftright(F.get(flat, at) * 1868 + F.get(flat, at + 1) * 9617 + F.get(flat, at + 2) * 4899 + 8192, 14)))
+
+        return _grid(_sampled(height, step), _sampled(width, step), lambda y: y * step * width * channels, one)
+
+    return T.named(_bytes(data), pixels)
+
+
+def _sampled(side: Column, step: Column) -> Column:
+    return F.ceil(side / step).cast("int")
+
+
+def sharpness(pixels: Column, height: Column, width: Column) -> Column:
+    """Variance of the Laplacian, from exact sums. What lies beyond an edge mirrors what lies inside; a single line is its own neighbour."""
+    before = lambda i, n: F.least(F.abs(i - 1), n - 1)
+    after = lambda i, n: F.greatest(n - 1 - F.abs(n - 2 - i), F.lit(0))
+    rows = lambda y: F.struct((before(y, height) * width).alias("up"), (y * width).alias("at"), (after(y, height) * width).alias("down"))
+    each = lambda r, _, x: F.get(pixels, r["up"] + x) + F.get(pixels, r["down"] + x) + F.get(pixels, r["at"] + before(x, width)) + F.get(pixels, r["at"] + after(x, width)) - 4 * F.get(pixels, r["at"] + x)
+
+    def variance(values: Column) -> Column:
+        n = F.size(values).cast("double")
+        total = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+        squares = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v)
+        return T.named(F.struct(n.alias("n"), total.alias("t"), squares.alias("s")), lambda x: (x["n"] * x["s"] - x["t"].cast("double") * x["t"]) / (x["n"] * x["n"]))
+
+    return T.named(_grid(height, width, rows, each), variance)
+
+
+def _ranked(ordered: Column, first: Column, n: Column, q: float) -> Column:
+    """The quantile, linear between two ranks, of n sorted values from a place on."""
+    at = (n - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, first + low), F.get(ordered, first + F.least(low + 1, n - 1))
+    return a + (b - a) * (at - low)
+
+
+def contrast(ordered: Column) -> Column:
+    """From the 1st to the 99th percentile of sorted pixels."""
+    n = F.size(ordered)
+    return _ranked(ordered, F.lit(0), n, 0.99) - _ranked(ordered, F.lit(0), n, 0.01)
+
+
+def spread(pixels: Column, height: Column, width: Column, parts: int = 4) -> Column:
+    """Spread of the medians of 4 x 4 tiles; earlier tiles take what is left over. One sort by tile and value puts every tile's median at a known place."""
+    edge = lambda k, n: F.floor(n / parts).cast("int") * k + F.least(F.lit(k), n % parts)
+    tile = lambda i, n: sum(((i >= edge(k, n)).cast("int") for k in range(1, parts)), F.lit(0))
+    columns = F.transform(F.sequence(F.lit(0), width - 1), lambda x: tile(x, width) * 256)
+    row = lambda y: F.struct((y * width).alias("at"), (tile(y, height) * parts * 256).alias("key"))
+    keyed = T.named(columns, lambda cs: _grid(height, width, row, lambda r, _, x: r["key"] + F.get(cs, x) + F.get(pixels, r["at"] + x)))
+
+    def medians(ordered: Column) -> Column:
+        sides = lambda n: F.array(*(edge(k + 1, n) - edge(k, n) for k in range(parts)))
+        sizes = T.named(sides(width), lambda ws: F.flatten(F.transform(sides(height), lambda h: F.transform(ws, lambda w: h * w))))
+        # Each tile's first place: the pixels of all tiles before it.
+        firsts = T.named(sizes, lambda ns: F.transform(ns, lambda n, k: F.struct(n.alias("n"), F.aggregate(F.slice(ns, F.lit(1), k), F.lit(0), lambda a, m: a + m).alias("first"), (k * 256).alias("key"))))
+        return F.transform(F.filter(firsts, lambda t: t["n"] > 0), lambda t: _ranked(ordered, t["first"], t["n"], 0.5) - t["key"])
+
+    return T.named(T.named(F.sort_array(keyed), medians), lambda m: F.array_max(m) - F.array_min(m))
+
+
+def quality(images: DataFrame) -> DataFrame:
+    """path, width, height, statistics of decoded images (path, height, width, nChannels, data), and which corrections they call for. Images of height 0 or less are left out."""
+    step = F.greatest(F.lit(1), F.ceil(F.greatest("height", "width") / ANALYSIS_SIDE)).cast("int")
+    some = images.where("height > 0 AND width > 0").withColumn("_step", step)
+    pixels = grey(F.col("data"), F.col("height"), F.col("width"), F.col("nChannels"), F.col("_step"))
+    found = some.select("path", "width", "height", pixels.alias("_p"), _sampled(F.col("height"), F.col("_step")).alias("_h"), _sampled(F.col("width"), F.col("_step")).alias("_w"))
+    found = found.withColumn("_sorted", F.sort_array("_p"))
+    measures = {
+        "blur_variance": sharpness(F.col("_p"), F.col("_h"), F.col("_w")), "contrast_range": contrast(F.col("_sorted")).cast("double"),
+        "glare_fraction": F.size(F.filter("_p", lambda v: v >= GLARE_FROM)) / F.size("_p"), "illumination_spread": spread(F.col("_p"), F.col("_h"), F.col("_w")).cast("double"),
+    }
+    return found.select("path", "width", "height", *(v.alias(k) for k, v in measures.items())).withColumns(gates())
 
 
 def gates() -> dict[str, Column]:
     side, long_side = F.least("width", "height"), F.greatest("width", "height")
     return {
         "is_blurry": F.col("blur_variance") < BLUR,
-        "needs_contrast": (F.col("contrast_range") < CONTRAST) | (F.col("illumination_spread") > SPREAD),
+        "needs_contrast": (F.col("contrast_range") < CONTRAST) | (F.col("illumination_spread") > SPREAD) | F.col("glare_fraction").between(*GLARE),
         "has_glare": F.col("glare_fraction").between(*GLARE),
         "needs_upscale": side < TARGET_SIDE,
         "needs_downscale": long_side > MOST_SIDE,

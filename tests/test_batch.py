@@ -126,14 +126,6 @@ def test_stream(spark, tmp_path):
     assert sum(seen) == 20 * 11 == spark.read.parquet(str(tmp_path / "out")).count()
 
 
-def test_image_statistics():
-    import numpy as np
-
-    blur, contrast, glare, spread = images.statistics(np.full((32, 32), 255, np.uint8))
-    assert (blur, contrast, glare, spread) == (0, 0, 1, 0)
-    assert images.statistics((np.indices((32, 32)).sum(0) % 2 * 255).astype(np.uint8))[0] > images.BLUR
-
-
 def test_image_quality_measures_every_order(spark):
     folder = "/root/testdata/sf0.001"
     found = catalogue.image_quality(ship(spark), folder)
