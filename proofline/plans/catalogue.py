@@ -225,10 +225,28 @@ def brand_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.join(other, "p_partkey", "left").select("p_partkey", F.round(T.token_sort_ratio(F.col("p_name"), F.col("other")), 6).alias("ratio"))
 
 
-@_query()
+_REPAIRED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])[1I]([a-z])', '\\1l\\2', 'g'), '([A-Za-z])-[ \\t]*\\r?\\n[ \\t]*([A-Za-z])', '\\1\\2', 'g'), '\\([Il]\\)', '(1)', 'g'), '\\s+', ' ', 'g'))"
+
+
+_TURNS = "SELECT {'conv_id': conv_id, 'turn': turn} AS k, " + _REPAIRED + " AS t FROM conversations"
+
+
+@_query(f"SELECT id.conv_id AS conv_id, id.turn AS turn, difference FROM ({synthetic.differences(_TURNS, 'k')})")
 def warning_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.warning(F.col("text")).alias("t"))
-    return said.select("conv_id", "turn", T.word_level_diff(F.lit(K.WARNING), F.col("t")).alias("difference"))
+    return said.select("conv_id", "turn", T.word_level_diff(K.WARNING, F.col("t")).alias("difference"))
+
+
+_FIRST, _SECOND = K.WARNING[: K.WARNING.index(" (2)")], K.WARNING[K.WARNING.index("(2)") :]
+_DEVIATING = f"""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '{K.WARNING}' WHEN 1 THEN replace('{K.WARNING}', ' women', '') WHEN 2 THEN concat('{K.WARNING} ', p_name) WHEN 3 THEN replace('{K.WARNING}', ',', ' , the') WHEN 4 THEN '{_SECOND} {_FIRST}'
+  WHEN 5 THEN replace('{K.WARNING}', 'the', p_brand) WHEN 6 THEN replace('{K.WARNING}', 'of birth defects', 'of of birth birth defects of alcoholic beverages') ELSE concat(p_type, ' of the (1) (2), ', p_name, ' the risk, of. ') END AS t FROM part"""
+
+
+@_query(f"SELECT id AS p_partkey, difference FROM ({synthetic.differences(_DEVIATING, 'p_partkey')})")
+def warning_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings with words lost, added, moved, repeated and replaced."""
+    synthetic.view(spark, sf_dir, "part")
+    return spark.sql(_DEVIATING).select("p_partkey", T.word_level_diff(K.WARNING, F.trim("t")).alias("difference"))
 
 
 _DONE = "SELECT event_id, CAST(event_id % 40 AS INTEGER) AS done, 40 AS total, CAST(value AS DOUBLE) AS seconds FROM events"
@@ -450,8 +468,6 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.records(spark.sql(_DETAIL)).select("page_id", "brand_name", "class_type", "origin_country", "bottler", F.col("error").isNotNull().alias("refused"))
 
 
-_FIRST, _SECOND = K.WARNING[: K.WARNING.index(" (2)")], K.WARNING[K.WARNING.index("(2)") :]
-
 #: Labels laid out as text blocks: the brand, tallest, in two blocks side by side, a second volume on some, the warning on two lines.
 _PLACED = f"""
 SELECT label_id, 0 AS position, split_part(brand_name, ' ', 1) AS text, 20 AS x, 20 AS y, 60 AS h FROM ({synthetic.LABELS})

@@ -117,16 +117,36 @@ def sorted_words(text: str) -> str:
     return f"array_to_string(list_sort(list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')), ' ')"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def differences(texts: str, key: str) -> str:
+    """DuckDB: how the words of texts (key, t) differ from the statutory warning, found range by range: the longest block, then both sides of it."""
+    tokens = "regexp_extract_all({}, '[A-Za-z0-9]+|[^\\pL\\pN_\\s]')"
+    best = "list_sort(list_transform(list_filter(ends, lambda e: e.i >= al AND e.i < ah AND e.j >= bl AND e.j < bh), lambda e: {'n': least(e.n, e.i - al + 1, e.j - bl + 1), 'i': -e.i, 'j': -e.j}), 'DESC')[1]"
+    return f"""WITH RECURSIVE texts AS ({texts}), a AS (SELECT {tokens.format(_text(K.WARNING))} AS ws), b AS (SELECT {key} AS id, t, {tokens.format("t")} AS ws FROM texts),
+pairs AS (SELECT id, i, j FROM (SELECT unnest(ws) AS w, unnest(range(len(ws))) AS i FROM a) JOIN (SELECT id, unnest(ws) AS w, unnest(range(len(ws))) AS j FROM b) USING (w)),
+runs AS (SELECT id, i, j, row_number() OVER (PARTITION BY id, i - j, island ORDER BY i) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS island FROM pairs)),
+ended AS (SELECT id, list({{'i': i, 'j': j, 'n': n}}) AS ends FROM runs GROUP BY id),
+walked AS (
+  SELECT id, al, ah, bl, bh, {best} AS m FROM (SELECT id, CAST(0 AS BIGINT) AS al, CAST(len(a.ws) AS BIGINT) AS ah, CAST(0 AS BIGINT) AS bl, CAST(len(b.ws) AS BIGINT) AS bh FROM b, a) JOIN ended USING (id)
+  UNION ALL
+  SELECT id, al, ah, bl, bh, {best} FROM (SELECT id, unnest([{{'al': al, 'ah': 1 - m.i - m.n, 'bl': bl, 'bh': 1 - m.j - m.n}}, {{'al': 1 - m.i, 'ah': ah, 'bl': 1 - m.j, 'bh': bh}}], recursive := true) FROM walked WHERE m IS NOT NULL) JOIN ended USING (id) WHERE al < ah AND bl < bh
+),
+blocks AS (SELECT id, 1 - m.i - m.n AS i, 1 - m.j - m.n AS j, m.n AS n FROM walked WHERE m IS NOT NULL UNION ALL SELECT id, len(a.ws), len(b.ws), 0 FROM b, a),
+gaps AS (SELECT id, i, j, coalesce(lag(i + n) OVER w, 0) AS pi, coalesce(lag(j + n) OVER w, 0) AS pj FROM blocks WINDOW w AS (PARTITION BY id ORDER BY i, j)),
+told AS (SELECT id, i, j, array_to_string(a.ws[pi + 1:i], ' ') AS old, array_to_string(b.ws[pj + 1:j], ' ') AS new, i > pi AS less, j > pj AS more FROM gaps JOIN b USING (id), a),
+said AS (SELECT id, string_agg(CASE WHEN less AND more THEN concat('replace expected [', old, '] with extracted [', new, ']') WHEN less THEN concat('missing expected [', old, ']') WHEN more THEN concat('unexpected extracted [', new, ']') END, '; ' ORDER BY i, j) AS difference FROM told GROUP BY id)
+SELECT id, CASE WHEN t = {_text(K.WARNING)} THEN '' ELSE coalesce(difference, '') END AS difference FROM b JOIN said USING (id)"""
+
+
 PLAIN = "regexp_replace(regexp_replace(CAST({} AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
 EXACT = {**VOLUMES, "25.4 fl oz": "751.1676508875", "25.36 fl oz": "749.9847097050"}
 _CFR = "CASE WHEN cls = 'distilled_spirits' THEN '27 CFR 5.203(a)' WHEN {0} >= 4000 AND {0} % 1000 = 0 THEN '27 CFR 4.72(b)' ELSE '27 CFR 4.72(a)' END"
 _RATIO = "200.0 * {0}.n / (length({1}) + length({2}))"
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
-
 def _says(check: str, kinds: dict[str, str], status: str) -> str:
     """What a check says by its status."""
     return f"CASE {status} " + " ".join(f"WHEN '{s}' THEN {_text(K.SAYS[f'{check}_{k}'])}" for s, k in kinds.items()) + " END"

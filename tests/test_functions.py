@@ -1,5 +1,9 @@
 from decimal import Decimal
 
+import difflib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,16 +50,51 @@ def test_beverage_class_longest_keyword_then_earlier_class(spark):
     assert mapped(spark, said, T.beverage_class) == ["beer", "distilled_spirits", "wine", None, None, "distilled_spirits", None]
 
 
-def test_similarity_is_indel_on_sorted_words():
-    assert T.sorted_similarity("b a", "a b") == 100
-    assert T.sorted_similarity("", "") == 100 and T.sorted_similarity("a", "") == 0
-    assert abs(T.sorted_similarity("kitten", "sitting") - 200 * 4 / 13) < 1e-9
-
-
-def test_word_differences():
-    assert T.differences("a b c", "a c d") == "missing expected [b]; unexpected extracted [d]"
-    assert T.differences("Government", "GOVERNMENT") == "replace expected [Government] with extracted [GOVERNMENT]"
-    assert T.differences("same text", "same text") == ""
+def similarity(a, b):
+    """By the table of all prefixes."""
+    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(new[-1], row[j + 1], row[j] + (x == y)))
+        row = new
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_similarity_is_indel_on_sorted_words(spark):
+    random.seed(1)
+    some = lambda sizes: "".join(random.choices("ab cdeé😀", k=random.choice(sizes)))
+    pairs = [("b a", "a b"), ("", ""), ("a", ""), (" ", "a"), ("kitten", "sitting"), ("x" * 120, "x" * 119 + "y"), *((some((3, 20, 59, 60, 61, 130, 190)), some((4, 25, 60, 120))) for _ in range(150))]
+    found = spark.createDataFrame([(i, *p) for i, p in enumerate([*pairs, (None, "a"), ("a", None)])], "i int, a string, b string").select("i", T.token_sort_ratio(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
+    assert [r["r"] for r in found[:-2]] == pytest.approx([similarity(*p) for p in pairs])
+    assert [r["r"] for r in found[-2:]] == [None, None]
+
+
+def differences(expected, found):
+    a, b, said = re.findall(K.WARNING_TOKEN, expected), re.findall(K.WARNING_TOKEN, found), []
+    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        old, new = f"[{' '.join(a[i:j])}]", f"[{' '.join(b[k:m])}]"
+        said += {"equal": [], "delete": [f"missing expected {old}"], "insert": [f"unexpected extracted {new}"], "replace": [f"replace expected {old} with extracted {new}"]}[kind]
+    return "; ".join(said)
+
+
+def test_word_differences_equal_difflibs(spark):
+    random.seed(2)
+    words = K.WARNING.split(" ")
+    texts = [K.WARNING, "", " ", ".", ", , ,", "a_b é‿x ́", " ".join(words * 3), K.WARNING.upper()]
+    for _ in range(120):
+        x = list(words)
+        for _ in range(random.randrange(6)):
+            i = random.randrange(len(x))
+            j = min(len(x), i + random.randrange(1, 9))
+            x[i:j] = random.choice(([], x[i:j] * 2, x[i:j][::-1], ["(1)", "the,"], ["ü"], random.choices(words, k=5)))
+            x = x or ["of"]
+        texts.append(" ".join(x))
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string")
+    for expected in (K.WARNING, K.WARNING_PREFIX, "a b c"):
+        found = [r["d"] for r in df.select("i", T.word_level_diff(expected, F.col("t")).alias("d")).orderBy("i").collect()]
+        assert found[:-1] == [differences(expected, t) for t in texts] and found[-1] is None
 
 
 @pytest.mark.parametrize(
