@@ -12,7 +12,7 @@ from proofline.functions import numbers as N
 from proofline.functions import text as T
 from proofline.operators import batch, layout, reconcile, rollup, rules
 from proofline.plans import report, synthetic
-from proofline.sources import images, manifest, registry
+from proofline.sources import corpus, images, manifest, registry
 from proofline.storage import place
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -468,6 +468,21 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.records(spark.sql(_DETAIL)).select("page_id", "brand_name", "class_type", "origin_country", "bottler", F.col("error").isNotNull().alias("refused"))
 
 
+@_query("""SELECT count(*) FILTER (p_partkey % 5 <> 0) AS kept, count(*) FILTER (p_partkey % 5 = 0) AS skipped, count(*) FILTER (p_partkey % 5 <> 0 AND p_partkey % 3 <> 0) AS with_origin_country FROM part""")
+def registry_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synthetic.view(spark, sf_dir, "part")
+    return corpus.summary(registry.records(spark.sql(_DETAIL)))
+
+
+@_query("""SELECT concat(p_partkey, '.jpg') AS filename, p_name AS brand_name, '' AS fanciful_name, p_type AS class_type, CASE p_partkey % 3 WHEN 0 THEN 'OREGON' ELSE 'ITALY' END AS origin_code, CASE p_partkey % 3 WHEN 0 THEN '' ELSE 'ITALY' END AS origin_country,
+  concat('Maker ', p_brand, ' / Town') AS bottler, 'https://registry.example/detail' AS source_url FROM part WHERE p_partkey % 5 <> 0""")
+def registry_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of every usable record, written together with its manifest and read back."""
+    synthetic.view(spark, sf_dir, "part")
+    corpus.write_metadata(registry.records(spark.sql(_DETAIL)), folder := place(spark, "registry"))
+    return corpus.read_metadata(spark, folder)[0]
+
+
 #: Labels laid out as text blocks: the brand, tallest, in two blocks side by side, a second volume on some, the warning on two lines.
 _PLACED = f"""
 SELECT label_id, 0 AS position, split_part(brand_name, ' ', 1) AS text, 20 AS x, 20 AS y, 60 AS h FROM ({synthetic.LABELS})
