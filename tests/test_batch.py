@@ -89,6 +89,12 @@ def test_registry_page(spark):
     assert links == {1: (["viewColaDetails.do?ttbid=12345678901234"], []), 2: ([], ["i.png"]), 3: ([], [])}
 
 
+def test_coordinates_round_by_their_binary_value(spark):
+    values = [0.35, 0.25, 0.75, 12.05, 2.675, 0.05, 0.15, 0.45, 1.0, 0.0, 99.95, 1234.55, 0.1 + 0.2, 1e6 + 0.35, *(i / 20 for i in range(200))]
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", layout.tenths(layout.F.col("v")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in found] == [round(10 * round(v, 1)) for v in values]
+
+
 FORM = """<form name=a><input name=no></form><FORM Name='searchCriteriaForm' action="x.do?a=1&amp;b=2">
 <input name=plain value="a &lt; b"><input value=unnamed><input name=off disabled><input type=SUBMIT name=go value=1><input type=radio name=r value=1><input type=radio name=r value=2 checked>
 <input type=checkbox name=c checked><select name=one><option value=1>x<option>&nbsp; two <i>words</i> </select><select name=two><option value=1>x<option selected value>y</select>
