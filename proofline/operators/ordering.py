@@ -66,7 +66,8 @@ def quantiles(samples: DataFrame, value: str, wanted: dict[str, float], *keys: s
     ranks = each.select(*keys, "name", "at", F.explode(sides).alias("s")).select(*keys, "name", "at", "s.nth", "s.side")
     found = reached(counted, keys, value, "_w", ranks, "nth")
     side = lambda k: F.max(F.when(F.col("side") == k, F.col(value)))
-    between = found.groupBy(*keys, "name", "at").agg(side(0).alias("a"), side(1).alias("b")).withColumn("v", F.col("a") + (F.col("at") - F.floor("at")) * (F.col("b") - F.col("a")))
+    part = F.col("at") - F.floor("at")
+    between = found.groupBy(*keys, "name", "at").agg(side(0).alias("a"), side(1).alias("b")).withColumn("v", F.col("a") * (1 - part) + F.col("b") * part)
     flat = between.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in wanted))
     return sizes.join(flat, list(keys)) if keys else sizes.crossJoin(flat)  # without keys both are one row
 

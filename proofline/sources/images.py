@@ -221,7 +221,7 @@ def _ranked(ordered: Column, first: Column, n: Column, q: float) -> Column:
     at = (n - 1) * F.lit(q)
     low = F.floor(at).cast("int")
     a, b = F.get(ordered, first + low), F.get(ordered, first + F.least(low + 1, n - 1))
-    return a + (b - a) * (at - low)
+    return a * (1 - (at - low)) + b * (at - low)
 
 
 def contrast(ordered: Column) -> Column:
