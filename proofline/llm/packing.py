@@ -35,6 +35,8 @@ END = 2
 BLOCK = 256 * LENGTH
 #: Pieces remembered by a Python worker, some 100 MB; most are never seen again.
 REMEMBERED = 150_000
+#: As many while packing, where a worker also holds a block of pieces, and bytes of text encoded at once.
+REMEMBERED_HERE, SLICE = 60_000, 1_000_000
 #: Relative costs of a token and of a pair of tokens of one document, as of a layer of width 1024.
 LINEAR, QUADRATIC = 1.0, 1.0 / (12 * 1024)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -43,14 +45,14 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class LibraryEncoder:
     """Ids of whole texts by the tokenizers library, for vocabularies whose tokens never cross white space."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, most: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered = Remembered(self.pieces, most=REMEMBERED)
+        self.remembered = Remembered(self.pieces, most=most)
 
     def pieces(self, new: list[str]) -> list[list[int]]:
         """Some pieces at a time, as what the library returns for each takes far more memory than its ids."""
@@ -66,9 +68,9 @@ class LibraryEncoder:
 
 
 @functools.cache
-def encoder(name: str) -> LibraryEncoder:
-    """One for each Python worker and vocabulary."""
-    return LibraryEncoder(name)
+def encoder(name: str, most: int = REMEMBERED) -> LibraryEncoder:
+    """One for each Python worker, vocabulary and number of pieces remembered."""
+    return LibraryEncoder(name, most)
 
 
 def cost(length: int) -> float:
@@ -159,14 +161,14 @@ def pack(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int = END
     def batches(source):
         packer = Packer(length, TaskContext.get().partitionId() << 40)
         for batch in source:
-            for part in row_slices(batch, "text"):
-                offsets, ids = encoder(name)(part.column("text"))
+            for part in row_slices(batch, "text", SLICE):
+                offsets, ids = encoder(name, REMEMBERED_HERE)(part.column("text"))
                 for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end))
                     packer.add(doc_id, len(own), 0, own)
                     if packer.total >= block:
                         yield packer.packed(last=False)
-        encoder(name).remembered.forget()
+        encoder(name, REMEMBERED_HERE).remembered.forget()
         yield packer.packed(last=True)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(batches), SCHEMA)
