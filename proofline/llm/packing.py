@@ -33,9 +33,9 @@ LENGTH = 4096
 END = 2
 #: Tokens packed at once: enough for even costs, few enough for a Python worker's memory.
 BLOCK = 256 * LENGTH
-#: Pieces remembered by a Python worker, some 100 MB; most are never seen again.
-REMEMBERED = 150_000
-#: As many while packing, where a worker also holds a block of pieces, and bytes of text encoded at once.
+#: Pieces remembered by a Python worker that does nothing else, some 200 MB at most; many are seen again.
+REMEMBERED = 600_000
+#: As many by default while packing, where a worker may have other operators' memory beside it, and bytes of text encoded at once; with more of them it is faster.
 REMEMBERED_HERE, SLICE = 60_000, 1_000_000
 #: Relative costs of a token and of a pair of tokens of one document, as of a layer of width 1024.
 LINEAR, QUADRATIC = 1.0, 1.0 / (12 * 1024)
@@ -155,24 +155,24 @@ class Packer:
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"])
 
 
-def pack(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int = END, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, name: str = FILE, length: int = LENGTH, end: int = END, block: int = BLOCK, remembered: int = REMEMBERED_HERE) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence, and its sequence's estimated cost."""
 
     def batches(source):
         packer = Packer(length, TaskContext.get().partitionId() << 40)
         for batch in source:
             for part in row_slices(batch, "text", SLICE):
-                offsets, ids = encoder(name, REMEMBERED_HERE)(part.column("text"))
+                offsets, ids = encoder(name, remembered)(part.column("text"))
                 for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end))
                     packer.add(doc_id, len(own), 0, own)
                     if packer.total >= block:
                         yield packer.packed(last=False)
-        encoder(name, REMEMBERED_HERE).remembered.forget()
+        encoder(name, remembered).remembered.forget()
         yield packer.packed(last=True)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(batches), SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), remembered=REMEMBERED)
