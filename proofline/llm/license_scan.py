@@ -2,9 +2,12 @@
 
 A text is lower-cased (A-Z) and cut into words; signatures are regular expressions over its words. Cheap substring tests
 decide which rules may match; only their expressions run. A detection that lies within one of its own or a higher priority is
-suppressed (of equal ones, the later rule's); `proprietary` is kept only where nothing else is found. So what says
-more, a sentence or a name with its version, is never lost to a longer phrase that says less.
-All is one map-only DataFrame expression: texts are neither shuffled nor collected, whatever their source.
+suppressed (of equal ones, the later rule's); labels that say little (`proprietary`, `gnu`) are kept only where nothing else is found. So what says
+more, a sentence or a name with its version, is never lost to a longer phrase that says less. A license has one label, however it is written: its
+identifier in lower case, without "-only" and with "-or-later" where the text says so in words or by a plus sign.
+Signs are no words; where a plus sign follows a number, or a colon or equals sign the word license, a second copy of the words
+carries marks, and the rules about such signs read that copy.
+All is one map-only DataFrame expression, linear in a text's words: texts are neither shuffled nor collected, whatever their source.
 
 Null text counts as empty: no words, no labels, score 0. Null ids and repeated rows are scanned like others; extra
 columns are ignored; an empty table gives an empty result.
@@ -12,7 +15,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,20 +28,27 @@ ORACLE_SQL = None
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: What may follow a family's name, as words of a signature.
+#: What may follow a family's name, and what may follow its version, as words of a signature.
 VERSION = "(?: version)?(?: v)?"
+LATER = " or (?:at your option )?(?:any )?later(?: versions?)?"
+
+#: Marks on words of the second copy: a plus sign after a number, and a colon or equals sign after the word license.
+PLUS, FIELD = "\ue000", "\ue001"
+
+#: Labels that say little: they stay only where no other is found.
+VAGUE = ["proprietary", "gnu"]
 
 #: Fixed values. Families of signatures: keyword, then label prefix, name expression and versions (words). One rule is built for each
-#: version, of priority 2 and weight 0.95, and one for the bare name, of priority 1 and weight 0.8.
+#: version, of priority 2 and weight 0.95, and one for the bare name, of priority 1 and weight 0.8. The first eight also come with later versions, of priority 3.
 FAMILIES = [
-    ("gnu", "gpl", "gnu general public license", ["1", "1 0", "2", "2 0", "3", "3 0"]),
-    ("gnu", "lgpl", "gnu (?:lesser|library) general public license", ["2", "2 0", "2 1", "3", "3 0"]),
-    ("gnu", "agpl", "gnu affero general public license", ["1", "3", "3 0"]),
+    ("general public", "gpl", "(?:gnu |(?<!gnu )(?<!lesser )(?<!library )(?<!affero ))general public license", ["1", "1 0", "2", "2 0", "3", "3 0"]),
+    ("general public", "lgpl", "(?:gnu )?(?:lesser|library) general public license", ["2", "2 0", "2 1", "3", "3 0"]),
+    ("affero", "agpl", "(?:gnu )?affero general public license", ["1", "3", "3 0"]),
     ("gnu", "gfdl", "gnu free documentation license", ["1 1", "1 2", "1 3"]),
-    ("gpl", "gpl", "gpl", ["1", "2", "2 0", "3", "3 0"]),
-    ("lgpl", "lgpl", "lgpl", ["2", "2 0", "2 1", "3", "3 0"]),
-    ("agpl", "agpl", "agpl", ["1", "3", "3 0"]),
-    ("gfdl", "gfdl", "gfdl", ["1 1", "1 2", "1 3"]),
+    ("gpl", "gpl", "(?:gnu )?gpl", ["1", "1 0", "2", "2 0", "3", "3 0"]),
+    ("lgpl", "lgpl", "(?:gnu )?lgpl", ["2", "2 0", "2 1", "3", "3 0"]),
+    ("agpl", "agpl", "(?:gnu )?agpl", ["1", "3", "3 0"]),
+    ("gfdl", "gfdl", "(?:gnu )?gfdl", ["1 1", "1 2", "1 3"]),
     ("apache", "apache", "apache(?: software)? license", ["1 0", "1 1", "2", "2 0"]),
     ("mozilla", "mpl", "mozilla public license", ["1 0", "1 1", "2", "2 0"]),
     ("mpl", "mpl", "mpl", ["1 0", "1 1", "2", "2 0"]),
@@ -88,14 +98,14 @@ FAMILIES = [
     ("isc license", "isc", "isc license", []),
     ("zlib", "zlib", "zlib(?: libpng)? license", []),
     ("unlicense", "unlicense", "unlicense", []),
-    ("wtfpl", "wtfpl", "wtfpl", ["1 0", "2 0"]),
+    ("wtfpl", "wtfpl", "wtfpl(?: version 2)?", []),
     ("openssl", "openssl", "openssl license", []),
     ("vim license", "vim", "vim license", []),
     ("postgresql", "postgresql", "postgresql licen[cs]e", []),
     ("beerware", "beerware", "beerware(?: license)?", []),
 ]
 
-#: Fixed values. Identifiers as they stand behind "SPDX-License-Identifier:"; the label is the identifier in lower case. Priority 3, weight 1.
+#: Fixed values. Identifiers as they stand behind "SPDX-License-Identifier:" or "license:"; the label is the identifier in lower case. Priority 3, weight 1.
 SPDX = """
 MIT MIT-0 X11 ISC Zlib Unlicense WTFPL BSL-1.0 0BSD BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-4-Clause BSD-2-Clause-Patent
 Apache-1.0 Apache-1.1 Apache-2.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-3.0
@@ -113,18 +123,12 @@ SHORT = [
     ("gplv", "gpl-1.0", "(?:gnu )?gplv1(?: 0)?"),
     ("gplv", "gpl-2.0", "(?:gnu )?gplv2(?: 0)?"),
     ("gplv", "gpl-3.0", "(?:gnu )?gplv3(?: 0)?"),
-    ("gplv", "gpl-2.0-or-later", "(?:gnu )?gplv2 or (?:later|any later version)"),
-    ("gplv", "gpl-3.0-or-later", "(?:gnu )?gplv3 or (?:later|any later version)"),
     ("gplv", "lgpl-2.0", "(?:gnu )?lgplv2(?: 0)?"),
     ("gplv", "lgpl-2.1", "(?:gnu )?lgplv2 1"),
     ("gplv", "lgpl-3.0", "(?:gnu )?lgplv3(?: 0)?"),
     ("gplv", "agpl-3.0", "(?:gnu )?agplv3(?: 0)?"),
     (" gpl2 ", "gpl-2.0", "gpl2"),
     (" gpl3 ", "gpl-3.0", "gpl3"),
-    ("gpl 2 0 only", "gpl-2.0-only", "gpl 2 0 only"),
-    ("gpl 2 0 or later", "gpl-2.0-or-later", "gpl 2 0 or later"),
-    ("gpl 3 0 only", "gpl-3.0-only", "gpl 3 0 only"),
-    ("gpl 3 0 or later", "gpl-3.0-or-later", "gpl 3 0 or later"),
     ("apache 2", "apache-2.0", "apache 2(?: 0)?"),
     ("apache v2", "apache-2.0", "apache v2(?: 0)?"),
     ("apache2", "apache-2.0", "apache2"),
@@ -188,6 +192,11 @@ TEXTS = [
     ("licensed under cc", "cc-by", "licensed under cc by"),
     ("licensed under a creative commons", "cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
     ("licensed under a creative commons", "cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("software is provided", "mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("software is provided", "isc", "the software is provided as is and the author disclaims all warranties"),
+    ("software is provided by", "bsd", "this software is provided by .{1,80} as is and any express or implied warranties"),
+    ("as is basis", "apache-2.0", "distributed on an as is basis without warranties or conditions of any kind"),
+    ("in the hope that it will be useful", "gnu", "distributed in the hope that it will be useful but without any warranty"),
     ("dedicated to the public domain", "public-domain", "dedicated to the public domain"),
     ("in the public domain", "public-domain", "(?:is|placed) in the public domain"),
 ]
@@ -196,14 +205,28 @@ TEXTS = [
 RESERVED = [("all rights reserved", "proprietary", "all rights reserved"), ("confidential and proprietary", "proprietary", "confidential and proprietary"), ("proprietary license", "proprietary", "proprietary license")]
 
 
+def _version(words: str) -> str:
+    """A version's words as in an identifier: 2 and 2 0 are both 2.0."""
+    return words.replace(" ", ".") if " " in words else f"{words}.0"
+
+
 def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, label, expression over words, priority, weight) in order: base phrases, identifiers, sentences, families by version, short forms, bare names, reserved rights."""
+    """(keyword, label, expression over words, priority, weight) in order: base phrases, signs, identifiers, sentences, families by version, short forms, bare names, reserved rights.
+    Rules whose keyword holds a mark read the marked words."""
     out = [(phrase, label, phrase, 0, 0.7) for phrase, label in BASE.items()]
-    words = lambda name: name.lower().replace("-", " ").replace(".", " ")
-    out += [("spdx license identifier", name.lower(), f"spdx license identifier {words(name)}", 3, 1.0) for name in SPDX.split()]
+    spdx = [(name.lower().replace("-", " ").replace(".", " "), name.lower().removesuffix("-only")) for name in SPDX.split()]
+    later = [(f"{name}{VERSION} v?{v}", f"{label}-{_version(v)}-or-later") for _, label, name, versions in FAMILIES[:8] for v in versions]
+    later += [(text, f"{label}-or-later") for keyword, label, text in SHORT if keyword == "gplv"]
+    gnu = [(words, label) for words, label in spdx if "gpl" in label and label[-1].isdigit()]
+    field = f"(?:spdx license identifier|licen[cs]es?){FIELD}"
+    out += [(f"{FIELD} {words}{PLUS}", f"{label}-or-later", f"{field} {words}{PLUS}", 3, 1.0) for words, label in gnu]
+    out += [(f"{FIELD} {words}", label, f"{field} {words}", 3, 1.0) for words, label in spdx]
+    out += [(PLUS, label, text + PLUS, 3, 0.95) for text, label in later]
+    out += [("spdx license identifier", label, f"spdx license identifier {words}", 3, 1.0) for words, label in spdx]
     out += [(keyword, label, text, 3, 1.0) for keyword, label, text in TEXTS]
+    out += [(" later ", label, text + LATER, 3, 0.95) for text, label in later]
     for keyword, label, name, versions in FAMILIES:
-        out += [(keyword, f"{label}-{v.replace(' ', '.')}", f"{name}{VERSION} v?{v}", 2, 0.95) for v in versions]
+        out += [(keyword, f"{label}-{_version(v)}", f"{name}{VERSION} v?{v}(?: only)?", 2, 0.95) for v in versions]
     out += [(keyword, label, text, 2, 0.9) for keyword, label, text in SHORT]
     out += [(keyword, label, name, 1, 0.8) for keyword, label, name, _ in FAMILIES]
     return out + [(keyword, label, text, 1, 0.5) for keyword, label, text in RESERVED]
@@ -213,31 +236,51 @@ def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
-def _places(words: Column, expression: str | Column) -> Column:
-    """Start and end (words from 0, end excluded) of every match, from the lengths of the text's pieces around the marked matches."""
-    expression = F.lit(expression) if isinstance(expression, str) else expression
+def _words(lower: Column) -> Column:
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+
+
+def _marked(lower: Column) -> Column:
+    """The words with marks, or nothing where there is no such sign. A mark belongs to the word before it, so places are the same."""
+    own = F.translate(lower, PLUS + FIELD, "\ue002\ue002")
+    plus = F.regexp_replace(own, r"(?<=[0-9])\+(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", PLUS)
+    both = F.regexp_replace(plus, "(?<=licen[cs]es?|identifier)[\"']?[ \\t]*[:=]", FIELD + " ")
+    found = F.when(lower.contains("+") | lower.rlike("(?:licen[cs]es?|identifier)[\"']?[ \\t]*[:=]"), _words(both))
+    return F.when(found.contains(PLUS) | found.contains(FIELD), found).otherwise("")
+
+
+def _places(words: Column, expression: Column) -> Column:
+    """Start and end (words from 0, end excluded) of every match, from the places of the words that open and close marked matches."""
     marked = F.regexp_replace(words, F.concat(F.lit("(?<= )((?:"), expression, F.lit("))(?= )")), F.lit("\u0001$1\u0002"))
-    pieces = F.split(marked, "\u0001")
-    # Each piece after the first holds a match, then what follows it; a word has one space before it.
-    sizes = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.struct(_spaces(F.substring_index(p, "\u0002", 1)).alias("own"), _spaces(p).alias("all")))
-    start = F.struct((_spaces(F.get(pieces, 0)) - 1).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    step = lambda a, x: F.struct((a["at"] + x["all"]).alias("at"), F.array_append(a["out"], F.struct(a["at"].alias("s"), (a["at"] + x["own"] + 1).alias("e"))).alias("out"))
-    return F.aggregate(sizes, start, step, lambda a: a["out"])
+
+    def of(text: Column) -> Column:
+        at = lambda mark, more: F.filter(F.transform(F.split(text, " "), lambda w, i: F.when(w.contains(mark), i + more)), lambda i: i.isNotNull())
+        pairs = F.zip_with(at("\u0001", -1), at("\u0002", 0), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
+        return F.when(text.contains("\u0001"), pairs).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+    return F.flatten(F.transform(F.array(marked), of))
+
+
+def _hits() -> Column:
+    """The rules whose keyword a text's words hold: each keyword is looked for once."""
+    grouped: dict[str, list[dict]] = {}
+    for i, (keyword, label, text, priority, weight) in enumerate(rules()):
+        grouped.setdefault(keyword, []).append({"label": label, "x": text, "p": priority, "w": weight, "i": i, "m": PLUS in keyword or FIELD in keyword})
+    groups = [{"k": k, "m": each[0]["m"], "rules": each} for k, each in grouped.items()]
+    # One literal: hundreds of expressions would be analysed again and again.
+    groups = F.from_json(F.lit(json.dumps(groups)), "array<struct<k:string,m:boolean,rules:array<struct<label:string,x:string,p:int,w:double,i:int,m:boolean>>>>")
+    hit = F.filter(groups, lambda g: F.when(g["m"], F.col("_m").contains(g["k"])).otherwise(F.col("_w").contains(g["k"])))
+    return F.flatten(F.transform(hit, lambda g: g["rules"]))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base detections (n_base, first_word, last_word, base_labels), labels, n_detections, score."""
-    table_ = rules()
     lower = F.translate(text_of(docs), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    read = docs.select("doc_id", words.alias("_w"))
+    read = docs.select("doc_id", lower.alias("_t")).select("doc_id", _words(F.col("_t")).alias("_w"), _marked(F.col("_t")).alias("_m"))
     read = read.withColumn("n_words", F.when(F.col("_w") == "  ", 0).otherwise(_spaces(F.col("_w")) - 1).cast("long"))
-    keywords = sorted({r[0] for r in table_})
-    gate = reduce(lambda a, b: a | b, [F.col("_w").contains(k) for k in keywords])
-    fixed = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(x).alias("x"), F.lit(p).alias("p"), F.lit(w).alias("w"), F.lit(i).alias("i")) for i, (k, label, x, p, w) in enumerate(table_)])
-    hit = F.filter(fixed, lambda r: F.col("_w").contains(r["k"]))
-    each = F.transform(hit, lambda r: F.transform(_places(F.col("_w"), r["x"]), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"), r["label"].alias("label"), r["w"].alias("weight"))))
-    read = read.withColumn("_d", F.when(gate, F.flatten(each)).otherwise(F.array().cast("array<struct<s:int,e:int,p:int,i:int,label:string,weight:double>>")))
+    places = lambda r: _places(F.when(r["m"], F.col("_m")).otherwise(F.col("_w")), r["x"])
+    each = F.transform(_hits(), lambda r: F.transform(places(r), lambda d: F.struct(d["s"].alias("s"), (-d["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"), r["label"].alias("label"), r["w"].alias("weight"))))
+    read = read.withColumn("_d", F.flatten(each))
     # In the order of start, length and priority a detection within an earlier one ends no later; `reach` holds how far those of each priority go.
     ordered = F.array_sort(F.filter("_d", lambda d: d["p"] < 0))
     none = F.struct(F.array(F.lit(0), F.lit(0), F.lit(0)).alias("reach"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
@@ -250,7 +293,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     read = read.withColumn("_b", F.filter("_d", lambda d: d["p"] == 0)).withColumn("_s", F.aggregate(ordered, none, kept)).withColumn("_l", F.array_distinct(F.transform("_b", lambda d: d["label"])))
     every = F.array_union("_l", F.col("_s.labels"))
-    read = read.withColumn("_a", F.when(F.size(every) > 1, F.array_remove(every, "proprietary")).otherwise(every))
+    clear = F.array_except(every, F.array(*map(F.lit, VAGUE)))
+    read = read.withColumn("_a", F.when(F.size(clear) > 0, clear).otherwise(every))
     starts = F.transform("_b", lambda d: d["s"])
     return read.select(
         "doc_id",

@@ -380,16 +380,20 @@ def test_license_base_places(docs, spark):
 
 def licenses(text):
     """Labels, number of detections and score by Python's regular expressions."""
-    joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)})))
-    found, base = [], []
+    lower, word = (text or "").translate({c: c + 32 for c in range(65, 91)}), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    joined, found, base = " ".join(re.findall(word, lower)), [], []
+    signs = re.sub(f"[{license_scan.PLUS}{license_scan.FIELD}]", "\ue002", lower)
+    signs = re.sub(r"([0-9])\+(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])", rf"\1{license_scan.PLUS}", signs)
+    signs = " ".join(re.findall(word, re.sub(r"(licen[cs]es?|identifier)[\"']?[ \t]*[:=]", rf"\1{license_scan.FIELD} ", signs)))
     for i, (keyword, label, expression, priority, weight) in enumerate(license_scan.rules()):
-        if keyword in f" {joined} ":
-            for m in re.finditer(f"(?<= )(?:{expression})(?= )", f" {joined} "):
-                (found if priority else base).append((m.start(), m.end(), priority, i, label, weight))
+        read = signs if {license_scan.PLUS, license_scan.FIELD} & set(keyword) else joined
+        if keyword in f" {read} ":
+            for m in re.finditer(f"(?<= )(?:{expression})(?= )", f" {read} "):
+                (found if priority else base).append((read[: m.start()].count(" "), read[: m.end() - 1].count(" "), priority, i, label, weight))
     inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and y[2] >= x[2] and ((y[0], y[1], y[2]) != (x[0], x[1], x[2]) or y[3] < x[3])
     kept = [x for x in found if not any(inside(x, y) for y in found)]
     labels = {x[4] for x in kept + base}
-    labels -= {"proprietary"} if len(labels) > 1 else set()
+    labels = labels - set(license_scan.VAGUE) or labels
     return ",".join(sorted(labels)), len(kept), max([0, *(x[5] for x in kept), *(0.7 for _ in base[:1])])
 
 
@@ -397,7 +401,13 @@ SAID = {
     "GNU General Public License v3.0": "gpl,gpl-3.0", "under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa-4.0", "mit": "", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
     "// SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "GPLv3": "gpl-3.0", "GPLv2 or later": "gpl-2.0-or-later", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0",
     "All rights reserved.": "proprietary", "Copyright X. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
-    "BSD-2-Clause": "bsd-2-clause", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath": "gpl-2.0-or-later",
+    "BSD-2-Clause": "bsd-2-clause", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath": "gpl-2.0-or-later", "GPL-3.0": "gpl-3.0", "GNU GPL v3": "gpl-3.0", "GPL 3": "gpl-3.0",
+    "General Public License version 2 only": "gpl-2.0", "GPL-2.0-only": "gpl-2.0", "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0", "GNU GPL version 2 or later": "gpl-2.0-or-later",
+    "GPLv2 or any later version": "gpl-2.0-or-later", "LGPL-2.1+": "lgpl-2.1-or-later", "SPDX-License-Identifier: GPL-2.0+": "gpl-2.0-or-later", "License: GPL-3.0+\n": "gpl-3.0-or-later", "GPLv3+, x": "gpl-3.0-or-later",
+    "License: MIT": "mit", '"license": "MIT",': "mit", "license = 'Apache-2.0'": "apache-2.0", "a license mit": "", "GPL 2+1": "gpl-2.0", "MIT License: yes": "mit",
+    "GNU Affero General Public License version 3": "agpl-3.0", "the Lesser General Public License": "lgpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY": "gnu",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY": "mit",
+    "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND": "apache-2.0",
 }
 
 
