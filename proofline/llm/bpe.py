@@ -39,6 +39,8 @@ MARK = "\x00"
 REMEMBERED = 600_000
 #: Entries of the compatibility table that a worker holds at once; they are found anew when needed.
 PAIRS = 1_000_000
+#: Later than any merge.
+NEVER = 2**62
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,8 +78,13 @@ class ByteBpe:
             pair = (self.rank[plain[a]], self.rank[plain[b]])
             self.joined.setdefault(pair, len(single) + k)
             self.parts.append(pair)
+        # Each token's first parts and last parts, from a byte to itself, closed by NEVER.
+        self.first, self.last = [(k, NEVER) for k in range(len(single))], [(k, NEVER) for k in range(len(single))]
+        for k, (a, b) in enumerate(self.parts[len(single) :], len(single)):
+            self.first.append((*self.first[a][:-1], k, NEVER))
+            self.last.append((*self.last[b][:-1], k, NEVER))
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.reached = reached = {t: k for t, k in self.rank.items() if k < len(single) or self._together(*self.parts[k], limit=k)}
+        self.reached = reached = {t: k for t, k in self.rank.items() if k < len(single) or self._apart(*self.parts[k], before=k)}
         self.prefix = [next((reached[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in reached), -1) for t in self.rank]
         self.automaton = ahocorasick.Automaton()
         for t, k in reached.items():
@@ -90,30 +97,30 @@ class ByteBpe:
         self.bytes = np.frombuffer(b"".join(every), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in every])])
 
-    def _together(self, a: int, b: int, limit: int = 2**62) -> bool:
-        """Whether merging the bytes of a and b anew leaves them apart: no merge across their border comes before those within."""
-        parts, joined = self.parts, self.joined
+    def _apart(self, a: int, b: int, before: int = NEVER) -> bool:
+        """Whether merging the bytes of a and b anew keeps them apart up to the merge `before`.
+
+        Merges come in the order of their ranks, so ranks are times. Until something merges across the border, a and b grow as each does
+        alone: the token left of the border passes through a's last parts (`last`), each from its own rank on, the token right of it through
+        b's first parts (`first`). A merge across applies if both its tokens still stand there at its time. Of equal merges the left one
+        goes first: one within a precedes it, one within b does not."""
+        left, right, i, j, joined = self.last[a], self.first[b], 0, 0, self.joined.get
         while True:
-            if joined.get((a, b), limit) < limit:
+            time, end_left, end_right = joined((left[i], right[j]), NEVER), left[i + 1], right[j + 1]
+            if time < before and time < end_left and time <= end_right:
                 return False
-            if a > b:
-                limit, a = a, parts[a][1]
-                if a == limit:
-                    limit, b = b + 1, parts[b][0]
-                    if b + 1 == limit:
-                        return True
+            if end_left == end_right == NEVER:
+                return True
+            if end_left <= end_right:
+                i += 1
             else:
-                limit, b = b + 1, parts[b][0]
-                if b + 1 == limit:
-                    limit, a = a, parts[a][1]
-                    if a == limit:
-                        return True
+                j += 1
 
     def _compatible(self, a: int, b: int) -> bool:
         """An entry of the compatibility table, made when first asked for."""
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        found = self.pairs[a, b] = self._together(a, b)
+        found = self.pairs[a, b] = self._apart(a, b)
         return found
 
     def word(self, word: str) -> list[int]:

@@ -188,6 +188,28 @@ def test_bpe_equals_the_library():
         assert decoded[k] == other.decode(wanted[k].ids, skip_special_tokens=False)
 
 
+def test_pairs_stay_apart_as_merging_anew_says():
+    own = bpe.ByteBpe(bpe.tokenizer_path(bpe.FILE))
+    tokens = list(own.rank)
+
+    def merged(data):
+        ranks = [own.rank[c] for c in data]
+        while len(ranks) > 1:
+            first, at = min((own.joined.get(pair, bpe.NEVER), k) for k, pair in enumerate(zip(ranks, ranks[1:], strict=False)))
+            if first == bpe.NEVER:
+                break
+            ranks[at : at + 2] = [first]
+        return ranks
+
+    random.seed(2)
+    runs = [k for k, t in enumerate(tokens) if len(set(t)) == 1]
+    pairs = [(random.randrange(len(tokens)), random.randrange(len(tokens))) for _ in range(5000)] + [(random.choice(runs), random.choice(runs)) for _ in range(5000)]
+    pairs += [(k, random.choice(runs)) for k in random.sample(range(len(tokens)), 2000)] + random.sample(own.parts[300:], 2000)
+    wanted = [merged(tokens[a] + tokens[b]) == [a, b] for a, b in pairs]
+    assert [own._apart(a, b) for a, b in pairs] == wanted and 0 < sum(wanted) < len(pairs)
+    assert all((t in own.reached) == (merged(t) == [k]) for k, t in enumerate(tokens[:20000]))
+
+
 def test_packing(docs, texts):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(packing.tokenizer_path(packing.FILE))
