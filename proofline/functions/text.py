@@ -1,7 +1,8 @@
-"""Text normalisation, similarity and word differences as Column expressions; Arrow UDFs only where Spark has no such function (NFKC and case folding)."""
+"""Text normalisation, similarity and word differences as Column expressions; Arrow UDFs where Spark has no such function (NFKC and case folding, common subsequences, matching blocks)."""
 
 from __future__ import annotations
 
+import difflib
 import functools
 import re
 import unicodedata
@@ -10,12 +11,14 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from proofline import constants as K
 
 #: White space as Python has it: Java's Unicode class, and U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: Longest text, in characters, whose word differences are remembered.
+REMEMBERED = 2_000
 
 
 def named(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -125,124 +128,53 @@ def keyword_score(identified: Column) -> Column:
     return F.when(words > 0, F.struct(words.alias("words"), hits.alias("hits")))
 
 
-#: Bits of a word of the similarity's rows: sums of two stay positive.
-LIMB = 60
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two texts: a bit of one integer for each character of a, a step for each of b."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for c in b:
+        if mask := masks.get(c):
+            both = row & mask
+            row = ((row + both) | (row - both)) & full
+    # Bits that were turned off are common characters.
+    return len(a) - row.bit_count()
 
 
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+def _sorted_ratio(a: str | None, b: str | None) -> float | None:
+    if a is None or b is None:
+        return None
+    a, b = (" ".join(sorted(t.split())) for t in (a, b))
+    return 100.0 if a == b else 200.0 * common_length(a, b) / (len(a) + len(b))
 
 
-def _masks(chars: Column, kinds: Column) -> Column:
-    """For each kind of character the places where it stands, a bit each, in words of LIMB bits."""
-
-    def word(kind: Column, k: Column) -> Column:
-        part = F.slice(chars, k * LIMB + 1, F.lit(LIMB))
-        return F.aggregate(F.transform(part, lambda c, i: F.when(c == kind, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, m: a + m)
-
-    limbs = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(chars) / LIMB).cast("int") - 1, F.lit(0)))
-    return F.transform(kinds, lambda kind: F.transform(limbs, lambda k: word(kind, k)))
-
-
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two texts: a bit for each character of a, a step for each of b; carries go from word to word."""
-    full, none = F.lit((1 << LIMB) - 1), F.lit(0).cast("long")
-
-    def limb(row: Column, mask: Column, carry: Column) -> Column:
-        total = row + row.bitwiseAND(mask) + carry
-        return F.struct(total.bitwiseAND(full).bitwiseOR(row.bitwiseAND(F.bitwise_not(mask))).alias("row"), F.shiftrightunsigned(total, LIMB).alias("carry"))
-
-    def stepped(rows: Column, masks: Column) -> Column:
-        """All words of a row after a character."""
-        start = F.struct(none.alias("carry"), F.array().cast("array<long>").alias("rows"))
-        walk = lambda s, x: named(limb(x["row"], x["mask"], s["carry"]), lambda n: F.struct(n["carry"].alias("carry"), F.array_append(s["rows"], n["row"]).alias("rows")))
-        return F.aggregate(F.arrays_zip(rows.alias("row"), masks.alias("mask")), start, walk, lambda s: s["rows"])
-
-    def compared(x: Column) -> Column:
-        chars, kinds, masks, others = x["chars"], x["kinds"], x["masks"], x["others"]
-        zeros = F.transform(F.get(masks, F.lit(0)), lambda _: none)
-        of = lambda c: F.coalesce(F.get(masks, F.array_position(kinds, c).cast("int") - 1), zeros)
-        one = F.aggregate(others, full, lambda row, c: named(F.get(of(c), F.lit(0)), lambda m: limb(row, m, none)["row"]))
-        many = F.aggregate(others, F.transform(zeros, lambda _: full), lambda rows, c: stepped(rows, of(c)))
-        left = F.when(F.size(chars) <= LIMB, F.bit_count(one)).otherwise(F.aggregate(many, F.lit(0), lambda n, row: n + F.bit_count(row)))
-        # Bits that were turned off are common characters; those past the text's end stay on.
-        return F.ceil(F.size(chars) / LIMB).cast("int") * LIMB - left
-
-    chars, others = F.split(a, ""), F.split(b, "")
-    parts = named(F.struct(chars.alias("chars"), F.array_distinct(chars).alias("kinds"), others.alias("others")), lambda x: F.struct(x["chars"].alias("chars"), x["kinds"].alias("kinds"), _masks(x["chars"], x["kinds"]).alias("masks"), x["others"].alias("others")))
-    return F.when((a == "") | (b == ""), 0).otherwise(named(parts, compared))
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
+@F.pandas_udf(DoubleType())
+def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 times the indel similarity of the texts with their words sorted; null if either is."""
-    ordered = lambda t: F.array_join(F.array_sort(words_of(t)), " ")
-    ratio = lambda x: F.when((x["a"] == "") & (x["b"] == ""), 100.0).when(x["a"] == x["b"], 100.0).otherwise(200.0 * common_length(x["a"], x["b"]) / (F.length(x["a"]) + F.length(x["b"])))
-    return F.when(a.isNotNull() & b.isNotNull(), named(F.struct(ordered(a).alias("a"), ordered(b).alias("b")), ratio))
-
-
-def matching_blocks(a: Column, b: Column, most: int) -> Column:
-    """Blocks (i, j, k) of words that a and b share, as the longest block, then what is longest to its left and right, and so on; of equal ones the first in a, then in b.
-
-    most: number of words of a at most, so of blocks.
-    """
-    zero = F.array().cast("array<struct<i:int,j:int,n:int>>")
+    return pd.Series([_sorted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="object")
 
-    def runs(state: Column, x: Column) -> Column:
-        """Word i of a with all of b: how long the run of equal words is that ends at each pair."""
-        row = F.transform(b, lambda w, j: F.when(w == x["w"], F.coalesce(F.get(state["row"], j - 1), F.lit(0)) + 1).otherwise(0))
-        ends = lambda row: F.filter(F.transform(row, lambda n, j: F.struct(x["i"].alias("i"), j.alias("j"), n.alias("n"))), lambda e: e["n"] > 0)
-        return named(row, lambda row: F.struct(row.alias("row"), F.concat(state["ends"], ends(row)).alias("ends")))
 
-    indexed = F.transform(a, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    start = F.struct(F.transform(b, lambda _: F.lit(0)).alias("row"), zero.alias("ends"))
-    all_runs = F.aggregate(indexed, start, runs, lambda s: s["ends"])
+@functools.lru_cache(maxsize=1024)
+def _told(expected: str, found: str) -> str:
+    """Where the words of two texts differ, as difflib matches them. Readers make the same error often, so the last texts are remembered, short as warnings are."""
+    a, b, said = re.findall(K.WARNING_TOKEN, expected), re.findall(K.WARNING_TOKEN, found), []
+    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        old, new = f"[{' '.join(a[i:j])}]", f"[{' '.join(b[k:m])}]"
+        if kind != "equal":
+            said.append({"delete": f"missing expected {old}", "insert": f"unexpected extracted {new}", "replace": f"replace expected {old} with extracted {new}"}[kind])
+    return "; ".join(said)
 
-    def split(ends: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("al"), F.size(a).alias("ah"), F.lit(0).alias("bl"), F.size(b).alias("bh")))
-        first = F.struct(whole.alias("open"), zero.alias("found"))
 
-        def best(r: Column) -> Column:
-            """(words, -end in a, -end in b) of the longest block inside a range; null without any."""
-            inside = F.filter(ends, lambda e: (e["i"] >= r["al"]) & (e["i"] < r["ah"]) & (e["j"] >= r["bl"]) & (e["j"] < r["bh"]))
-            return F.array_max(F.transform(inside, lambda e: F.struct(F.least(e["n"], e["i"] - r["al"] + 1, e["j"] - r["bl"] + 1).alias("n"), (-e["i"]).alias("i"), (-e["j"]).alias("j"))))
-
-        def parted(state: Column, r: Column, m: Column) -> Column:
-            i, j = -m["i"] - m["n"] + 1, -m["j"] - m["n"] + 1
-            left = F.struct(r["al"].alias("al"), i.alias("ah"), r["bl"].alias("bl"), j.alias("bh"))
-            right = F.struct((i + m["n"]).alias("al"), r["ah"].alias("ah"), (j + m["n"]).alias("bl"), r["bh"].alias("bh"))
-            some = F.filter(F.array(left, right), lambda x: (x["al"] < x["ah"]) & (x["bl"] < x["bh"]))
-            rest = F.slice(state["open"], F.lit(2), F.size(state["open"]))
-            none = F.struct(rest.alias("open"), state["found"].alias("found"))
-            return F.when(m.isNull(), none).otherwise(F.struct(F.concat(rest, some).alias("open"), F.array_append(state["found"], F.struct(i.alias("i"), j.alias("j"), m["n"].alias("n"))).alias("found")))
-
-        step = lambda state, _: F.when(F.size(state["open"]) == 0, state).otherwise(named(F.get(state["open"], F.lit(0)), lambda r: named(best(r), lambda m: parted(state, r, m))))
-        return F.array_sort(F.aggregate(F.sequence(F.lit(0), F.lit(2 * most)), first, step, lambda s: s["found"]))
-
-    return named(all_runs, split)
+@F.pandas_udf(StringType())
+def _differences(expected: pd.Series, found: pd.Series) -> pd.Series:
+    told = lambda x, y: None if y is None else (_told if len(y) <= REMEMBERED else _told.__wrapped__)(x, y)
+    return pd.Series([told(x, y) for x, y in zip(expected, found, strict=True)], dtype="object")
 
 
 def word_level_diff(expected: str, found: Column) -> Column:
     """Where a text's words differ from those of a fixed text, said from the fixed text's side; empty if the texts are equal."""
-    words = [w for w in re.findall(K.WARNING_TOKEN, expected)]
-    a, tokens = F.array(*map(F.lit, words)), F.regexp_extract_all(found, F.lit(r"(?U)[A-Za-z0-9]+|[^\p{L}\p{N}_\s\x1c-\x1f]"), 0)
-
-    def said(x: Column) -> Column:
-        b, blocks = x["b"], x["blocks"]
-        end = F.struct(F.lit(len(words)).alias("i"), F.size(b).alias("j"), F.lit(0).alias("n"))
-
-        def gap(m: Column, k: Column) -> Column:
-            last = F.get(blocks, k - 1)
-            i, j = F.coalesce(last["i"] + last["n"], F.lit(0)), F.coalesce(last["j"] + last["n"], F.lit(0))
-            part = lambda words, at, to: F.concat(F.lit("["), F.array_join(F.slice(words, at + 1, to - at), " "), F.lit("]"))
-            old, new, less, more = part(a, i, m["i"]), part(b, j, m["j"]), m["i"] > i, m["j"] > j
-            return (
-                F.when(less & more, F.concat(F.lit("replace expected "), old, F.lit(" with extracted "), new)).when(less, F.concat(F.lit("missing expected "), old)).when(more, F.concat(F.lit("unexpected extracted "), new))
-            )
-
-        return F.array_join(F.filter(F.transform(F.array_append(blocks, end), gap), lambda t: t.isNotNull()), "; ")
-
-    compared = named(tokens, lambda b: F.struct(b.alias("b"), matching_blocks(a, b, len(words)).alias("blocks")))
-    return F.when(found == expected, "").otherwise(F.when(found.isNotNull(), named(compared, said)))
+    return _differences(F.lit(expected), found)
 
 
 def field_label(name: Column) -> Column:

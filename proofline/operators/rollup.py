@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofline import constants as K
-from proofline.functions.text import field_label
+from proofline.functions.text import field_label, named
 from proofline.operators import ordering
 
 
@@ -36,10 +36,18 @@ def disclosure(checks: Column, statuses: Column, error: Column) -> Column:
     fixed = F.array(*(F.lit(c) for c in K.CHECKS))
     pairs = F.arrays_zip(checks.alias("c"), statuses.alias("s"))
     undone = F.transform(F.filter(pairs, lambda p: p["s"] == K.NOT_EVALUATED), lambda p: p["c"])
-    known = F.filter(fixed, lambda c: ~F.array_contains(checks, c) | F.array_contains(undone, c))
-    names = F.when(error.isNotNull() | checks.isNull(), fixed).otherwise(F.concat(known, F.filter(undone, lambda c: ~F.array_contains(fixed, c))))
-    n = F.size(names)
-    return F.when(n == 0, "").otherwise(F.concat(n.cast("string"), F.when(n == 1, " check").otherwise(" checks"), F.lit(" could not be run — "), F.array_join(F.transform(names, field_label), "; ")))
+    made = F.struct(checks.alias("checks"), undone.alias("undone"), error.alias("error"))
+
+    def names(x: Column) -> Column:
+        known = F.filter(fixed, lambda c: ~F.array_contains(x["checks"], c) | F.array_contains(x["undone"], c))
+        return F.when(x["error"].isNotNull() | x["checks"].isNull(), fixed).otherwise(F.concat(known, F.filter(x["undone"], lambda c: ~F.array_contains(fixed, c))))
+
+    def said(names: Column) -> Column:
+        n = F.size(names)
+        return F.when(n == 0, "").otherwise(F.concat(n.cast("string"), F.when(n == 1, " check").otherwise(" checks"), F.lit(" could not be run — "), F.array_join(F.transform(names, field_label), "; ")))
+
+    # Named, as what a function for an array's elements refers to is evaluated for each of them.
+    return named(named(made, names), said)
 
 
 def rolled_up(results: DataFrame, *keys: str) -> DataFrame:

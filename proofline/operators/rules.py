@@ -180,7 +180,7 @@ def evaluated(labels: DataFrame) -> DataFrame:
     add(**{f"ratio_{f}": T.token_sort_ratio(c(f"xs_{f}"), c(f"ys_{f}")) for f in ("brand_name", "class_type", "bottler")})
     add(beverage=T.beverage_class(c("y_class_type"), identified=True), warning=T.warning(F.col("read_government_warning")), required=T.has_origin_value(F.col("origin_country")))
     add(prefix=F.substring(c("warning"), 1, len(K.WARNING_PREFIX)))
-    apart = lambda text, fixed: F.when(T.compact(text) != fixed.replace(" ", ""), T.word_level_diff(fixed, text))  # noqa: E731  lost spaces alone are told otherwise
+    apart = lambda text, fixed: T.word_level_diff(fixed, F.when(T.compact(text) != fixed.replace(" ", ""), text))  # noqa: E731  lost spaces alone are told otherwise
     add(diff=apart(c("warning"), K.WARNING), prefix_diff=apart(c("prefix"), K.WARNING_PREFIX))
     parsed = {f"{what}_{s}": fn(F.col(p + "alcohol_content")) for what, fn in (("abv", N.parse_abv), ("proof", N.parse_proof)) for s, p in (("x", "read_"), ("y", ""))}
     add(**parsed, net_x=N.parse_net_contents(F.col("read_net_contents")), net_y=N.parse_net_contents(F.col("net_contents")))

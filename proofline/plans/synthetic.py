@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from proofline import constants as K
+from proofline.storage import spread
 
 CLASSES = ("Kentucky Straight Bourbon Whiskey", "Table Wine", "Lager Beer", "Barley Wine", "Port Finished Bourbon", "Hard Seltzer")
 VOLUMES = {"750 mL": "750", "1 L": "1000", "701 mL": "701", "5 L": "5000", "25.4 fl oz": "751.167650", "25.36 fl oz": "749.984709", "750 ML": "750", "4.5 liters": "4500", "700 mL": "700"}
@@ -43,8 +44,13 @@ def view(spark: SparkSession, sf_dir: str, *names: str) -> None:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def parts(spark: SparkSession, sf_dir: str) -> None:
+    """part as a view, its rows dealt out: what is made from a row takes far longer than reading it."""
+    spread(spark.read.parquet(f"{sf_dir}/part.parquet")).createOrReplaceTempView("part")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view(spark, sf_dir, "part")
+    parts(spark, sf_dir)
     return spark.sql(LABELS)
 
 

@@ -1,4 +1,4 @@
-"""Tables that must stay as they are while several jobs read them: written to the folder that all executors share."""
+"""Tables that must stay as they are while several jobs read them, written to the folder that all executors share; and rows dealt out to tasks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a task where a row takes long, and the most tasks that rows are dealt out to.
+TASK_ROWS, MOST_TASKS = 8_000, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
+    """df's rows dealt out evenly, some `rows` a task. Files are split by bytes, and not within a row group: without this, one task reads a million short rows, however long each takes.
+
+    The condition always holds. As it isn't deterministic, no later filter is evaluated before the rows are dealt out, in that one task.
+    """
+    n = min(-(-df.count() // rows), MOST_TASKS)
+    return df.repartition(n).where(F.spark_partition_id() >= 0) if n > df.rdd.getNumPartitions() else df
