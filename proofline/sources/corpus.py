@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from proofline import constants as K
 from proofline.sources.registry import manifest_rows
+from proofline.storage import written
 
 TRUTH = ("filename", "brand_name", "fanciful_name", "class_type", "origin_code", "origin_country", "bottler", "source_url")
 CURRENT = "CURRENT"
@@ -59,6 +60,7 @@ def _context(spark: SparkSession, folder: str):
 def write_metadata(records: DataFrame, folder: str) -> str:
     """Both tables under a version of their own, then the pointer; the version's name. Versions that nothing names are removed afterwards."""
     spark, version = records.sparkSession, uuid.uuid4().hex
+    records = written(records, "records")  # pages are parsed once: a filter on what was parsed would parse them anew, for each table
     _truth_table(records, f"{folder}/{version}/ground_truth")
     _manifest_table(records, f"{folder}/{version}/manifest")
     fs, context = _context(spark, folder)
