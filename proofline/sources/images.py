@@ -1,18 +1,20 @@
 """Uploaded images: the binary file source, what their headers say, and quality statistics on decoded pixels.
 
 A file's format and size are read from its first bytes by binary expressions, so that an image too large to decode is an error row before anything decodes it.
-Statistics are expressions over the pixels as an array. Spark's image source decodes PNG, JPEG, BMP and GIF on the JVM; perspective correction, deskewing and text recognition need
+Statistics are taken by NumPy in Arrow batches, of all images of one shape at once. Spark's image source decodes PNG, JPEG, BMP and GIF on the JVM; perspective correction, deskewing and text recognition need
 libraries that are not installed here and stay an interface: a decoder is any callable from image bytes to pixels, a reader one from image bytes to blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from proofline.functions import text as T
 
@@ -170,96 +172,71 @@ def opaque(height: int, width: int, channels: int, data: bytes) -> tuple[int, in
 
 # ---- statistics ----
 
+MEASURES = ["blur_variance", "contrast_range", "glare_fraction", "illumination_spread"]
+#: Bytes of images that are measured at once.
+TOGETHER = 1 << 20
 
-def _bytes(data: Column) -> Column:
-    """Bytes as an array of numbers, in one pass: each is a character of Latin-1."""
-    return F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), F.ascii)
 
+def grey(rows: np.ndarray) -> np.ndarray:
+    """Luminance of images (n, height, width, channels) of BGR(A) or grey bytes."""
+    if rows.shape[3] < 3:
+        return rows[..., 0].astype(np.int64)
+    # Fixed-point weights of 0.114, 0.587 and 0.299, rounded.
+    return (rows[..., :3].astype(np.int64) @ np.array([1868, 9617, 4899]) + 8192) >> 14
 
-def _grid(height: Column, width: Column, row: Callable[[Column], Column], value: Callable[[Column, Column, Column], Column]) -> Column:
-    """value(row's own, y, x) of every place, rows after each other; row(y) is computed once a row."""
-    xs = lambda own, y: F.transform(F.sequence(F.lit(0), width - 1), lambda x: value(own, y, x))
-    return F.flatten(F.transform(F.sequence(F.lit(0), height - 1), lambda y: T.named(row(y), lambda own: xs(own, y))))
 
-
-def grey(data: Column, height: Column, width: Column, channels: Column, step: Column) -> Column:
-    """Luminance of BGR(A) or grey rows as an array of numbers from 0 to 255, rows after each other; every step-th pixel of every step-th row."""
-
-    def pixels(flat: Column) -> Column:
-        def one(first: Column, _: Column, x: Column) -> Column:
-            at = first + x * step * channels
-            # Fixed-point weights of 0.114, 0.587 and 0.299, rounded.
-            return T.named(at, lambda at: F.when(channels < 3, F.get(flat, at)).otherwise(F.shiftright(F.get(flat, at) * 1868 + F.get(flat, at + 1) * 9617 + F.get(flat, at + 2) * 4899 + 8192, 14)))
-
-        return _grid(_sampled(height, step), _sampled(width, step), lambda y: y * step * width * channels, one)
-
-    return T.named(_bytes(data), pixels)
-
-
-def _sampled(side: Column, step: Column) -> Column:
-    return F.ceil(side / step).cast("int")
-
-
-def sharpness(pixels: Column, height: Column, width: Column) -> Column:
+def sharpness(pixels: np.ndarray) -> np.ndarray:
     """Variance of the Laplacian, from exact sums. What lies beyond an edge mirrors what lies inside; a single line is its own neighbour."""
-    before = lambda i, n: F.least(F.abs(i - 1), n - 1)
-    after = lambda i, n: F.greatest(n - 1 - F.abs(n - 2 - i), F.lit(0))
-    rows = lambda y: F.struct((before(y, height) * width).alias("up"), (y * width).alias("at"), (after(y, height) * width).alias("down"))
-    each = lambda r, _, x: F.get(pixels, r["up"] + x) + F.get(pixels, r["down"] + x) + F.get(pixels, r["at"] + before(x, width)) + F.get(pixels, r["at"] + after(x, width)) - 4 * F.get(pixels, r["at"] + x)
-
-    def variance(values: Column) -> Column:
-        n = F.size(values).cast("double")
-        total = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
-        squares = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v.cast("long") * v)
-        return T.named(F.struct(n.alias("n"), total.alias("t"), squares.alias("s")), lambda x: (x["n"] * x["s"] - x["t"].cast("double") * x["t"]) / (x["n"] * x["n"]))
-
-    return T.named(_grid(height, width, rows, each), variance)
-
-
-def _ranked(ordered: Column, first: Column, n: Column, q: float) -> Column:
-    """The quantile, linear between two ranks, of n sorted values from a place on."""
-    at = (n - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.get(ordered, first + low), F.get(ordered, first + F.least(low + 1, n - 1))
-    return a * (1 - (at - low)) + b * (at - low)
-
-
-def contrast(ordered: Column) -> Column:
-    """From the 1st to the 99th percentile of sorted pixels."""
-    n = F.size(ordered)
-    return _ranked(ordered, F.lit(0), n, 0.99) - _ranked(ordered, F.lit(0), n, 0.01)
-
-
-def spread(pixels: Column, height: Column, width: Column, parts: int = 4) -> Column:
-    """Spread of the medians of 4 x 4 tiles; earlier tiles take what is left over. One sort by tile and value puts every tile's median at a known place."""
-    edge = lambda k, n: F.floor(n / parts).cast("int") * k + F.least(F.lit(k), n % parts)
-    tile = lambda i, n: sum(((i >= edge(k, n)).cast("int") for k in range(1, parts)), F.lit(0))
-    columns = F.transform(F.sequence(F.lit(0), width - 1), lambda x: tile(x, width) * 256)
-    row = lambda y: F.struct((y * width).alias("at"), (tile(y, height) * parts * 256).alias("key"))
-    keyed = T.named(columns, lambda cs: _grid(height, width, row, lambda r, _, x: r["key"] + F.get(cs, x) + F.get(pixels, r["at"] + x)))
-
-    def medians(ordered: Column) -> Column:
-        sides = lambda n: F.array(*(edge(k + 1, n) - edge(k, n) for k in range(parts)))
-        sizes = T.named(sides(width), lambda ws: F.flatten(F.transform(sides(height), lambda h: F.transform(ws, lambda w: h * w))))
-        # Each tile's first place: the pixels of all tiles before it.
-        firsts = T.named(sizes, lambda ns: F.transform(ns, lambda n, k: F.struct(n.alias("n"), F.aggregate(F.slice(ns, F.lit(1), k), F.lit(0), lambda a, m: a + m).alias("first"), (k * 256).alias("key"))))
-        return F.transform(F.filter(firsts, lambda t: t["n"] > 0), lambda t: _ranked(ordered, t["first"], t["n"], 0.5) - t["key"])
-
-    return T.named(T.named(F.sort_array(keyed), medians), lambda m: F.array_max(m) - F.array_min(m))
+    (up, down), (left, right) = ((np.minimum(abs(i - 1), n - 1), np.maximum(n - 1 - abs(n - 2 - i), 0)) for n, i in ((n, np.arange(n)) for n in pixels.shape[1:]))
+    each = (pixels[:, up] + pixels[:, down] + pixels[:, :, left] + pixels[:, :, right] - 4 * pixels).reshape(len(pixels), -1)
+    n, total, squares = float(each.shape[1]), each.sum(axis=1).astype(float), (each * each).sum(axis=1).astype(float)
+    return (n * squares - total * total) / (n * n)
+
+
+def _ranked(ordered: np.ndarray, q: float) -> np.ndarray:
+    """The quantile of each row of sorted values, linear between two ranks."""
+    at = (ordered.shape[1] - 1) * q
+    low = int(at)
+    return ordered[:, low] * (1 - (at - low)) + ordered[:, min(low + 1, ordered.shape[1] - 1)] * (at - low)
+
+
+def spread(pixels: np.ndarray, parts: int = 4) -> np.ndarray:
+    """Spread of the medians of 4 x 4 tiles; earlier tiles take what is left over."""
+    edges = ([n // parts * k + min(k, n % parts) for k in range(parts + 1)] for n in pixels.shape[1:])
+    (ys, xs), n = edges, len(pixels)
+    tiles = (pixels[:, y:y2, x:x2].reshape(n, -1) for y, y2 in zip(ys, ys[1:]) for x, x2 in zip(xs, xs[1:]) if y < y2 and x < x2)
+    medians = np.stack([_ranked(np.sort(t, axis=1), 0.5) for t in tiles])
+    return medians.max(axis=0) - medians.min(axis=0)
+
+
+def _measures(data: list[bytes], height: int, width: int, channels: int) -> np.ndarray:
+    """The statistics of images of one shape, as columns of MEASURES; every step-th pixel of every step-th row is looked at."""
+    step, size = max(1, -(-max(height, width) // ANALYSIS_SIDE)), height * width * channels
+    rows = np.stack([np.frombuffer(d, np.uint8, size).reshape(height, width, channels)[::step, ::step] for d in data])
+    pixels = grey(rows)
+    ordered = np.sort(pixels.reshape(len(data), -1), axis=1)
+    return np.stack([sharpness(pixels), _ranked(ordered, 0.99) - _ranked(ordered, 0.01), (ordered >= GLARE_FROM).mean(axis=1), spread(pixels)], axis=1)
+
+
+@F.pandas_udf(StructType([StructField(m, DoubleType()) for m in MEASURES]))
+def measured(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
+    """Statistics of images, those of one shape at once, in pieces of some TOGETHER bytes. Null where data is missing or breaks off."""
+    out, alike = np.full((len(data), len(MEASURES)), np.nan), {}
+    for i, (h, w, c, d) in enumerate(zip(height, width, channels, data, strict=True)):
+        if d is not None and pd.notna(c) and 0 < h * w * c <= len(d):
+            alike.setdefault((int(h), int(w), int(c)), []).append(i)
+    for shape, places in alike.items():
+        n = max(1, TOGETHER // math.prod(shape))
+        for some in (places[k : k + n] for k in range(0, len(places), n)):
+            out[some] = _measures([data.iat[i] for i in some], *shape)
+    return pd.DataFrame(out, columns=MEASURES)
 
 
 def quality(images: DataFrame) -> DataFrame:
     """path, width, height, statistics of decoded images (path, height, width, nChannels, data), and which corrections they call for. Images of height 0 or less are left out."""
-    step = F.greatest(F.lit(1), F.ceil(F.greatest("height", "width") / ANALYSIS_SIDE)).cast("int")
-    some = images.where("height > 0 AND width > 0").withColumn("_step", step)
-    pixels = grey(F.col("data"), F.col("height"), F.col("width"), F.col("nChannels"), F.col("_step"))
-    found = some.select("path", "width", "height", pixels.alias("_p"), _sampled(F.col("height"), F.col("_step")).alias("_h"), _sampled(F.col("width"), F.col("_step")).alias("_w"))
-    found = found.withColumn("_sorted", F.sort_array("_p"))
-    measures = {
-        "blur_variance": sharpness(F.col("_p"), F.col("_h"), F.col("_w")), "contrast_range": contrast(F.col("_sorted")).cast("double"),
-        "glare_fraction": F.size(F.filter("_p", lambda v: v >= GLARE_FROM)) / F.size("_p"), "illumination_spread": spread(F.col("_p"), F.col("_h"), F.col("_w")).cast("double"),
-    }
-    return found.select("path", "width", "height", *(v.alias(k) for k, v in measures.items())).withColumns(gates())
+    some = images.where("height > 0 AND width > 0")
+    found = some.select("path", "width", "height", measured("height", "width", "nChannels", "data").alias("_m"))
+    return found.select("path", "width", "height", *(F.col(f"_m.{m}").alias(m) for m in MEASURES)).withColumns(gates())
 
 
 def gates() -> dict[str, Column]:

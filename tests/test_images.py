@@ -81,3 +81,15 @@ def test_sharp_and_blank_images_are_told_apart(spark):
     df = spark.createDataFrame([(n, 32, 32, 1, bytearray(x.tobytes())) for n, x in (("sharp", sharp), ("blank", blank))], "path string, height int, width int, nChannels int, data binary")
     found = {r["path"]: r for r in images.quality(df).collect()}
     assert not found["sharp"]["is_blurry"] and found["blank"]["is_blurry"] and found["blank"]["needs_contrast"] and not found["blank"]["has_glare"] and found["sharp"]["scale"] == 2.0
+
+
+def test_images_of_several_shapes_are_measured_in_batches_and_broken_ones_are_null(spark):
+    r = np.random.default_rng(4)
+    made = [r.integers(0, 256, shape) for shape in [(16, 16, 1), (3, 5, 3), (16, 16, 1), (40, 20, 2)] * 3]
+    rows = [(str(i), *x.shape, bytearray(x.astype(np.uint8).tobytes())) for i, x in enumerate(made)]
+    df = spark.createDataFrame([*rows, ("short", 4, 4, 3, bytearray(47)), ("none", 4, 4, 1, None)], "path string, height int, width int, nChannels int, data binary")
+    assert "transform(" not in images.quality(df)._jdf.queryExecution().optimizedPlan().toString()
+    found = {x["path"]: x for x in images.quality(df).collect()}
+    for i, x in enumerate(made):
+        assert [found[str(i)][m] for m in images.MEASURES] == pytest.approx(list(plain(x)))
+    assert {found[k][m] for k in ("short", "none") for m in images.MEASURES} == {None}
