@@ -14,6 +14,8 @@ from proofline.functions import numbers as N
 from proofline.functions import text as T
 
 FIELDS = ("brand_name", "class_type", "alcohol_content", "net_contents", "bottler", "origin_country")
+#: What a check's result is made of.
+PARTS = ("status", "expected", "extracted", "confidence", "detail")
 
 
 class Branches:
@@ -158,7 +160,7 @@ def ambiguous(rule: Column, state: Column, alternatives: Column, expected: Colum
     many = F.nullif(F.array_join(alternatives, " | "), F.lit(""))
     several = result(F.lit(K.REVIEW), expected, many, F.lit(None), F.lit(f"Multiple {name} candidates were located; agent review is required."))
     found = F.coalesce(state == "AMBIGUOUS", F.lit(False))
-    return F.struct(*(F.when(found, several[f]).otherwise(rule[f]).alias(f) for f in ("status", "expected", "extracted", "confidence", "detail")))
+    return F.struct(*(F.when(found, several[f]).otherwise(rule[f]).alias(f) for f in PARTS))
 
 
 def evaluated(labels: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def evaluated(labels: DataFrame) -> DataFrame:
     return df.withColumns({f"check_{k}": v for k, v in checks.items()}).drop(*helpers)
 
 
-def long_form(checked: DataFrame, *keys: str) -> DataFrame:
-    """One row for each label and check."""
-    entries = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(name).alias("check"), F.col(f"check_{name}").alias("r")) for i, name in enumerate(K.CHECKS)))
-    return checked.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.position", "e.check", "e.r.*")
+def long_form(checked: DataFrame, *keys: str, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row for each label and check, with the parts of its result that are asked for: an optimiser can't tell which parts of an exploded array nobody reads, and would have all details made."""
+    entries = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(name).alias("check"), *(F.col(f"check_{name}")[p].alias(p) for p in parts)) for i, name in enumerate(K.CHECKS)))
+    return checked.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")

@@ -39,3 +39,9 @@ def test_pages_are_parsed_once_for_their_controls(spark):
     pages = spark.createDataFrame([(1, "<form><input name=a>")], "page_id long, html string")
     assert plan(registry.controls_of(pages)).count("regexp_extract_all(regexp_replace(coalesce(html") == 1
     assert "Filter isnotnull(method" not in plan(registry.search_controls(pages))
+
+
+def test_statuses_alone_make_no_details(spark):
+    made = lambda name: "authorized size" in plan(getattr(catalogue, name)(spark, "/root/testdata/sf0.001"))
+    assert made("check_details")
+    assert not any(map(made, ("check_statuses", "field_accuracy", "verdict_histogram", "disclosure", "batch_results", "extracted_labels_checked")))
