@@ -119,7 +119,11 @@ def beverage_class(text: Column, identified: bool = False) -> Column:
 
 def keyword_score(identified: Column) -> Column:
     """(words of the longest keyword, number of keywords) of a line; null without any."""
-    padded = F.concat(F.lit(" "), identified, F.lit(" "))
+    return padded_score(F.concat(F.lit(" "), identified, F.lit(" ")))
+
+
+def padded_score(padded: Column) -> Column:
+    """`keyword_score` of a line with a space before and after it."""
     keywords = [k for ks in K.BEVERAGE_KEYWORDS.values() for k in ks]
     hits = functools.reduce(lambda a, b: a + b, (padded.contains(f" {k} ").cast("int") for k in keywords))
     words = F.lit(0)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from proofline.operators import layout
 from proofline.plans import catalogue, report, synthetic
 from proofline.sources import registry
 from proofline.storage import spread
@@ -45,3 +46,11 @@ def test_statuses_alone_make_no_details(spark):
     made = lambda name: "authorized size" in plan(getattr(catalogue, name)(spark, "/root/testdata/sf0.001"))
     assert made("check_details")
     assert not any(map(made, ("check_statuses", "field_accuracy", "verdict_histogram", "disclosure", "batch_results", "extracted_labels_checked")))
+
+
+def test_candidates_are_placed_only_where_asked(spark):
+    blocks = catalogue._blocks(spark, "/root/testdata/sf0.001")
+    said, whole = layout.field_candidates(blocks, layout.SAID), layout.field_candidates(blocks)
+    assert tuple(whole.columns) == ("label_id", *layout.PARTS) and "array_sort(array_distinct" in plan(whole)
+    assert "array_sort(array_distinct" not in plan(catalogue.field_candidates(spark, "/root/testdata/sf0.001"))
+    assert sorted(map(str, whole.select(*said.columns).collect())) == sorted(map(str, said.collect()))
