@@ -166,6 +166,26 @@ def test_a_base_in_the_middle_of_its_variants(spark):
     assert sum(i in found for i in range(21, 41)) >= 19 and found.keys() <= {*range(1, 41), 121}
 
 
+def test_rows_of_a_family_of_near_copies_grow_with_its_members(spark):
+    random.seed(21)
+    line = [f"line{k}" for k in range(8)]
+    base = [f"word{k}" for k in range(150)]
+
+    def variant(i):
+        own = list(base)
+        for k in random.sample(range(150), 3):
+            own[k] = f"new{i}x{k}"
+        return " ".join([*own, *line])
+
+    made = []
+    for n in (60, 180):
+        rows = [(i, variant(i)) for i in range(1, n + 1)] + [(k, " ".join([f"other{k}"] * 60 + line)) for k in (0, n + 1)]
+        found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len({r["doc_id"] for r in found}) >= 0.9 * (n - 1)
+        made.append(len(found))
+    assert made[1] <= 4 * made[0]
+
+
 def test_cutting_leaves_the_rest(spark):
     passage = " ".join(f"shared{i}" for i in range(60))
     rows = [(1, f"start one\n{passage}\nend one"), (2, f"begin  two {passage} stop two"), (3, passage), (4, "clean text")]
