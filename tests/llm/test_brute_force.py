@@ -186,6 +186,26 @@ def test_rows_of_a_family_of_near_copies_grow_with_its_members(spark):
     assert made[1] <= 4 * made[0]
 
 
+def test_double_keys_of_texts_that_repeat_themselves_grow_with_their_places():
+    rng = np.random.default_rng(31)
+    hashes = rng.integers(-(2**62), 2**62, 30)
+
+    def doubles(doc, key, c):
+        x, y, double = substring_dedup._double_keys(doc, key, c, (key % 4).astype(np.int32))
+        return x, set(zip(doc[x].tolist(), x.tolist(), double.tolist(), strict=True)) | set(zip(doc[y].tolist(), y.tolist(), double.tolist(), strict=True))
+
+    for spread in (50, 300, 3000):
+        places = np.unique(np.stack([rng.integers(0, 3, 200), rng.integers(0, 30, 200), rng.integers(0, spread, 200)]), axis=1)
+        doc, key, c = places[0], hashes[places[1]], places[2]
+        near = lambda i, j: doc[i] == doc[j] and 0 < abs(c[i] - c[j]) <= substring_dedup.NEAR and (key[i] - key[j]) % 4 and key[i] < key[j]  # noqa: B023, E731
+        double = lambda a, b: int(substring_dedup.mix(substring_dedup.mix(np.array([a]).view(np.uint64)) ^ np.array([b]).view(np.uint64), 1).view(np.int64)[0])
+        wanted = {(int(doc[i]), k, double(key[i], key[j])) for i in range(len(doc)) for j in range(len(doc)) if near(i, j) for k in (i, j)}
+        assert doubles(doc, key, c)[1] == wanted
+    for n in (1000, 10000):
+        c = np.arange(n)
+        assert len(doubles(np.zeros(n, np.int64), hashes[c % 8], c)[0]) <= 20 * n
+
+
 def test_cutting_leaves_the_rest(spark):
     passage = " ".join(f"shared{i}" for i in range(60))
     rows = [(1, f"start one\n{passage}\nend one"), (2, f"begin  two {passage} stop two"), (3, passage), (4, "clean text")]
