@@ -186,6 +186,53 @@ def test_rows_of_a_family_of_near_copies_grow_with_its_members(spark):
     assert made[1] <= 4 * made[0]
 
 
+def test_regions_cover_what_brute_force_covers():
+    rng = np.random.default_rng(41)
+    covered = 0
+    for family in range(12):
+        length, period = int(rng.integers(60, 200)), int(rng.choice([20, 45, 1000]))
+        base = np.arange(length) % period
+        docs = np.sort(rng.integers(0, 25, 30))
+        shingles = []
+        for k in range(30):
+            own = base[rng.integers(0, 10) : length - rng.integers(0, 10)].copy()
+            for at in rng.integers(0, len(own), rng.integers(0, 4)):
+                own[at : at + 5] = 10_000 + 100 * k + at + np.arange(len(own[at : at + 5]))
+            shingles.append(own.astype("<u4"))
+        shingles[20] = shingles[3]
+        rest = [np.unique(rng.integers(0, len(x), rng.integers(0, 8))).astype("<i4") for x in shingles]
+        doubles = [np.unique(rng.integers(0, 4, 2)) for _ in shingles]
+        for sides in (np.zeros(30, np.int64), rng.integers(0, 2, 30)):
+            found = {a: set() for a in range(30)}
+            for a, b, passages in substring_dedup._met(docs, sides, rest, shingles, doubles):
+                assert docs[b] < docs[a] and set(passages) <= set(substring_dedup.passages(shingles[a], shingles[b], substring_dedup.WIDTH, 0.8))
+                found[a].update(p for x, y, *_ in passages for p in range(x, y))
+            for a in range(30):
+                for b in range(30):
+                    if docs[b] < docs[a] and set(doubles[a]) & set(doubles[b]) and (sides.min() == sides.max() or sides[a] != sides[b]):
+                        wanted = {p for x, y, *_ in substring_dedup.passages(shingles[a], shingles[b], substring_dedup.WIDTH, 0.8) for p in rest[a].tolist() if x <= p < y and shingles[a][p] in shingles[b]}
+                        covered += len(wanted)
+                        assert wanted <= found[a]
+    assert covered > 1000
+
+
+def test_regions_meet_those_with_a_place_left(monkeypatch):
+    met, bound = [], substring_dedup._near_enough
+    monkeypatch.setattr(substring_dedup, "_near_enough", lambda *a: met.append(len(a[0])) or bound(*a))
+    core, n = np.arange(42), 40
+    shingles = [np.concatenate([1000 + 100 * k + np.arange(40), core, 50_000 + 100 * k + np.arange(40)]).astype("<u4") for k in range(n)]
+    alone = [np.array([3, 100], "<i4")] * n
+    assert not list(substring_dedup._met(np.arange(n), np.zeros(n, np.int64), alone, shingles, [np.array([1])] * n)) and not met
+
+
+def test_repetitive_texts_are_judged_few_times(monkeypatch):
+    counted, count = [], np.count_nonzero
+    monkeypatch.setattr(np, "count_nonzero", lambda *a, **k: counted.append(1) or count(*a, **k))
+    line = np.arange(31)
+    x, y = (np.tile(np.where(line < 6, other + line, line), 36).astype("<u4") for other in (100, 200))
+    assert not substring_dedup.passages(x, y, substring_dedup.WIDTH, substring_dedup.THRESHOLD) and len(counted) <= 20
+
+
 def test_double_keys_of_texts_that_repeat_themselves_grow_with_their_places():
     rng = np.random.default_rng(31)
     hashes = rng.integers(-(2**62), 2**62, 30)
