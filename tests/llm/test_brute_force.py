@@ -225,6 +225,12 @@ def test_regions_meet_those_with_a_place_left(monkeypatch):
     assert not list(substring_dedup._met(np.arange(n), np.zeros(n, np.int64), alone, shingles, [np.array([1])] * n)) and not met
 
 
+def test_equal_texts_are_one_passage():
+    for x in (np.arange(60), np.arange(60) % 50, np.arange(45)):
+        found, other = (substring_dedup.passages(x, y, substring_dedup.WIDTH, substring_dedup.THRESHOLD) for y in (x, np.append(x, 1000)))
+        assert found == other and [(a, b, s) for a, b, *_, s in found] == [(0, len(x), 1.0)][: len(x) >= 46]
+
+
 def test_repetitive_texts_are_judged_few_times(monkeypatch):
     counted, count = [], np.count_nonzero
     monkeypatch.setattr(np, "count_nonzero", lambda *a, **k: counted.append(1) or count(*a, **k))
